@@ -71,6 +71,20 @@ def drop(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+BROADCAST_ROWS = 500_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """docs joined with ids (a doc_id column, each once) by left_semi or left_anti.
+
+    The ids are broadcast only if they are few (8 bytes each, so some 20 MB as a hash table), else both
+    sides are shuffled.
+    """
+    ids, _ = materialize(ids, "ids")
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how)
+
+
 def bucket(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the contracts' folds."""
     return F.crc32(col.cast("string").cast("binary")) % n

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import blocks, drop, materialize, text_of
+from waymark.llm.common import BROADCAST_ROWS, blocks, by_ids, drop, materialize, text_of
 from waymark.llm.components import components
 from waymark.llm.words import SPACED, fmix, ngrams, words
 
@@ -35,7 +35,6 @@ _B = _rng.integers(0, 1 << 63, HASHES, np.uint64)
 _MIX = fmix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 #: Signature bytes that must agree: at similarity s their number is binomial(128, s + (1 - s) / 256); at 0.8 fewer than 70 have a probability below 1e-11
 AGREE = 70
-BROADCAST_ROWS = 500_000
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -156,5 +155,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document (the smallest doc_id) of each component, all columns of documents."""
-    kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "lang", "source", "n_chars")
+    found = near_duplicates(docs, k, percent)
+    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id"])
+    out = by_ids(docs, found.where("not kept").select("doc_id").distinct(), "left_anti")
+    return out.where("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars")
