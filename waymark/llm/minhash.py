@@ -3,13 +3,15 @@
 1. One pass over the texts: words, distinct k-word shingles (64-bit hashes), a 128-bit digest of the set,
    and for each text 128 minima under universal hash functions, cut into 32 bands of 4.
 2. Texts with equal sets are one class; only the class's smallest doc_id goes on.
-3. In each bucket (band, key) a pivot is joined with the other members (as many rows as members, never all
-   pairs). Candidates whose signatures agree too little are left out, the rest are confirmed on full sets.
-4. Components are found by alternating large-star and small-star. Where a bucket still holds several
-   components, members outside its largest one are pivots in turn and leave it once they have met all
-   others, until no bucket has two components: no pair that shares a bucket goes unchecked unless it is
-   already connected. A pair at the threshold shares no bucket with a probability of (1 - 0.8**4)**32 = 5e-8,
-   one above it still less.
+3. For the texts that share a bucket (band, key), the shingles that another such text has too are counted.
+   A pair has at most the smaller of the two counts in common, so most texts that only resemble others
+   leave their buckets at once, exactly.
+4. In each bucket a few pivots (the one that shares most first) are joined with the other members: rows in
+   proportion to the members, never all pairs. Candidates whose signatures agree too little are left out,
+   the rest are confirmed on full sets, and components are found by alternating large-star and small-star.
+   Pivots have then met all others and leave the bucket; this goes on while a bucket has two components, so
+   no pair that shares a bucket goes unchecked unless it is already connected. A pair at the threshold
+   shares no bucket with a probability of (1 - 0.8**4)**32 = 5e-8, one above it still less.
 
 Defined results: null text, or text without words: no shingles, its own component, kept. Repeated rows of a
 doc_id are returned once each, in one component. Rows with a null doc_id are left out (nothing can link to
@@ -95,12 +97,26 @@ def _agree(a: str, b: str):
 def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets have 100 * intersection >= percent * union."""
     left, right = (reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "uv")
-    close = pairs.join(left, "u").join(right, "v").where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").where(_agree("su", "sv") >= AGREE).select("u", "v", "nu", "nv")
+    close = pairs.join(left, "u").join(right, "v").where(_agree("su", "sv") >= AGREE).select("u", "v", "nu", "nv")
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"h{x}")) for x in "uv")
     both = close.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("hu", "hv")).cast("long"))
     return both.where(f"100 * common >= {percent} * (nu + nv - common)").select("u", "v")
 
 
+def shared_counts(sets: DataFrame) -> DataFrame:
+    """(id, n, c): the set's size, and how many of its shingles another set has too.
+
+    A pair has at most min(c) shingles in common, which settles most members of large buckets without a pair.
+    """
+    single = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+    alone = single.groupBy("id").agg(F.count("*").alias("alone"))
+    n = F.size("shingles").cast("long")
+    return sets.select("id", n.alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+
+
+PIVOTS = 6
+
+
 def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document; see the module's text."""
     spark = docs.sparkSession
@@ -109,43 +125,55 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     reps = seen.where("n > 0").join(alike, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     reps, reps_path = materialize(reps.select("doc_id", "n", "sig", "keys"), "reps")
     members = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.col("doc_id").alias("id"), F.xxhash64("band", "key").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members, members_path = materialize(members.join(shared, "bucket").select("bucket", "id", "pivot"), "buckets")
+    several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members, members_path = materialize(members.join(several, "bucket", "left_semi"), "buckets")
     sets, sets_path = materialize(sets_of(docs, members.select(F.col("id").alias("doc_id")).distinct(), k), "sets")
+    counts, counts_path = materialize(shared_counts(sets).where(f"100 * c >= {percent} * n"), "shared")
+    members, path = materialize(members.join(counts, "id"), "members")
 
-    tried, tried_path = materialize(members.where("id <> pivot").select(F.col("id").alias("u"), F.col("pivot").alias("v")).distinct(), "tried")
-    links, links_path = materialize(confirm(tried, reps, sets, percent), "links")
-    members, old = members.where("id <> pivot").select("bucket", "id"), [links_path, tried_path]
-    comps, comps_path = materialize(components(links), "components")
+    old, labels, tried, wave = [path], None, None, 0
     while True:
-        # the buckets, without former pivots, that hold two components or more
-        placed = members.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bucket")
-        members, more_path = materialize(placed.join(open_, "bucket", "left_semi"), "open")
-        old.append(more_path)
-        if members.isEmpty():
+        placed = members.withColumn("component", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        who = F.struct("id", "component", "n", "c")
+        # per bucket: its components' range, the smallest set, and pivots: who shares most, then members of
+        # components drawn by hash; all of them partial aggregates
+        drawn = [F.max_by(who, F.struct("c", (-F.col("id")).alias("i"))).alias("p0")]
+        if wave:
+            drawn += [F.min_by(who, F.struct(F.xxhash64("component", F.lit(s)).alias("a"), F.xxhash64("id", F.lit(s)).alias("b"), "id")).alias(f"p{s}") for s in range(1, PIVOTS)]
+        stars = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("low"), *drawn).where("a <> b")
+        stars = stars.select("bucket", "low", F.array_distinct(F.array(*(f"p{s}" for s in range(len(drawn))))).alias("pivots"))
+        stars, path = materialize(stars, "stars")
+        old.append(path)
+        if stars.isEmpty():
             break
-        share = members.groupBy("bucket", "component").count()
-        main = share.groupBy("bucket").agg(F.max_by("component", F.struct("count", (-F.col("component")).alias("c"))).alias("main"))
-        outer = members.join(main, "bucket").where("component <> main")
-        # eight pivots of a bucket at most: the minima under eight hash functions, a partial aggregate
-        turn = outer.groupBy("bucket").agg(*(F.min_by(F.struct("id", "component"), F.struct(F.xxhash64("id", F.lit(s)).alias("h"), "id")).alias(f"p{s}") for s in range(8)))
-        turn = turn.select("bucket", F.explode(F.array_distinct(F.array(*(f"p{s}" for s in range(8))))).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.component").alias("side"))
-        turn, turn_path = materialize(turn, "pivots")
-        old.append(turn_path)
-        fresh = members.join(turn, "bucket").where("component <> side").select(F.greatest("id", "pivot").alias("u"), F.least("id", "pivot").alias("v")).distinct()
-        fresh, fresh_path = materialize(fresh.join(tried, ["u", "v"], "left_anti"), "tried")
-        more, path = materialize(confirm(fresh, reps, sets, percent), "links")
-        tried, links = tried.union(fresh), links.union(more)
-        old += [fresh_path, path]
-        members = members.join(turn.select("bucket", F.col("pivot").alias("id")), ["bucket", "id"], "left_anti").select("bucket", "id")
-        comps, path = materialize(components(links), "components")
-        old.append(comps_path)
-        comps_path = path
+        # a member whose shared shingles can't do even with the smallest set leaves the bucket, as do its pivots
+        now = placed.join(stars, "bucket").where(f"{100 + percent} * c >= {percent} * (n + low)")
+        now, path = materialize(now, "open")
+        old.append(path)
+        fresh = now.select("id", "component", "n", "c", F.explode("pivots").alias("p")).where("component <> p.component").where(f"{100 + percent} * least(c, p.c) >= {percent} * (n + p.n) and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+        fresh = fresh.select(F.greatest("id", "p.id").alias("u"), F.least("id", "p.id").alias("v")).distinct()
+        fresh, path = materialize(fresh if tried is None else fresh.join(tried, ["u", "v"], "left_anti"), "tried")
+        old.append(path)
+        tried = fresh if tried is None else tried.union(fresh)
+        links, path = materialize(confirm(fresh, reps, sets, percent), "links")
+        old.append(path)
+        members = now.where(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).select("bucket", "id", "n", "c")
+        if labels is None:
+            labels, path = materialize(components(links), "labels")
+        else:
+            # only the components that the new links touch are joined anew
+            at = [labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv"]
+            arcs = links.join(at[0], "u", "left").join(at[1], "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct()
+            moved = components(arcs).select(F.col("id").alias("component"), F.col("component").alias("to"))
+            grown = labels.union(moved.select("component", "component")).distinct()
+            labels, path = materialize(grown.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+        old.append(path)
+        wave += 1
     # back to all documents: those of a class share its smallest id's component
-    whole = alike.join(comps.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component_id"))
+    whole = alike if labels is None else alike.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    whole = whole.select("digest", (F.col("doc_id") if labels is None else F.coalesce("component", "doc_id")).alias("component_id"))
     out, _ = materialize(seen.select("doc_id", "n", "digest").join(whole, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
-    drop(spark, seen_path, reps_path, members_path, sets_path, comps_path, *old)
+    drop(spark, seen_path, reps_path, members_path, sets_path, counts_path, *old)
     return out
 
 
