@@ -5,11 +5,12 @@ holds one segment, at most SEGMENT tokens of whole documents (a longer document
 
   magic "WMTK", version | lengths | document ids and token counts | frequency table shared by its blocks |
   per block: token count, lanes, words, CRC-32 of the coded words and of the tokens, checkpoints, final
-  states, coded 32-bit words
+  states, coded 16-bit words
 
 Token i of a block belongs to lane i mod lanes; all lanes share one word stream (interleaving). Blocks don't
 depend on each other, and at each checkpoint (step, words read, lane states) a decoder can begin inside one.
-States are 64 bits wide and renormalised by 32; probabilities have 20 bits.
+States stay in [2**32, 2**48) and are renormalised by 16 bits; probabilities have 20 bits. A state over a
+frequency is less than 2**28, so a quotient of doubles is exact once rounded down.
 
 Documents are range-partitioned and sorted by doc_id; every segment knows how many tokens precede it in its
 partition, and one row a partition gives the partitions' offsets.
@@ -21,7 +22,6 @@ columns are ignored; an empty table has no rows.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import blocks, materialize, text_of
+from waymark.llm.words import EXACT, SPACED, fmix, hashes, spans
 
 MAGIC, VERSION = b"WMTK", 1
 BITS = 20
-LOW = np.uint64(1 << 31)
-LANES, BLOCK, SEGMENT, EVERY = 512, 1 << 18, 1 << 22, 256
+LOW = 1 << 32
+LANES, BLOCK, SEGMENT, EVERY = 4096, 1 << 20, 1 << 22, 128
 PART_BYTES = 24 << 20
 
 
@@ -59,28 +60,38 @@ def encode_block(tokens: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> bytes
     n = len(tokens)
     lanes = int(min(LANES, max(1, n // 64)))
     steps = -(-n // lanes)
-    x = np.full(lanes, LOW, np.uint64)
+    x = np.full(lanes, LOW, np.int64)
     out, written, marks = [], 0, []
     f_all, c_all = freq[tokens], cum[tokens]
-    shift, high = np.uint64(BITS), np.uint64(32)
+    limit = f_all << (48 - BITS)
+    by = f_all.astype(np.float64)
     for s in range(steps - 1, -1, -1):
-        f, c = f_all[s * lanes : (s + 1) * lanes], c_all[s * lanes : (s + 1) * lanes]
-        live = x[: len(f)]
-        full = live >= (f << np.uint64(63 - BITS))
-        if full.any():
+        k = slice(s * lanes, (s + 1) * lanes)
+        live = x[: len(f_all[k])]
+        full = np.flatnonzero(live >= limit[k])
+        if len(full):
             got = live[full]
-            out.append(got.astype(np.uint32))
-            written += len(got)
-            live[full] = got >> high
-        q = live // f
-        live += q * (np.uint64(1 << BITS) - f) + c  # (q << BITS) + x - q f + c
+            low, got = got.astype(np.uint16), got >> 16
+            twice = np.flatnonzero(got >= limit[k][full])  # frequencies under 16
+            if len(twice):
+                # read first what was pushed last
+                out.append(low[twice])
+                low[twice] = got[twice].astype(np.uint16)
+                got[twice] >>= 16
+            out.append(low)
+            written += len(low) + len(twice)
+            live[full] = got
+        q = (live / by[k]).astype(np.int64)
+        q *= (1 << BITS) - f_all[k]
+        live += q  # (q << BITS) + x - q f + c
+        live += c_all[k]
         if s and s % EVERY == 0:
             marks.append((s, written, x.copy()))
-    words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
-    payload = words.astype("<u4").tobytes()
+    words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint16)
+    payload = words.astype("<u2").tobytes()
     head = struct.pack("<IIIIII", n, lanes, len(words), len(marks), zlib.crc32(payload), 0)
-    points = b"".join(struct.pack("<II", s, len(words) - w) + state.astype("<u8").tobytes() for s, w, state in marks[::-1])
-    return head + points + x.astype("<u8").tobytes() + payload
+    points = b"".join(struct.pack("<II", s, len(words) - w) + state.astype("<i8").tobytes() for s, w, state in marks[::-1])
+    return head + points + x.astype("<i8").tobytes() + payload
 
 
 class Block:
@@ -92,14 +103,14 @@ class Block:
         self.starts = []
         for _ in range(marks):
             s, w = struct.unpack_from("<II", raw, at)
-            self.starts.append((s, w, np.frombuffer(raw, "<u8", self.lanes, at + 8)))
+            self.starts.append((s, w, np.frombuffer(raw, "<i8", self.lanes, at + 8)))
             at += 8 + 8 * self.lanes
-        self.starts.insert(0, (0, 0, np.frombuffer(raw, "<u8", self.lanes, at)))
+        self.starts.insert(0, (0, 0, np.frombuffer(raw, "<i8", self.lanes, at)))
         at += 8 * self.lanes
-        if zlib.crc32(raw[at : at + 4 * words]) != crc:
+        if zlib.crc32(raw[at : at + 2 * words]) != crc:
             raise ValueError("checksum of a coded block differs")
-        self.words = np.frombuffer(raw, "<u4", words, at)
-        self.size = at + 4 * words
+        self.words = np.frombuffer(raw, "<u2", words, at).astype(np.int64)
+        self.size = at + 2 * words
         self.slots, self.freq, self.cum = slots, freq, cum
         self.steps = -(-self.n // self.lanes)
 
@@ -107,20 +118,24 @@ class Block:
         """Table entries from checkpoint k up to the next one."""
         step, at, state = self.starts[k]
         end = self.starts[k + 1][0] if k + 1 < len(self.starts) else self.steps
-        x, lanes = state.astype(np.uint64), self.lanes
+        x, lanes = state.astype(np.int64), self.lanes
         out = np.empty(min(end * lanes, self.n) - step * lanes, self.slots.dtype)
-        mask, shift, high = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32)
+        mask = (1 << BITS) - 1
         for s in range(step, end):
             o = (s - step) * lanes
             live = x[: min(lanes, self.n - s * lanes)]
             slot = live & mask
             got = self.slots[slot]
             out[o : o + len(got)] = got
-            live[:] = self.freq[got] * (live >> shift) + slot - self.cum[got]
+            live >>= BITS
+            live *= self.freq[got]
+            live += slot
+            live -= self.cum[got]
             low = np.flatnonzero(live < LOW)
-            if len(low):
-                live[low] = (live[low] << high) | self.words[at : at + len(low)]
+            while len(low):
+                live[low] = (live[low] << 16) | self.words[at : at + len(low)]
                 at += len(low)
+                low = low[live[low] < LOW]
         return out
 
     def decode(self) -> np.ndarray:
@@ -128,8 +143,8 @@ class Block:
 
 
 def _tables(freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    f = freq.astype(np.uint64)
-    return f, np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64)
+    f = freq.astype(np.int64)
+    return f, np.concatenate([[0], np.cumsum(f)[:-1]])
 
 
 def encode_segment(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -173,64 +188,123 @@ def decode_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 
 
 class Encoder:
-    """The library's ids of whole texts, remembered per piece between spaces.
+    """The library's ids of whole texts, remembered per word with the space or line feed before it.
 
-    The byte-level pattern never joins what stands on both sides of a space before a non-space, nor of a line
-    feed between non-spaces, so pieces cut there have their own ids whatever surrounds them.
+    The byte-level pattern never joins what stands on both sides of a space, or of a single line feed, that is
+    between two characters other than white space: such pieces have their own ids whatever surrounds them. A
+    text with any other white space goes to the library whole. The memory is a direct-mapped table of
+    2**SLOTS pieces by hash, so its size is fixed.
     """
 
-    MOST = 400_000  # remembered pieces; then memory starts afresh
+    SLOTS, POOL = 21, 1 << 24
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.odd = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f]|^\s|\s$")
-        self.cut = re.compile(r"(?= \S)")
-
-    def _split(self, text: str) -> list[str]:
-        if self.odd.search(text):
-            return self.cut.split(text)
-        # only single spaces and line feeds between words
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if "\0" not in text else self.cut.split(text)
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.pieces) + len(new) > self.MOST:
-            self.pieces.clear()
-        if len(self.tokens) > self.MOST:
-            self.tokens.clear()
-        parts = {p: self.pattern.findall(p) for p in new}
-        missing = list({t for ts in parts.values() for t in ts} - self.tokens.keys())
-        for t, e in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.tokens[t] = np.array(e.ids, self.kind).tobytes()
-        get = self.tokens.__getitem__
-        for p, ts in parts.items():
-            self.pieces[p] = b"".join(map(get, ts))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) for t in texts]
-        every = set().union(*split)
-        if len(every) + len(self.pieces) > self.MOST:
-            self.pieces = {k: v for k, v in self.pieces.items() if k in every}
-        self._learn(every - self.pieces.keys())
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, s)) for s in split]
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(path: str, pattern: str) -> Encoder:
-    return _encoders.setdefault((path, pattern), None) or _encoders.__setitem__((path, pattern), Encoder(path, pattern)) or _encoders[path, pattern]
-
-
-def write(docs: DataFrame, path: str, pattern: str, end: int = 0) -> DataFrame:
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each token: the byte-level alphabet has a letter a byte
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.key, self.at, self.size = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32), np.zeros(1 << self.SLOTS, np.int32)
+        self.pool, self.used = np.empty(self.POOL, self.kind), 0
+
+    def _add(self, ids: np.ndarray) -> int:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty(len(ids) + len(self.pool), self.kind)])
+        at, self.used = self.used, self.used + len(ids)
+        self.pool[at : self.used] = ids
+        return at
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the pool, lengths) of new pieces, by the library."""
+        at, size = np.empty(len(pieces), np.int32), np.empty(len(pieces), np.int32)
+        joined = [i for i, p in enumerate(pieces) if p[:1] in b" \n"]
+        alone = [i for i, p in enumerate(pieces) if p[:1] not in b" \n"]
+        for i, e in zip(alone, self.library.encode_batch_fast([pieces[i].decode() for i in alone], add_special_tokens=False), strict=True):
+            at[i], size[i] = self._add(np.array(e.ids, self.kind)), len(e.ids)
+        runs = [np.array(joined[i : i + 500]) for i in range(0, len(joined), 500)]
+        for run, e in zip(runs, self.library.encode_batch_fast([b"".join(pieces[i] for i in run).decode() for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.kind)
+            begin = np.concatenate([[0], np.cumsum([len(pieces[i]) for i in run])])
+            cut = np.searchsorted(np.concatenate([[0], np.cumsum(self.bytes[ids])]), begin)
+            at[run], size[run] = self._add(ids) + cut[:-1], np.diff(cut)
+        return at, size
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Each text's ids, as little-endian integers of self.kind."""
+        starts, ends, rows = spans(data, off, SPACED)
+        odd = self._odd(data, off, starts, ends, rows)
+        plain = np.repeat(~odd, np.diff(rows))
+        starts, ends = starts[plain], ends[plain]
+        of = np.repeat(np.arange(len(odd)), np.diff(rows))[plain]
+        first = starts == off[of]
+        h = hashes(data, starts, ends, EXACT)
+        lead = data[np.maximum(starts - 1, 0)]
+        lead = np.where(first, 0, lead).astype(np.uint64)
+        h = fmix(h + lead * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
+        if self.used > self.POOL - (1 << 22):
+            self._forget()
+        slot = h >> np.uint64(64 - self.SLOTS)
+        at, size = self.at[slot], self.size[slot]
+        new = np.flatnonzero(self.key[slot] != h)
+        if len(new):
+            keys, where, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            where = new[where]
+            begin, end = starts[where] - ~first[where], ends[where]
+            raw = data.tobytes()
+            got_at, got_size = self._learn([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            at[new], size[new] = got_at[inverse], got_size[inverse]
+            k = slot[where]
+            self.key[k], self.at[k], self.size[k] = keys, got_at, got_size
+        done = np.cumsum(size, dtype=np.int64)
+        flat = self.pool[np.repeat(at - (done - size), size) + np.arange(done[-1] if len(done) else 0)]
+        cut = np.concatenate([[0], done])[np.searchsorted(of, np.arange(len(odd) + 1))]
+        out = [flat[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        if odd.any():
+            some = np.flatnonzero(odd)
+            texts = [data[off[d] : off[d + 1]].tobytes().decode() for d in some]
+            for d, e in zip(some, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                out[d] = np.array(e.ids, self.kind).tobytes()
+        return out
+
+    @staticmethod
+    def _odd(data, off, starts, ends, rows) -> np.ndarray:
+        """Texts that aren't words with one space or line feed between them."""
+        n = np.diff(rows)
+        odd = (n == 0) & (np.diff(off) > 0)
+        some = n > 0
+        odd[some] |= (starts[rows[:-1][some]] != off[:-1][some]) | (ends[rows[1:][some] - 1] != off[1:][some])
+        gap = np.flatnonzero((starts[1:] - ends[:-1] != 1) | ((data[ends[:-1]] != 0x20) & (data[ends[:-1]] != 0x0A))) if len(starts) > 1 else np.zeros(0, np.int64)
+        left, right = np.searchsorted(rows, gap, "right"), np.searchsorted(rows, gap + 1, "right")
+        odd[left[left == right] - 1] = True
+        # white space beyond ASCII, and the four separators that only some call white space
+        lead = np.flatnonzero(WIDE[data])
+        if len(lead):
+            b, c = data[lead], data[np.minimum(lead + 1, len(data) - 1)]
+            wide = (b < 0x20) | ((b == 0xC2) & ((c == 0x85) | (c == 0xA0))) | ((b == 0xE1) & ((c == 0x9A) | (c == 0xA0))) | ((b == 0xE2) & ((c == 0x80) | (c == 0x81))) | ((b == 0xE3) & (c == 0x80))
+            odd[np.searchsorted(off, lead[wide], "right") - 1] = True
+        return odd
+
+
+WIDE = np.zeros(256, bool)
+WIDE[[0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One a worker process: what it remembers serves its later tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def write(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """Encode and write all texts; returns the written container: part, before, first_id, n_tokens, segment."""
     source = text_of(docs)
     size = source.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -239,10 +313,10 @@ def write(docs: DataFrame, path: str, pattern: str, end: int = 0) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, before = _encoder(path, pattern), TaskContext.get().partitionId(), 0
+        encoder, part, before = _encoder(path), TaskContext.get().partitionId(), 0
         kind, ids, pieces, held = encoder.kind, [], [], 0
         stop = np.array([end], kind).tobytes()
-        width = np.dtype(kind).itemsize
+        width = kind.itemsize
 
         def segment():
             nonlocal ids, pieces, held, before
@@ -252,8 +326,8 @@ def write(docs: DataFrame, path: str, pattern: str, end: int = 0) -> DataFrame:
             ids, pieces, held = [], [], 0
             return row
 
-        for batch, _, _ in blocks(batches, most=2 << 20):
-            for i, got in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
+        for batch, data, off in blocks(batches):
+            for i, got in zip(batch.column("doc_id").to_pylist(), encoder.encode(data, off), strict=True):
                 if held and held + len(got) // width + 1 > SEGMENT:
                     yield segment()
                 ids.append(i)
@@ -281,10 +355,10 @@ def read(container: DataFrame) -> DataFrame:
     return container.select("part", "before", "segment").mapInArrow(run, "doc_id long, part long, place long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, end: int = 0) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 as read back from the files."""
     spark = docs.sparkSession
-    container = write(docs, path, pattern, end)
+    container = write(docs, path, end)
     sums = container.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a partition
     starts = np.concatenate([[0], np.cumsum([r["n"] for r in sums])])
     base = spark.createDataFrame([(r["part"], int(s)) for r, s in zip(sums, starts)], "part long, base long")

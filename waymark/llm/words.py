@@ -36,13 +36,9 @@ def fmix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _values() -> np.ndarray:
-    v = fmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    v[65:91] = v[97:123]  # A-Z count as a-z
-    return v
-
-
-VALUES = _values()
+EXACT = fmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+VALUES = EXACT.copy()
+VALUES[65:91] = VALUES[97:123]  # A-Z count as a-z
 
 
 def _class(separators: str) -> np.ndarray:
@@ -75,8 +71,8 @@ def spans(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> tuple[np.ndarr
     return starts, np.flatnonzero(mask & ~after) + 1, np.searchsorted(starts, off)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z as a-z."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
+    """64-bit hash of each word; with VALUES, A-Z count as a-z."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -86,7 +82,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         pw, ipw = _powers(len(seg) + 1)
         c = np.empty(len(seg) + 1, np.uint64)
         c[0] = 0
-        np.cumsum(VALUES[seg] * pw[:-1], out=c[1:])
+        np.cumsum(values[seg] * pw[:-1], out=c[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (c[e] - c[s]) * ipw[s] + (e - s).astype(np.uint64)
         i = j
