@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, license_scan, logbilinear, minhash, secret_scan, token_files, toxicity
+from waymark.llm import decontaminate, license_scan, logbilinear, minhash, multi_index, secret_scan, token_files, toxicity
 from waymark.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
