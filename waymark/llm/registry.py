@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import decontaminate, license_scan, logbilinear, minhash, multi_index, secret_scan, token_files, toxicity
+from waymark.llm import decontaminate, license_scan, logbilinear, minhash, multi_index, piece_codec, secret_scan, token_files, toxicity, url_filter
 from waymark.llm.common import table
 
 
@@ -35,6 +35,14 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
