@@ -122,7 +122,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], params: Params
             rest = [batch.column(c) for c in ("doc_id", *keep)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(s), pa.array((s >= params.threshold).astype(np.int32))], names=["doc_id", *keep, "score", "predicted"])
 
-    source = text_of(docs, *keep)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in keep if c != "text"))
     kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(run, f"doc_id long{kinds}, score double, predicted int")
 
