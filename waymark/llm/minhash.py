@@ -6,12 +6,17 @@
 3. For the texts that share a bucket (band, key), the shingles that another such text has too are counted.
    A pair has at most the smaller of the two counts in common, so most texts that only resemble others
    leave their buckets at once, exactly.
-4. In each bucket a few pivots (the one that shares most first) are joined with the other members: rows in
-   proportion to the members, never all pairs. Candidates whose signatures agree too little are left out,
-   the rest are confirmed on full sets, and components are found by alternating large-star and small-star.
-   Pivots have then met all others and leave the bucket; this goes on while a bucket has two components, so
-   no pair that shares a bucket goes unchecked unless it is already connected. A pair at the threshold
-   shares no bucket with a probability of (1 - 0.8**4)**32 = 5e-8, one above it still less.
+4. Members of a bucket are linked to its smallest doc_id; the connected components of these links, by
+   alternating large-star and small-star, are blocks: texts in different blocks can't be linked. A block of at
+   most BLOCK texts and SHINGLES shingles is settled in one task: a breadth-first search compares signatures,
+   then confirms on full sets, and only meets texts that no component has yet.
+5. Larger blocks are settled bucket by bucket: a few pivots (the one that shares most first) are joined with
+   the other members, rows in proportion to the members, never all pairs. Candidates whose signatures agree
+   too little are left out, the rest are confirmed on full sets, and large-star and small-star give components.
+   Pivots have then met all others and leave the bucket; this goes on while a bucket has two components.
+
+So no pair that shares a bucket goes unchecked unless it is already connected. A pair at the threshold shares
+no bucket with a probability of (1 - 0.8**4)**32 = 5e-8, one above it still less.
 
 Defined results: null text, or text without words: no shingles, its own component, kept. Repeated rows of a
 doc_id are returned once each, in one component. Rows with a null doc_id are left out (nothing can link to
@@ -22,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,24 +120,70 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     return sets.select("id", n.alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
 
 
-PIVOTS = 6
+BLOCK, SHINGLES = 4096, 1 << 23
+
+
+def settle(n: np.ndarray, c: np.ndarray, sig: np.ndarray, flat: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest number connected to each of a block's texts; n, c: set sizes and shared counts."""
+    out, free = np.arange(len(n)), np.ones(len(n), bool)
+    for first in range(len(n)):
+        if not free[first]:
+            continue
+        free[first], queue = False, [first]
+        while queue:
+            x = queue.pop()
+            u = np.flatnonzero(free)
+            u = u[((100 + percent) * np.minimum(c[u], c[x]) >= percent * (n[u] + n[x])) & (100 * np.minimum(n[u], n[x]) >= percent * np.maximum(n[u], n[x]))]
+            u = u[(sig[u] == sig[x]).sum(1) >= AGREE]
+            if not len(u):
+                continue
+            own, size = flat[off[x] : off[x + 1]], n[u]
+            begin = np.cumsum(size) - size
+            h = flat[np.repeat(off[u] - begin, size) + np.arange(size.sum())]
+            common = np.add.reduceat(own[np.searchsorted(own, h).clip(max=len(own) - 1)] == h, begin)
+            new = u[100 * common >= percent * (n[u] + n[x] - common)]
+            free[new], out[new] = False, first
+            queue += new.tolist()
+    return out
 
 
-def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; see the module's text."""
-    spark = docs.sparkSession
-    seen, seen_path = materialize(prepare(docs, k), "minima")
-    alike = seen.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = seen.where("n > 0").join(alike, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps, reps_path = materialize(reps.select("doc_id", "n", "sig", "keys"), "reps")
-    members = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.col("doc_id").alias("id"), F.xxhash64("band", "key").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members, members_path = materialize(members.join(several, "bucket", "left_semi"), "buckets")
-    sets, sets_path = materialize(sets_of(docs, members.select(F.col("id").alias("doc_id")).distinct(), k), "sets")
-    counts, counts_path = materialize(shared_counts(sets).where(f"100 * c >= {percent} * n"), "shared")
-    members, path = materialize(members.join(counts, "id"), "members")
+def settle_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of whole blocks; rows: block, id, n, c, sig, shingles."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        sets = t.column("shingles").combine_chunks()
+        flat = sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        off = np.concatenate([[0], np.cumsum(pc.list_value_length(sets).to_numpy())]).astype(np.int64)
+        sig = t.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, HASHES)
+        ids = t.column("id").to_numpy()
+        got = settle(*(t.column(x).to_numpy() for x in "nc"), sig, flat, off, percent)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[got])], names=["id", "component"])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # the last block so far: at most BLOCK rows, SHINGLES shingles
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cut = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                if held and a < b and held[0].column("block")[0].as_py() != block[a]:
+                    yield solve(pa.Table.from_batches(held))
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "id long, component long")
+
 
-    old, labels, tried, wave = [path], None, None, 0
+PIVOTS = 6
+
+
+def settle_buckets(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(id, component) by pivots; members: bucket, id, n, c. None if there are no links."""
+    spark = members.sparkSession
+    old, labels, kept, tried, wave = [], None, None, None, 0
     while True:
         placed = members.withColumn("component", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         who = F.struct("id", "component", "n", "c")
@@ -167,13 +219,44 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             moved = components(arcs).select(F.col("id").alias("component"), F.col("component").alias("to"))
             grown = labels.union(moved.select("component", "component")).distinct()
             labels, path = materialize(grown.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
+        kept = path
         old.append(path)
         wave += 1
+    drop(spark, *(x for x in old if x != kept))
+    return labels
+
+
+def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document; see the module's text."""
+    spark = docs.sparkSession
+    seen, seen_path = materialize(prepare(docs, k), "minima")
+    alike = seen.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    reps = seen.where("n > 0").join(alike, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
+    reps, reps_path = materialize(reps.select("doc_id", "n", "sig", "keys"), "reps")
+    members = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.col("doc_id").alias("id"), F.xxhash64("band", "key").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    members, members_path = materialize(members.join(several, "bucket", "left_semi"), "buckets")
+    sets, sets_path = materialize(sets_of(docs, members.select(F.col("id").alias("doc_id")).distinct(), k), "sets")
+    counts, counts_path = materialize(shared_counts(sets).where(f"100 * c >= {percent} * n"), "shared")
+    members, shared_path = materialize(members.join(counts, "id"), "members")
+
+    least = members.groupBy("bucket").agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v < w").select("bucket", "v")
+    blocks_, blocks_path = materialize(components(members.join(least, "bucket").select(F.col("id").alias("u"), "v")).withColumnRenamed("component", "block"), "blocks")
+    placed = counts.join(blocks_, "id")
+    large = placed.groupBy("block").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where((F.col("texts") > block) | (F.col("size") > SHINGLES)).select("block")
+    large, large_path = materialize(large, "large")
+    some = not large.isEmpty()
+    small = placed.join(large, "block", "left_anti") if some else placed
+    full = small.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").join(sets, "id").select("block", "id", "n", "c", "sig", "shingles")
+    labels, labels_path = materialize(settle_blocks(full, percent), "labels")
+    if some:
+        far = settle_buckets(members.join(placed.join(large, "block", "left_semi").select("id"), "id", "left_semi"), reps, sets, percent)
+        labels = labels if far is None else labels.union(far)
     # back to all documents: those of a class share its smallest id's component
-    whole = alike if labels is None else alike.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    whole = whole.select("digest", (F.col("doc_id") if labels is None else F.coalesce("component", "doc_id")).alias("component_id"))
+    whole = alike.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
+    whole = whole.select("digest", F.coalesce("component", "doc_id").alias("component_id"))
     out, _ = materialize(seen.select("doc_id", "n", "digest").join(whole, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
-    drop(spark, seen_path, reps_path, members_path, sets_path, counts_path, *old)
+    drop(spark, seen_path, reps_path, members_path, sets_path, counts_path, shared_path, blocks_path, large_path, labels_path)
     return out
 
 
