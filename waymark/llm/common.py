@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -24,6 +26,7 @@ _shipped: set[str] = set()
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +47,16 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(f"{folder}/waymark.zip")
 
 
+ARROW_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of about 4 MB at most, unless the session has a bound of its own: rows with long texts
+    otherwise come in batches of 64 MB, held several times over by the JVM and by each Python worker."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
     if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
@@ -110,7 +123,14 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def trim() -> None:
+    """Give freed memory back to the system: workers stay alive between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches into runs of whole rows of at most `most` text bytes (a longer row stands alone)."""
     for batch in batches:
         _, off = buffers(batch.column(column))
@@ -120,6 +140,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             part = batch.slice(i, min(j, n) - i)
             yield part, *buffers(part.column(column))
             i = min(j, n)
+    trim()
 
 
 def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> pa.Array:

@@ -45,7 +45,7 @@ SPACE = 0x20
 class Pieces:
     """The vocabulary: piece bytes (spaces for U+2581), ids, integer scores, and which steps are open."""
 
-    SLOTS = 21
+    SLOTS = 19
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
@@ -80,6 +80,10 @@ class Pieces:
         self.keys, self.ids = h[order], np.array(ids, np.int32)[order]
         self.scores = np.round(np.array(score)[order] * 65536).astype(np.int64)
         self.unknown = np.int64(self.scores.min() - 10 * 65536)
+        # what an id adds to a path's score; byte pieces only spell characters without a piece
+        self.gain = np.zeros(n, np.int64)
+        self.gain[self.ids] = self.scores
+        self.gain[self.byte_ids[[b for b in range(256) if b & 0xC0 != 0x80]]] = self.unknown
         self.lengths = np.unique(size)
         self.most = int(size.max())
         self.flag = np.zeros(1 << 22, bool)
@@ -130,18 +134,18 @@ class Pieces:
         parts.append((at, width[at], np.full(len(at), -1, np.int32), np.full(len(at), self.unknown)))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
-    def solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Best segmentations of many spans in lockstep: (ids, ids of each span, score of each span)."""
+    def solve(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best segmentations of many spans in lockstep: (ids, number of each span's ids)."""
         size = ends - starts
         order = np.argsort(size, kind="stable")
         total = np.cumsum(size[order])
-        counts, scores = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        counts = np.zeros(len(size), np.int64)
         i, pieces = 0, []
         while i < len(order):
-            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 20), "right")))
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + (1 << 18), "right")))
             own = order[i:j]
-            ids, n, s = self._solve(data, starts[own], size[own])
-            counts[own], scores[own] = n, s
+            ids, n = self._solve(data, starts[own], size[own])
+            counts[own] = n
             pieces.append((own, ids))
             i = j
         begin = np.cumsum(counts) - counts
@@ -149,7 +153,7 @@ class Pieces:
         for own, ids in pieces:
             n = counts[own]
             flat[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
-        return flat, counts, scores
+        return flat, counts
 
     def _solve(self, data, starts, size):
         n = len(size)
@@ -188,7 +192,7 @@ class Pieces:
         bad = ids < 0
         at = np.repeat(s[x], wide) + np.arange(len(ids)) - np.repeat(np.cumsum(wide) - wide, wide)
         ids[bad] = self.byte_ids[buf[at[bad]]]
-        return ids.astype(self.kind), np.bincount(np.repeat(owner[s[x]], wide), minlength=n), best[off[1:] + np.arange(n)]
+        return ids.astype(self.kind), np.bincount(np.repeat(owner[s[x]], wide), minlength=n)
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for, U+2581 as a space; the first space is still there."""
@@ -200,14 +204,14 @@ class Pieces:
 class Codec:
     """Pieces with a direct-mapped memory of 2**SLOTS units."""
 
-    SLOTS, POOL = 21, 1 << 24
+    SLOTS, POOL = 20, 1 << 23
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self._forget()
 
     def _forget(self) -> None:
-        self.key, self.at, self.size, self.score = (np.zeros(1 << self.SLOTS, t) for t in (np.uint64, np.int32, np.int32, np.int64))
+        self.key, self.at, self.size = (np.zeros(1 << self.SLOTS, t) for t in (np.uint64, np.int32, np.int32))
         self.pool, self.used = np.empty(self.POOL, self.pieces.kind), 0
 
     @staticmethod
@@ -217,33 +221,36 @@ class Codec:
         begin[off[:-1][off[:-1] < len(data)]] = True
         return np.flatnonzero(begin)
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where each span's ids begin, each span's score); spans begin with their space, if any."""
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each span's ids begin); spans begin with their space, if any."""
         starts = self.units(data, off)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
         rows = np.searchsorted(starts, off)
         h = hashes(data, starts, ends, EXACT) | np.uint64(1)
-        if self.used > self.POOL - (1 << 23):
+        if self.used > self.POOL // 2:
             self._forget()
         slot = fmix(h) >> np.uint64(64 - self.SLOTS)
-        at, size, score = self.at[slot], self.size[slot], self.score[slot]
+        at, size = self.at[slot], self.size[slot]
         new = np.flatnonzero(self.key[slot] != h)
         if len(new):
             keys, where, inverse = np.unique(h[new], return_index=True, return_inverse=True)
             where = new[where]
-            ids, n, s = self.pieces.solve(data, starts[where], ends[where])
+            ids, n = self.pieces.solve(data, starts[where], ends[where])
             if self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.empty(len(ids) + len(self.pool), self.pool.dtype)])
             self.pool[self.used : self.used + len(ids)] = ids
             begin = self.used + np.cumsum(n) - n
             self.used += len(ids)
-            at[new], size[new], score[new] = begin[inverse], n[inverse], s[inverse]
+            at[new], size[new] = begin[inverse], n[inverse]
             k = slot[where]
-            self.key[k], self.at[k], self.size[k], self.score[k] = keys, begin, n, s
+            self.key[k], self.at[k], self.size[k] = keys, begin, n
         done = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         flat = self.pool[np.repeat(at - done[:-1], size) + np.arange(done[-1])]
-        gain = np.concatenate([[0], np.cumsum(score)])
-        return flat, done[rows], gain[rows[1:]] - gain[rows[:-1]]
+        return flat, done[rows]
+
+    def score(self, data: np.ndarray) -> np.int64:
+        """Of the best path through one span."""
+        return self.pieces.gain[self.encode(data, np.array([0, len(data)]))[0]].sum() if len(data) else np.int64(0)
 
     def states(self, data: np.ndarray, at: int) -> list[tuple[int, int]]:
         """(bytes beyond `at`, piece) of the pieces that reach or cross it; 0 for any piece in a unigram model."""
@@ -267,7 +274,7 @@ class Codec:
             # every path passes the beginnings of units, and every step over one is open
             a, b = int(sync[0]), int(sync[-1])
             head = self._paths(data, begin, a, entries, None)
-            middle = self.encode(data[a:b], np.array([0, b - a]))[2][0] if b > a else np.int64(0)
+            middle = self.score(data[a:b])
             tail = self._paths(data, b, end, [(0, -2)], exits)
             t = np.where((head > NONE) & (tail > NONE), head + middle + tail, NONE)
         else:
@@ -366,7 +373,7 @@ FIELDS = "n_tokens long, ids_crc32 long, whole boolean, ids array<int>"
 
 def _coded(codec: Codec, data: np.ndarray, off: np.ndarray, with_ids: bool) -> list[pa.Array]:
     """The columns FIELDS of spans; `whole`: the ids decode to the span's bytes."""
-    ids, cut, _ = codec.encode(data, off)
+    ids, cut = codec.encode(data, off)
     back = codec.pieces.decode(ids)
     size = np.concatenate([[0], np.cumsum(codec.pieces.size[ids])])[cut]
     wide = ids.astype("<u4")
