@@ -122,10 +122,11 @@ def search(places: DataFrame, times: DataFrame, entities: DataFrame, near: Near
     """One row per entity in rank order; None without a place and a date."""
     timed = when is not None and when.given()
     if near and timed:
-        return labelled(by_place_and_time(places, times, near, when, limit), entities)
+        order = [F.col("distance_km"), F.col("time_diff")] if not when.direction or not when.year else when.order()
+        return labelled(by_place_and_time(places, times, near, when, limit), entities).orderBy(*order, "entity_id")
     if near:
-        return labelled(by_place(places, near, limit), entities)
-    return labelled(by_time(times, when, limit), entities) if timed else None
+        return labelled(by_place(places, near, limit), entities).orderBy("distance_km", "entity_id")
+    return labelled(by_time(times, when, limit), entities).orderBy(*when.order(), "entity_id") if timed else None
 
 
 def time_envelope(times: DataFrame) -> DataFrame:

@@ -34,4 +34,4 @@ def fuse(lists: list[DataFrame], limit: int = 10) -> DataFrame:
     better = lambda old, new: marked(new) | (~marked(old) & (F.octet_length(new) > F.octet_length(old)))
     text = F.aggregate("rows", F.lit(""), lambda old, x: F.when(better(old, F.coalesce(x["snippet"], F.lit(""))), x["snippet"]).otherwise(old))
     top = one.orderBy(F.desc("rrf"), "entity_id").limit(limit)
-    return top.crossJoin(F.broadcast(active)).select("entity_id", "rrf", (F.col("rrf") / (F.col("active") / 61.0) * 100).alias("power"), "n_lists", F.when(F.col("n_lists") > 1, "H").otherwise(F.col("first_type")).alias("type"), "title", "code", F.coalesce("article", F.lit(0).cast("long")).alias("article_id"), text.alias("snippet"))
+    return top.crossJoin(F.broadcast(active)).select("entity_id", "rrf", (F.col("rrf") / (F.col("active") / 61.0) * 100).alias("power"), "n_lists", F.when(F.col("n_lists") > 1, "H").otherwise(F.col("first_type")).alias("type"), "title", "code", F.coalesce("article", F.lit(0).cast("long")).alias("article_id"), text.alias("snippet")).orderBy(F.desc("rrf"), "entity_id")

@@ -117,7 +117,7 @@ def search_sections(sections: DataFrame, entities: DataFrame, index: Index, quer
     return top.join(s, "doc").join(e, "entity_id", "left").select(
         "entity_id", "doc", F.coalesce("entity_title", "section_title").alias("title"), F.coalesce("article_id", F.lit(0).cast("long")).alias("article_id"), "score", T.power(F.col("score")).alias("power"), "code",
         F.coalesce(filled(T.snippet(F.col("content"), words, 32)), T.truncated(F.col("content"))).alias("snippet"), F.lit("L").alias("type"),
-    )
+    ).orderBy(F.desc("score"), "entity_id")
 
 
 def label_index(entities: DataFrame) -> Index:
@@ -133,4 +133,4 @@ def search_labels(entities: DataFrame, index: Index, query: str, limit: int = 10
     top = best_per_entity(filtered(hits, places, times, near, when), limit, F.desc("score"))
     words = [t for p in T.query_phrases(query) for t in p]
     out = labelled(top, entities, "Q")
-    return out.select("entity_id", "title", "article_id", "description", "score", T.power(F.col("score")).alias("power"), "code", F.coalesce(filled(F.col("description"), T.snippet(F.col("title"), words, 16)), "title").alias("snippet"), F.lit("T").alias("type"))
+    return out.select("entity_id", "title", "article_id", "description", "score", T.power(F.col("score")).alias("power"), "code", F.coalesce(filled(F.col("description"), T.snippet(F.col("title"), words, 16)), "title").alias("snippet"), F.lit("T").alias("type")).orderBy(F.desc("score"), "entity_id")

@@ -122,7 +122,7 @@ def search_sections(hits: DataFrame, sections: DataFrame, entities: DataFrame, l
     top = best_per_entity(filtered(found, places, times, near, when), limit, F.desc("cosine"))
     s = sections.select(F.col("id").alias("doc"), F.col("title").alias("section_title"), "content")
     e = entities.select(F.col("id").alias("entity_id"), F.col("title").alias("entity_title"), "article_id")
-    return top.join(s, "doc").join(e, "entity_id", "left").select("entity_id", "doc", F.coalesce("entity_title", "section_title").alias("title"), F.coalesce("article_id", F.lit(0).cast("long")).alias("article_id"), "cosine", V.power(F.col("cosine")).alias("power"), "code", truncated(F.col("content")).alias("snippet"), F.lit("S").alias("type"))
+    return top.join(s, "doc").join(e, "entity_id", "left").select("entity_id", "doc", F.coalesce("entity_title", "section_title").alias("title"), F.coalesce("article_id", F.lit(0).cast("long")).alias("article_id"), "cosine", V.power(F.col("cosine")).alias("power"), "code", truncated(F.col("content")).alias("snippet"), F.lit("S").alias("type")).orderBy(F.desc("cosine"), "entity_id")
 
 
 def pending(sections: DataFrame, vectors: DataFrame) -> DataFrame:
