@@ -6,9 +6,10 @@
    pair of its halves' centroids.
 3. A query goes through the centroid pairs by the sum of the halves' distances, with a heap (the
    multi-sequence walk), until the cells it took hold `share` of all entries and at least LEAST.
-4. Cells are stored in chunks of about CHUNK entries, so a cell of any size is many rows. Query blocks meet
-   the chunks of their cells by an equi-join on the cell; a chunk gives a query its best entries by a matrix
-   product, and the best of them are reranked by the exact cosine of the original vectors.
+4. Cells are stored in shards of about SHARD entries: neighbouring small cells share one, a larger cell has
+   several. Query blocks meet the shards of their cells by an equi-join; by a matrix product a shard gives a
+   query the best of those entries whose cells the query took, and these are reranked by the exact cosine of
+   the original vectors. A query and a shard make k + 1 rows at most, however many cells they share.
 
 On vectors without structure the share must be large (0.75 has a recall at 5 of about 0.95 on the test tables);
 clustered vectors allow a smaller one.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import materialize
 
-SAMPLE, CHUNK, LEAST, BLOCK = 16_384, 2048, 512, 512
+SAMPLE, SHARD, LEAST, BLOCK = 16_384, 8192, 512, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -102,8 +103,8 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, share: float = 0
     out_schema = "query_id long, rank int, vec_id long, score double"
     k1, k2 = keys()
     rows, _ = materialize(usable(vectors).select("vec_id", "v", k1, k2), "vectors")
-    first = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    few = rows.dropDuplicates(["k1", "k2", "vec_id"]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    by_id = Window.partitionBy("k1", "k2").orderBy("vec_id")
+    few = rows.dropDuplicates(["k1", "k2", "vec_id"]).withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
     entries, _ = materialize(few.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
     n = entries.count()
     if not n:
@@ -135,29 +136,37 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, share: float = 0
         counts[r["cell"]] = r["count"]
     need = max(LEAST, int(np.ceil(share * n)))
 
-    # chunks of about CHUNK entries
-    pieces = F.broadcast(spark.createDataFrame([(r["cell"], -(-r["count"] // CHUNK)) for r in sizes], "cell int, pieces long"))
-    salted = cells.join(pieces, "cell").withColumn("salt", F.pmod("k2", "pieces"))
-    chunks = salted.groupBy("cell", "salt").agg(F.collect_list(F.struct("v", "ids")).alias("entries"))
-
-    # query blocks: one row for each cell that a query of the block goes to
+    # shards: cells in their order, a cell over SHARD entries spread over several
+    first, spread, shard, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
+    for c in np.flatnonzero(counts):
+        if held and held + counts[c] > SHARD:
+            shard, held = shard + 1, 0
+        first[c], spread[c] = shard, -(-counts[c] // SHARD)
+        shard, held = (shard + spread[c], 0) if spread[c] > 1 else (shard, held + counts[c])
+    places = F.broadcast(spark.createDataFrame([(int(c), int(first[c]), int(spread[c])) for c in np.flatnonzero(counts)], "cell int, first long, spread long"))
+    salted = cells.join(places, "cell").withColumn("shard", F.col("first") + F.pmod("k2", "spread"))
+    shards = salted.groupBy("shard").agg(F.collect_list(F.struct("v", "ids", "cell")).alias("entries"))
+
+    # query blocks: one row for each shard that a query of the block goes to
     asked = rows.where(F.col("vec_id") % every == 0)
     asks = asked.groupBy("k1", "k2").agg(F.first("v").alias("v"))
+    ask = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32()))])
 
     def route(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(s, BLOCK)
                 a, b = distances(matrix(part.column("v")), books)
-                by: dict[int, list[int]] = {}
+                by: dict[int, dict[int, list[int]]] = {}
                 for q in range(part.num_rows):
                     for c in walk(a[q], b[q], counts, need):
-                        by.setdefault(c, []).append(q)
+                        for at in range(first[c], first[c] + spread[c]):
+                            by.setdefault(at, {}).setdefault(q, []).append(c)
                 q1, q2, v = (part.column(c).to_pylist() for c in ("k1", "k2", "v"))
-                for c, qs in by.items():
-                    yield pa.RecordBatch.from_pylist([{"cell": c, "asks": [{"k1": q1[q], "k2": q2[q], "v": v[q]} for q in qs]}], pa.schema([("cell", pa.int32()), ("asks", pa.list_(pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.list_(pa.float64()))])))]))
+                for at, qs in by.items():
+                    yield pa.RecordBatch.from_pylist([{"shard": at, "asks": [{"k1": q1[q], "k2": q2[q], "v": v[q], "cells": cs} for q, cs in qs.items()]}], pa.schema([("shard", pa.int64()), ("asks", pa.list_(ask))]))
 
-    routed = asks.mapInArrow(route, "cell int, asks array<struct<k1: long, k2: long, v: array<double>>>")
+    routed = asks.mapInArrow(route, "shard long, asks array<struct<k1: long, k2: long, v: array<double>, cells: array<int>>>")
 
     def best(batches):
         for batch in batches:
@@ -165,16 +174,20 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, share: float = 0
             for asks_, entries_ in zip(batch.column("asks"), batch.column("entries"), strict=True):
                 asks_, entries_ = asks_.values, entries_.values
                 q, e, ids = _matrix(asks_.field("v")), _matrix(entries_.field("v")), entries_.field("ids")
+                known, local = np.unique(entries_.field("cell").to_numpy(), return_inverse=True)
+                open_ = np.stack([np.isin(known, c) for c in asks_.field("cells").to_pylist()])
                 s = (q / np.sqrt((q * q).sum(1, keepdims=True))) @ (e / np.sqrt((e * e).sum(1, keepdims=True))).T
-                m = min(k + 3, len(e))
-                near = np.argpartition(-s, m - 1, axis=1)[:, :m]
+                s[~open_[:, local]] = -np.inf
+                m = min(k + 1, len(e))
+                least = -np.partition(-s, m - 1, axis=1)[:, m - 1] - 1e-9  # ties, and what rounding may have put behind, are reranked too
                 for i, (a1, a2) in enumerate(zip(asks_.field("k1").to_pylist(), asks_.field("k2").to_pylist(), strict=True)):
-                    found = sorted(((-c, v) for x, c in zip(near[i], cosine(e[near[i]], q[i]).tolist(), strict=True) for v in ids[int(x)].as_py()))[: k + 1]
+                    x = np.flatnonzero((s[i] >= least[i]) & (s[i] > -np.inf))
+                    found = sorted(((-c, v) for j, c in zip(x, cosine(e[x], q[i]).tolist(), strict=True) for v in ids[int(j)].as_py()))[: k + 1] if len(x) else []
                     out += [(a1, a2, -c, v) for c, v in found]
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["k1", "k2", "score", "vec_id"])
 
-    hits = routed.join(chunks, "cell").select("asks", "entries").mapInArrow(best, "k1 long, k2 long, score double, vec_id long")
+    hits = routed.join(shards, "shard").select("asks", "entries").mapInArrow(best, "k1 long, k2 long, score double, vec_id long")
     order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
     top = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     top = top.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
