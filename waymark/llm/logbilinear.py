@@ -102,8 +102,8 @@ def head_of(counts: DataFrame, most: int = HEAD, vocabulary: int = VOCABULARY) -
         got = counts.where(F.ceil(F.log2("c") * 8) >= least)
     else:
         got = counts
-    got = got.toPandas()  # at most `most` rows
-    w, c = got["word"].to_numpy(np.int64).view(np.uint64), got["c"].to_numpy(np.int64)
+    got = got.toArrow()  # at most `most` rows of 16 bytes
+    w, c = got["word"].to_numpy().view(np.uint64), got["c"].to_numpy()
     order = np.argsort(w)
     w, c = w[order], c[order]
     best = np.lexsort([w, -c])
@@ -202,10 +202,11 @@ def train(docs: DataFrame, head: Head) -> list[np.ndarray]:
             flat = np.concatenate([x.ravel() for x in trainer.p]).astype(float) * trainer.seen
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.append(float(trainer.seen), flat))], names=["i", "x"])
 
-    got = docs.coalesce(SHARDS).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas().sort_values("i")
+    got = docs.coalesce(SHARDS).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow().sort_by("i")
     if not len(got):
         return init
-    flat = got["x"].to_numpy()[1:] / got["x"].to_numpy()[0]
+    x = got["x"].to_numpy()
+    flat = x[1:] / x[0]
     cut = np.cumsum([x.size for x in init])[:-1]
     return [p.reshape(x.shape).astype(np.float32) for p, x in zip(np.split(flat, cut), init, strict=True)]
 
