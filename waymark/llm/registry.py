@@ -55,5 +55,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Exact shingle sets, every pair that shares a shingle, and the smallest doc_id reachable by links
+NEAR_DUPLICATES = f"""with recursive words as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^ \\t-\\r]+') as w from documents),
+grams as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end) as g from words),
+sizes as (select doc_id, len(g) as n from grams),
+flat as (select doc_id, unnest(g) as h from grams),
+common as (select a.doc_id as u, b.doc_id as v, count(*) as c from flat a join flat b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+links as (select u, v from common join sizes x on x.doc_id = u join sizes y on y.doc_id = v where 100 * c >= 80 * (x.n + y.n - c)),
+arcs as (select u, v from links union all select v, u from links),
+reach(id, far) as (select doc_id, doc_id from sizes union select r.id, a.v from reach r join arcs a on a.u = r.far)
+select s.doc_id, s.n as n_shingles, r.component_id, s.doc_id = r.component_id as kept from sizes s join (select id, min(far) as component_id from reach group by id) r on r.id = s.doc_id"""
+
+SQL = {"op5_near_duplicates": NEAR_DUPLICATES}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
