@@ -79,7 +79,7 @@ def test_phrases_and_snippets(spark):
     index = lexical.build(docs, "id", [F.col("t")])
     assert {r.doc for r in lexical.bm25(index, "foo-bar").collect()} == {1}
     assert {r.doc for r in lexical.bm25(index, "foo bar").collect()} == {1, 2, 3}
-    assert one(spark, text.snippet(F.lit("a b c d e f"), ["d"], 2))[0] == "...c <mark>d</mark>..."
+    assert one(spark, text.snippet(F.lit("a b c d e f"), ["d"], 2))[0] == "...<mark>d</mark> e..."
 
 
 def test_index_search_is_exact_with_all_probes(spark):
@@ -113,3 +113,13 @@ def test_missing_setting_raises(spark):
     assert merge.get_setting(s, "a").first()[0] == "1"
     with pytest.raises(Exception, match="no setting b"):
         merge.get_setting(s, "b").collect()
+
+
+def test_scan_and_index_agree(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(rng.choice(["foo", "bar", "baz", "Qux-foo"], rng.integers(0, 12))), None if i % 5 == 0 else "foo bar") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, a string, b string")
+    cols = [F.col("a"), F.col("b")]
+    for q in ("foo", "foo-bar baz", "qux-foo-bar", "none"):
+        one, two = ({r.doc: round(r.score, 9) for r in lexical.bm25(x, q).collect()} for x in (lexical.build(docs, "id", cols), lexical.scan(docs, "id", cols)))
+        assert one == two

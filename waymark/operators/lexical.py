@@ -1,7 +1,8 @@
 """BM25 search over section texts and entity labels.
 
-The index is three tables: postings (term, doc, tf, positions), document lengths and corpus statistics. A query
-filters the postings to its own terms before anything is joined, so its cost follows those terms' postings.
+A stored index is three tables: postings (term, doc, tf, positions), document lengths and corpus statistics. A
+query filters the postings to its own terms before anything is joined, so its cost follows those terms' postings.
+Texts without a stored index are scanned: one pass for the corpus statistics, one that scores, no shuffle.
 """
 
 from __future__ import annotations
@@ -42,7 +43,47 @@ def build(docs: DataFrame, doc: str, columns: list[Column]) -> Index:
     return Index(postings, words.select("doc", F.size("w").cast("long").alias("len")))
 
 
-def stats(index: Index) -> DataFrame:
+@dataclass
+class Scan:
+    """Texts to be searched without a stored index: doc, and each column in lower case."""
+
+    texts: DataFrame
+    columns: int
+
+    def total(self, pattern: str) -> Column:
+        """Matches in all columns."""
+        return sum(F.regexp_count(f"t{i}", F.lit(pattern)) for i in range(self.columns)).cast("long")
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.texts.select("doc", self.total(WORD).alias("len"))
+
+
+WORD, INSIDE, BETWEEN = r"[\p{L}\p{N}]+", r"[\p{L}\p{N}]", r"[^\p{L}\p{N}]+"
+
+
+def scan(docs: DataFrame, doc: str, columns: list[Column]) -> Scan:
+    return Scan(docs.select(F.col(doc).alias("doc"), *(F.lower(F.coalesce(c, F.lit(""))).alias(f"t{i}") for i, c in enumerate(columns))), len(columns))
+
+
+def _places(phrase: list[str]) -> str:
+    """Matches (without width, so they may overlap) where the phrase's tokens stand side by side."""
+    return f"(?<!{INSIDE})(?={BETWEEN.join(phrase)}(?!{INSIDE}))"
+
+
+def bm25_scan(found: Scan, phrases: list[list[str]]) -> DataFrame:
+    """Counted by expressions alone; no text is taken apart into an array."""
+    per = found.texts.select("doc", found.total(WORD).alias("len"), *(found.total(_places(p)).alias(f"tf{k}") for k, p in enumerate(phrases)))
+    total = per.agg(F.count("*").alias("docs"), F.avg("len").alias("average"), *(F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(phrases)))).first()  # one row
+    const = lambda x: F.lit(x if x is not None else 0)
+    score, all_ = F.lit(0.0), F.lit(True)
+    for k in range(len(phrases)):
+        score = score + T.bm25_part(F.col(f"tf{k}"), F.col("len"), const(total["average"]), T.idf(const(total["docs"]), const(total[f"df{k}"])))
+        all_ &= F.col(f"tf{k}") > 0
+    return per.where(all_).select("doc", score.alias("score"))
+
+
+def stats(index: Index | Scan) -> DataFrame:
     return index.lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("average"))
 
 
@@ -61,11 +102,13 @@ def phrase_hits(index: Index, phrases: list[list[str]]) -> DataFrame:
     return parts
 
 
-def bm25(index: Index, query: str) -> DataFrame | None:
+def bm25(index: Index | Scan, query: str) -> DataFrame | None:
     """(doc, score) of the documents that match every phrase of the query; None for an empty query."""
     phrases = T.query_phrases(query)
     if not phrases:
         return None
+    if isinstance(index, Scan):
+        return bm25_scan(index, phrases)
     hits = phrase_hits(index, phrases)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))  # a row a phrase
     total = F.broadcast(stats(index))
@@ -101,7 +144,7 @@ def best_per_entity(hits: DataFrame, limit: int, order: Column, tie: str = "doc"
     return first_by(hits, ["entity_id"], order, tie).orderBy(order, "entity_id").limit(limit)
 
 
-def search_sections(sections: DataFrame, entities: DataFrame, index: Index, query: str, limit: int = 10, places=None, times=None, near: Near | None = None, when: When | None = None, overfetch: bool = False) -> DataFrame | None:
+def search_sections(sections: DataFrame, entities: DataFrame, index: Index | Scan, query: str, limit: int = 10, places=None, times=None, near: Near | None = None, when: When | None = None, overfetch: bool = False) -> DataFrame | None:
     """entity_id, doc, title, article_id, score, power, code, snippet; filters come before the top `limit`, so
     nothing is lost. overfetch: cut to 6 * limit hits (60 at least; 2000 with filters) first."""
     found = bm25(index, query)
@@ -124,7 +167,7 @@ def label_index(entities: DataFrame) -> Index:
     return build(entities, "id", [T.fold_accents(F.col("title"))])
 
 
-def search_labels(entities: DataFrame, index: Index, query: str, limit: int = 10, places=None, times=None, near: Near | None = None, when: When | None = None) -> DataFrame | None:
+def search_labels(entities: DataFrame, index: Index | Scan, query: str, limit: int = 10, places=None, times=None, near: Near | None = None, when: When | None = None) -> DataFrame | None:
     """Entities by their labels, accents folded; the snippet is the description, else the marked label, else the title."""
     found = bm25(index, "".join(dict(zip(T.ACCENTED, T.PLAIN, strict=True)).get(c, c) for c in query.lower()))
     if found is None:

@@ -319,6 +319,10 @@ def _index(t: Tables) -> lexical.Index:
     return lexical.build(t.sections, "id", [F.col("title"), F.col("content")])
 
 
+def _scan(t: Tables) -> lexical.Scan:
+    return lexical.scan(t.sections, "id", [F.col("title"), F.col("content")])
+
+
 def _bm25_sql(words: list[str], toks: str = _TOKS) -> str:
     tf = [f"(select doc, count(*) as tf, {k} as phrase from (select doc, unnest(w) as term from toks) where term='{w}' group by doc)" for k, w in enumerate(words)]
     return f"""toks as ({toks}), lens as (select doc, len(w) as len from toks), st as (select count(*) as docs, avg(len) as average from lens),
@@ -343,7 +347,7 @@ def _lexical(df: DataFrame, *more: str) -> DataFrame:
 
 @query()
 def lexical_bm25(t: Tables) -> DataFrame:
-    return _lexical(lexical.search_sections(t.sections, t.entities, _index(t), WORDS))
+    return _lexical(lexical.search_sections(t.sections, t.entities, _scan(t), WORDS))
 
 
 SQL["lexical_bm25"] = _full(_TOP.format(code="", codes="", joins="", bm="bm"), _bm25_sql(["the", "with"]), "entities", "sections")
@@ -351,7 +355,7 @@ SQL["lexical_bm25"] = _full(_TOP.format(code="", codes="", joins="", bm="bm"), _
 
 @query()
 def lexical_space(t: Tables) -> DataFrame:
-    return _lexical(lexical.search_sections(t.sections, t.entities, _index(t), WORDS, places=t.entity_places, near=NEAR), "code")
+    return _lexical(lexical.search_sections(t.sections, t.entities, _scan(t), WORDS, places=t.entity_places, near=NEAR), "code")
 
 
 SQL["lexical_space"] = _full(_TOP.format(code=", h.code", codes=", n.code", joins=" join near n on n.entity_id=s.entity_id", bm="bm"), _bm25_sql(["the", "with"]) + f", near as (select entity_id, first(prop_code order by {_KM}, id) as code from entity_places where {_KM} <= {RADIUS} group by entity_id)", "entities", "sections", "entity_places")
@@ -359,7 +363,7 @@ SQL["lexical_space"] = _full(_TOP.format(code=", h.code", codes=", n.code", join
 
 @query()
 def lexical_time(t: Tables) -> DataFrame:
-    return _lexical(lexical.search_sections(t.sections, t.entities, _index(t), WORDS, times=t.entity_times, when=ev.When(1998)), "code")
+    return _lexical(lexical.search_sections(t.sections, t.entities, _scan(t), WORDS, times=t.entity_times, when=ev.When(1998)), "code")
 
 
 SQL["lexical_time"] = _full(_TOP.format(code=", h.code", codes=", n.code", joins=" join timed_hits n on n.entity_id=s.entity_id", bm="bm"), _bm25_sql(["the", "with"]) + f", timed_hits as (select entity_id, first(prop_code order by julian_day, prop_code) as code from entity_times where julian_day between {_A} and {_B} group by entity_id)", "entities", "sections", "entity_times")
@@ -394,7 +398,7 @@ def snippet_trunc(t: Tables) -> DataFrame:
 
 @query()
 def snippet_mark(t: Tables) -> DataFrame:
-    return lexical.search_sections(t.sections, t.entities, _index(t), WORDS).select("entity_id", "doc", "snippet")
+    return lexical.search_sections(t.sections, t.entities, _scan(t), WORDS).select("entity_id", "doc", "snippet")
 
 
 @query("select entity_id, id, pow from (select *, row_number() over (partition by entity_id order by pow desc, id) rn from sections) where rn=1", "sections")
@@ -515,7 +519,7 @@ def embed_hash(t: Tables) -> DataFrame:
 def _lists(t: Tables) -> list[DataFrame]:
     e = t.entities
     lab = lexical.search_labels(e, lexical.label_index(e), "Customer#000000007")
-    lex = lexical.search_sections(t.sections, e, _index(t), WORDS)
+    lex = lexical.search_sections(t.sections, e, _scan(t), WORDS)
     sem = semantic.search_sections(semantic.exact(t.vectors, _query_vector(t)), t.sections, e)
     return [hybrid.ranked(lab, 0, "score"), hybrid.ranked(lex, 1, "score"), hybrid.ranked(sem, 2, "cosine")]
 
