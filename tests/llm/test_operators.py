@@ -91,6 +91,18 @@ def test_alignment_is_smith_waterman():
         assert score == h.max() and 0 <= first <= last <= len(b)
 
 
+@pytest.mark.parametrize("copies", [5, 50, 5000])
+def test_decontamination_finds_frequent_edited_copies(spark, copies):
+    """An edited copy in many documents, beside one whole copy, and a phrase that all documents and items have."""
+    item = [f"w{i}" for i in range(12)]
+    edited = " ".join("other" if i == 3 else w for i, w in enumerate(item))
+    phrase = "what is the value of"
+    d = [(i, f"{phrase} d{i} {edited} end") for i in range(copies)] + [(copies, " ".join(item)), (copies + 1, f"{phrase} nothing at all")]
+    b = spark.createDataFrame([(1, " ".join(item)), (2, f"{phrase} " + " ".join(f"v{i}" for i in range(20)))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(d, "doc_id long, text string"), b).collect()}
+    assert got == {(i, 1) for i in range(copies + 1)}
+
+
 def test_remove_leaks_keeps_clean(spark, docs, odd):
     b = spark.read.parquet(f"{SF}/benchmark.parquet")
     bad = {r.doc_id for r in decontaminate.leaks(docs, b).collect()}

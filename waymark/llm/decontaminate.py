@@ -1,14 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, a bound on the score, then Smith-Waterman alignment of words.
 
 1. Test items are cut into passages of at most PASSAGE words (overlapping by half). The benchmark is taken in
    slices of at most SLICE_WORDS words, so what is broadcast has a fixed bound; a larger benchmark takes more
    passes over the texts.
-2. One pass counts in how many documents each of the passages' n-grams occurs. A passage's seeds are its rare
-   n-grams: those in at most 4 + 4 times as many documents as its rarer quarter, so phrases that every text
-   has don't seed alignments, and a passage that leaked into very many documents keeps its seeds.
-3. A second pass finds the seeds in each text, and aligns the words around them with the passage (match 2,
-   mismatch and gap -1). A text is contaminated by an item if the best alignment reaches `least` of the score
-   that the whole passage has, which allows for about one word in three being edited.
+2. One pass finds the passages' n-grams in each text. Every n-gram is a seed, however many documents hold it,
+   so no leak is lost because it is frequent or edited. A window around seeds is aligned only if it has enough
+   of the passage's words for the score asked for (matches cannot be more than the words in common), which
+   phrases that every text has seldom reach.
+3. The words of the windows are aligned with the passage (match 2, mismatch and gap -1). A text is contaminated
+   by an item if the best alignment reaches `least` of the score that the whole passage has, which allows for
+   about one word in three being edited, if n consecutive words are left anywhere.
 
 Words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z as a-z, so punctuation
 doesn't count.
@@ -78,13 +79,6 @@ class Seeds:
         order = np.argsort(g, kind="stable")
         self.all, self.where = g[order], w[order]
         self.grams, self.first = np.unique(self.all, return_index=True)
-        self.limit()
-
-    def limit(self, keep: np.ndarray | None = None) -> None:
-        """Use only these occurrences of n-grams (a mask over `all`) as seeds."""
-        if keep is not None:
-            self.all, self.where = self.all[keep], self.where[keep]
-            self.grams, self.first = np.unique(self.all, return_index=True)
         self.last = np.append(self.first[1:], len(self.all))
         bits = max(18, int(len(self.grams) * 64).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
@@ -101,45 +95,20 @@ class Seeds:
         return at[hit], k[hit]
 
 
-def rare(docs: DataFrame, seeds: Seeds) -> None:
-    """Count the seeds' documents over the whole corpus, and keep each passage's rare ones."""
-
-    def run(batches):
-        total = np.zeros(len(seeds.grams), np.int64)
-        for _, data, off in blocks(batches):
-            h, rows, _, _ = words(data, off, ALNUM)
-            g, _, cut = ngrams(h, rows, seeds.n, short=False)
-            at, k = seeds.find(g)
-            doc = np.searchsorted(cut, at, "right") - 1
-            total += np.bincount(np.unique(doc * len(total) + k) % max(1, len(total)), minlength=len(total))
-        hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64()), pa.array(total[hit])], names=["gram", "n"])
-
-    got = text_of(docs).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()  # at most a row an n-gram of the slice
-    df = np.zeros(len(seeds.grams), np.int64)
-    df[got["gram"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    of = np.repeat(df, seeds.last - seeds.first)
-    order = np.lexsort([of, seeds.where[:, 0]])
-    owner = seeds.where[order, 0]
-    cut = np.searchsorted(owner, np.arange(len(seeds.passages)))
-    size = np.diff(np.append(cut, len(owner)))
-    quarter = of[order][cut + size // 4]
-    seeds.limit(of <= 4 + 4 * quarter[seeds.where[:, 0]])
-
-
 def matches(seeds: Seeds, h: np.ndarray, hits: list[tuple[int, int]], least: float) -> dict[int, tuple[float, int, int]]:
     """item -> (share, first word, last word + 1) in one document's words h; hits: (place, n-gram number)."""
-    by: dict[int, list[tuple[int, int]]] = {}
+    by: dict[int, list[int]] = {}
     for at, k in hits:
-        for p, i in seeds.where[seeds.first[k] : seeds.last[k]]:
-            by.setdefault(int(p), []).append((at - int(i), at))
+        for p, i in seeds.where[seeds.first[k] : seeds.last[k]].tolist():
+            by.setdefault(p, []).append(at - i)
     out: dict[int, tuple[float, int, int]] = {}
     for p, found in by.items():
         item, a = seeds.passages[p]
+        held, times = np.unique(a, return_counts=True)
         pad = max(4, len(a) // 4)
         found.sort()
-        groups = [[found[0][0], found[0][0]]]
-        for start, _ in found[1:]:
+        groups = [[found[0], found[0]]]
+        for start in found[1:]:
             if start - groups[-1][1] <= pad:
                 groups[-1][1] = start
             else:
@@ -149,7 +118,12 @@ def matches(seeds: Seeds, h: np.ndarray, hits: list[tuple[int, int]], least: flo
             for s in range(low, high + 1, 2 * len(a) + pad):
                 e = min(high, s + 2 * len(a) + pad - 1)
                 begin = max(0, s - pad)
-                score, first, last = align(a, h[begin : e + len(a) + pad])
+                window = h[begin : e + len(a) + pad]
+                k = np.searchsorted(held, window).clip(max=len(held) - 1)
+                common = np.bincount(k[held[k] == window], minlength=len(held))
+                if np.minimum(common, times).sum() / len(a) < least:  # the score is 2 a match at most
+                    continue
+                score, first, last = align(a, window)
                 share = score / (2 * len(a))
                 if share >= least and (item not in out or (-share, begin + first) < (-out[item][0], out[item][1])):
                     out[item] = (share, begin + first, begin + last)
@@ -163,7 +137,6 @@ def _slice(docs: DataFrame, items: list[tuple[int, str]], least: float) -> DataF
     seeds = Seeds(items)
     if not seeds.passages:
         return None
-    rare(docs, seeds)
     shared = docs.sparkSession.sparkContext.broadcast(seeds)  # bounded by SLICE_WORDS
 
     def run(batches):
