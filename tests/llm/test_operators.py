@@ -207,6 +207,20 @@ def test_licenses(spark, docs, odd, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_adjacent_licenses_are_all_found(spark):
+    """A slightly edited statement beside a whole one of other words; related templates are still told apart."""
+    whole = {n: t for n, t in license_scan.TEMPLATES}
+    rows = [
+        ("licensed under the lesser general public license " + whole["unlicense"], "lgpl,unlicense"),
+        (whole["unlicense"] + " licensed under the lesser general public license", "lgpl,unlicense"),
+        ("licensed under the gnu general public license version or " + whole["unlicense"], "gpl-2,gpl-3,unlicense"),  # gpl-3: 10 of 12 with "this is"
+        ("licensed under the lesser general public license or " + whole["agpl-3"], "agpl-3,lgpl"),
+        ("the " + whole["agpl-3"] + " the", "agpl-3"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == {i: x for i, (_, x) in enumerate(rows)}
+
+
 # --- near duplicates ---
 
 

@@ -103,10 +103,26 @@ def word_counts(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> dict[i
     return {r["word"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 
+def statement(local: np.ndarray, begin: int, end: int, t: np.ndarray) -> np.ndarray:
+    """Places of t's words in the shortest run of words of local[begin:end] that holds all of them the block has."""
+    at = begin + np.flatnonzero(np.isin(local[begin:end], t))
+    w = local[at].tolist()
+    left, held, best, n = 0, {}, (0, len(at)), len(set(w))
+    for right, x in enumerate(w):
+        held[x] = held.get(x, 0) + 1
+        while held[w[left]] > 1:
+            held[w[left]] -= 1
+            left += 1
+        if len(held) == n and at[right] - at[left] < at[best[1] - 1] - at[best[0]]:
+            best = left, right + 1
+    return at[slice(*best)]
+
+
 def block_matches(p: Plan, k: np.ndarray, begin: int, end: int) -> list[tuple[str, float]]:
     """(label, share) of the blocks of one document's words k[begin:end] that meet a template.
 
-    Related licences share most words: of overlapping blocks only those of the largest share give a label.
+    Related licences share most words: a block gives no label if the statement of another template with a
+    larger share has all its matched words and it doesn't meet its template outside that statement.
     """
     out = []
     local = k[begin:end]
@@ -128,8 +144,20 @@ def block_matches(p: Plan, k: np.ndarray, begin: int, end: int) -> list[tuple[st
             if min(len(t) - i, len(ranks) - int(first[0])) < need:  # positional filter
                 continue
             if len(first) >= need:
-                out.append((label, len(first) / len(t), b * m, (b + 2) * m))
-    return [(x[0], x[1]) for x in out if not any(y[1] > x[1] and y[2] < x[3] and x[2] < y[3] for y in out)]
+                out.append((label, len(first) / len(t), b * m, (b + 2) * m, t, need))
+    if len({x[1] for x in out}) < 2:
+        return [x[:2] for x in out]
+    told = [statement(local, *y[2:5]) for y in out]
+
+    def within(x, y, at) -> bool:
+        """Whether x is only y's statement, the words at these places, seen through x's template."""
+        if y[1] <= x[1] or y[2] >= x[3] or x[2] >= y[3]:
+            return False
+        places = x[2] + np.flatnonzero(np.isin(local[x[2] : x[3]], x[4]))
+        own = (places < at[0]) | (places > at[-1])
+        return bool(np.isin(local[places], local[at]).all()) and len(np.unique(local[places[own]])) < x[5]
+
+    return [x[:2] for x in out if not any(within(x, y, at) for y, at in zip(out, told, strict=True))]
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
