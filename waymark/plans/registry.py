@@ -178,6 +178,13 @@ def tile_cover(t: Tables) -> DataFrame:
     return maps.tile_cover(c, 200.0, 6)
 
 
+@query()
+def tile_cover_all(t: Tables) -> DataFrame:
+    """The cover around every customer; without SQL, which would test every tile for every centre."""
+    c = t.customer.select(F.col("c_custkey").alias("centre_id"), (((F.col("c_custkey") * 7919) % 12001).cast("double") / 100.0 - 60.0).alias("lat"), (((F.col("c_custkey") * 104729) % 30001).cast("double") / 100.0 - 150.0).alias("lon"))
+    return maps.tile_cover(c, 200.0, 6)
+
+
 @query("select round(latitude,4) as lat, round(longitude,4) as lon, count(*) as n from entity_places group by 1, 2", "entity_places")
 def marker_clusters(t: Tables) -> DataFrame:
     return ev.marker_clusters(t.entity_places)
@@ -255,6 +262,13 @@ def radius_join(t: Tables) -> DataFrame:
     return ev.radius_join(p.where("id <= 200").select(F.col("id").alias("centre_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), p, 500.0).select("centre_id", "place_id", r6("distance_km").alias("distance_km"))
 
 
+@query()
+def radius_join_all(t: Tables) -> DataFrame:
+    """The join around every place; without SQL, which would be the cross join of the table with itself."""
+    p = t.entity_places
+    return ev.radius_join(p.select(F.col("id").alias("centre_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), p, 500.0).select("centre_id", "place_id", r6("distance_km").alias("distance_km"))
+
+
 _DATE = "(case when year<0 then '-' else '' end) || printf('%04d', abs(year)) || (case when month>0 then printf('-%02d', month) else '' end) || (case when month>0 and day>0 then printf('-%02d', day) else '' end)"
 _ENVELOPE = f"""select entity_id, first(year order by julian_day, prop_code) as year_begin, first({_DATE} order by julian_day, prop_code) as date_begin, last({_DATE} order by julian_day, prop_code) as date_end,
 count(*) as n_times, string_agg(julian_day || ':' || prop_code, ',' order by julian_day, prop_code) as times from entity_times group by entity_id"""
