@@ -142,3 +142,24 @@ def test_compress(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/p").exceptAll(df).count() == 0
     assert any("zstd" in p.name for p in (tmp_path / "z").iterdir())
     assert lines.table_or_empty(spark, "no_such_table", "a int").count() == 0
+
+
+def test_byte_pairs_of_whole_sections(spark):
+    """All of every section is encoded, and cutting texts where no merge crosses changes no id."""
+    from waymark.plans import registry
+
+    folder = "/root/testdata/sf0.001"
+    letters = list(model_file.byte_letters().values())
+    merges = ["t h", "th e", "a n", "an d"]
+    vocabulary = {w: i for i, w in enumerate([*letters, *(m.replace(" ", "") for m in merges), "<end>"])}
+    back = {i: w for w, i in vocabulary.items()}
+    byte = {x: b for b, x in model_file.byte_letters().items()}
+    text = lambda ids: bytes(byte[x] for i in ids[:-1] for x in back[i]).decode()
+    got = {r.id: r for r in registry.queries()["bpe_encode"](spark, folder).collect()}
+    want = registry.Tables(spark, folder).sections.collect()
+    assert len(got) == len(want) and max(len(r.content) for r in want) > 40
+    for r in want:
+        assert text(got[r.id].title_ids) == r.title and text(got[r.id].ids) == r.content
+    c = model_file.BytePairs(vocabulary | {x: 300 + i for i, x in enumerate(("aa", "aaa", "a]", "a]-"))}, [*merges, "a a", "aa a", "a ]", "a] -"])
+    for w in ("the and then", "aaaaaaa]-^thea", "thand é\n the", "", *(r.content[:3000] for r in want[:20])):
+        assert c.word(w) == c.merged("".join(c.letters[b] for b in w.encode()))

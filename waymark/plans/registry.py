@@ -870,8 +870,8 @@ def bpe_encode(t: Tables) -> DataFrame:
     merges = ["t h", "th e", "a n", "an d"]
     vocabulary = {w: i for i, w in enumerate([*letters, *(m.replace(" ", "") for m in merges), "<end>"])}
     codec = BytePairs(vocabulary, merges, ("<end>",), vocabulary["<end>"])
-    encode = F.pandas_udf(lambda s: s.map(codec.encode), "array<int>")
-    return t.sections.select("id", encode(F.substring("title", 1, 40)).alias("ids"))
+    encode = F.pandas_udf(lambda s: s.map(codec.encode, na_action="ignore"), "array<int>")
+    return t.sections.select("id", encode("title").alias("title_ids"), encode("content").alias("ids"))
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value),4) as total from events group by 1, 2")

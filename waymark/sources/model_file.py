@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 
 import numpy as np
@@ -134,9 +135,28 @@ class BytePairs:
         self.ids, self.special, self.end = vocabulary, special, end
         self.rank = {tuple(m.split(" ")): i for i, m in enumerate(merges)}
         self.letters = byte_letters()
+        # no merge crosses other pairs of letters than these, so a text cut at all others has the same pieces
+        after: dict[str, set[str]] = {}
+        for a, b in self.rank:
+            after.setdefault(a[-1:], set()).add(b[:1])
+        joins = "|".join(f"(?<={re.escape(a)})[{''.join(map(re.escape, sorted(b)))}]" for a, b in sorted(after.items()))
+        self.apart = re.compile(f".(?:{joins})*" if joins else ".", re.DOTALL)
+        self.known: dict[str, list[int]] = {}
 
     def word(self, text: str) -> list[int]:
-        parts = [self.letters[b] for b in text.encode()]
+        letters = text.encode().decode("latin-1").translate(self.letters)
+        out: list[int] = []
+        for p in self.apart.findall(letters):
+            ids = self.known.get(p)
+            if ids is None:
+                ids = self.merged(p)
+                if len(p) <= 32 and len(self.known) < 1 << 16:
+                    self.known[p] = ids
+            out += ids
+        return out
+
+    def merged(self, letters: str) -> list[int]:
+        parts = list(letters)
         while len(parts) > 1:
             rank, i = min((self.rank.get(p, len(self.rank)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == len(self.rank):
@@ -154,8 +174,6 @@ class BytePairs:
         return [self.ids[p] for p in parts if p in self.ids]
 
     def encode(self, text: str) -> list[int]:
-        import re
-
         out: list[int] = []
         pieces = re.split("(" + "|".join(map(re.escape, self.special)) + ")", text) if self.special else [text]
         for p in pieces:
