@@ -402,6 +402,14 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_propagation_reaches_far_hosts(spark):
+    """A chain of 64 links: the last host has its rank, which 60 rounds don't reach."""
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1) for i in range(64)], "src string, dst string, n long").coalesce(1)
+    seeds = spark.createDataFrame([(0, "h0", 1.0)], "kind int, host string, weight double").coalesce(1)
+    got = {r.host: r["rank"] for r in url_filter.propagate(edges, seeds).collect()}
+    assert len(got) == 65 and abs(got["h64"] / got["h0"] - 0.85**64) < 1e-3 * 0.85**64
+
+
 def test_propagation(spark):
     edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("d", "c", 3), ("c", "e", 1), ("f", "f2", 1)]
     seeds = [(0, "a", 1.0), (1, "e", 0.5), (1, "f2", 0.5)]

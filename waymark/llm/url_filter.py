@@ -6,7 +6,8 @@
    they allow more than half is a trusted seed; more seeds can be given.
 3. Trust is the personalised PageRank from the trusted seeds along the links. Distrust is the same from the
    blocked seeds against the links: who links to blocked hosts shares their distrust. Both run as one
-   join and one aggregate a round, each round written to the shared folder, until they move less than 1e-6.
+   join and one aggregate a round, each round written to the shared folder, until they move less than a
+   hundredth of the rank that blocks a host. The movement shrinks by the damping each round, so no cap is needed.
 4. A host whose distrust is at least `least` times the mean rank (1 / hosts) and more than twice its trust is
    blocked; pages that no rule fits get their host's verdict.
 
@@ -28,7 +29,8 @@ from waymark.llm.common import drop, materialize
 
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
-DAMPING, ROUNDS, FEW = 0.85, 60, 100_000
+DAMPING, FEW = 0.85, 100_000
+MOVED, ROUNDING = 1e-6, 1e-12  # movement that ends the rounds at most; below the other, only rounding moves ranks
 
 
 def lower(c: Column) -> Column:
@@ -58,7 +60,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.select(F.col("host").alias("src"), to.alias("dst")).where("dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = MOVED) -> DataFrame:
     """(kind, host, rank): personalised PageRank, kind 0 along the edges and kind 1 against them.
 
     seeds: kind, host, weight (each kind sums to 1). The rank of hosts without links goes back to the seeds.
@@ -68,7 +70,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     arcs, arcs_path = materialize(both.join(out, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all")).alias("share")), "arcs")
     now, path = materialize(seeds.select("kind", "host", "weight", F.col("weight").alias("rank")), "ranks")
-    for _ in range(rounds):
+    while True:
         flow = now.join(arcs, ["kind", "host"]).groupBy("kind", "dst").agg(F.sum(F.col("rank") * F.col("share")).alias("flow")).withColumnRenamed("dst", "host")
         new = now.join(flow, ["kind", "host"], "full").select("kind", "host", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("rank", F.lit(0.0)).alias("old"), (damping * F.coalesce("flow", F.lit(0.0))).alias("flow"))
         new, got = materialize(new, "flow")
@@ -78,7 +80,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         moved = ranked.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
         drop(spark, path, got)
         now, path = ranked.drop("old"), to
-        if moved < 1e-6:
+        if moved < max(tolerance, ROUNDING):
             break
     drop(spark, arcs_path)
     return now.select("kind", "host", "rank")
@@ -94,8 +96,8 @@ def blocked_hosts(judged: DataFrame, edges: DataFrame, trusted=(), blocked=(), l
     if not sizes.get(1):
         return spark.createDataFrame([], "host string")
     weight = F.create_map(*(x for k in (0, 1) for x in (F.lit(k), F.lit(1 / max(1, sizes.get(k, 0))))))
-    ranks = propagate(edges, seeds.withColumn("weight", weight[F.col("kind")]))
     every = hosts.select("host").union(edges.select("src")).union(edges.select("dst")).distinct().count()
+    ranks = propagate(edges, seeds.withColumn("weight", weight[F.col("kind")]), tolerance=min(MOVED, least / max(1, every) / 100))
     rank = lambda k: F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0))
     return ranks.groupBy("host").agg(rank(0).alias("trust"), rank(1).alias("distrust")).where((F.col("distrust") >= least / every) & (F.col("distrust") > 2 * F.col("trust"))).select("host")
 
