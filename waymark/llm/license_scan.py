@@ -1,6 +1,6 @@
 """License scans: an exact set-similarity join of text blocks with licence templates.
 
-A template is a short licence statement as a set of words; a block is a run of 2 m consecutive words taken
+A template is a licence statement or a whole licence text, as a set of words; a block is a run of 2 m consecutive words taken
 every m words, m being the template's words, so that any m consecutive words of a text lie within a block.
 A block meets a template if it holds at least `percent` of its distinct words.
 
@@ -8,14 +8,16 @@ A block meets a template if it holds at least `percent` of its distinct words.
    first. The counts are as many as the templates have words, whatever the corpus.
 2. Prefix filter: a block that meets a template T with need = ceil(percent |T| / 100) has one of T's
    |T| - need + 1 rarest words, so only blocks around such words are looked at. Length filter: a block with
-   fewer than `need` distinct words can't meet T. Positional filter: the first common word's place in either
-   order bounds what can still be common. What remains is counted exactly, so no meeting block is missed.
+   fewer than `need` distinct words (of any kind) can't meet T. Positional filter: the first common word's place
+   in either order bounds what can still be common. What remains is counted exactly: every block that meets a
+   template gives its label, also where related licences share most words; `best` is the label that fits best.
 
 Beside it, the base phrases are found where their words stand consecutively.
 
 Defined results: null and empty texts have no words, no labels and score 0. Texts of any length are scanned
 whole; repeated rows are each scanned; a null doc_id stays; other columns are ignored. The score is 1 for a
-base phrase, else the largest share of a template's words in a block that meets it, else 0.
+base phrase, else the largest share of a template's words in a block that meets it, else 0. best: a base phrase
+counts as a share of 1; ties go to more words in common, then to the first label; null without labels.
 """
 
 from __future__ import annotations
@@ -28,31 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import blocks, text_of
+from waymark.llm.license_texts import PHRASES, TEMPLATES
 from waymark.llm.words import ALNUM, word_hash, words
 
-PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy at apache org licenses"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
-    ("cc0", "to the extent possible under law waived all copyright and related or neighboring rights"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("proprietary", "copyright all rights reserved no part may be reproduced without prior written permission"),
-)
-
-
 @dataclass
 class Plan:
     """Word numbers, templates as sorted ranks, and prefixes: rank 0 is the rarest word."""
@@ -103,39 +83,20 @@ def word_counts(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES) -> dict[i
     return {r["word"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 
-def statement(local: np.ndarray, begin: int, end: int, t: np.ndarray) -> np.ndarray:
-    """Places of t's words in the shortest run of words of local[begin:end] that holds all of them the block has."""
-    at = begin + np.flatnonzero(np.isin(local[begin:end], t))
-    w = local[at].tolist()
-    left, held, best, n = 0, {}, (0, len(at)), len(set(w))
-    for right, x in enumerate(w):
-        held[x] = held.get(x, 0) + 1
-        while held[w[left]] > 1:
-            held[w[left]] -= 1
-            left += 1
-        if len(held) == n and at[right] - at[left] < at[best[1] - 1] - at[best[0]]:
-            best = left, right + 1
-    return at[slice(*best)]
-
-
-def block_matches(p: Plan, k: np.ndarray, begin: int, end: int) -> list[tuple[str, float]]:
-    """(label, share) of the blocks of one document's words k[begin:end] that meet a template.
-
-    Related licences share most words: a block gives no label if the statement of another template with a
-    larger share has all its matched words and it doesn't meet its template outside that statement.
-    """
+def block_matches(p: Plan, k: np.ndarray, h: np.ndarray) -> list[tuple[float, int, str]]:
+    """(share, words in common, label) of the blocks of one document that meet a template; k and h: the ranks and
+    the hashes of its words."""
     out = []
-    local = k[begin:end]
     for label, m, t, need in zip(p.labels, p.spans, p.sets, p.needs, strict=True):
         prefix = t[: len(t) - need + 1]
-        at = np.flatnonzero((local >= 0) & np.isin(local, prefix))
+        at = np.flatnonzero((k >= 0) & np.isin(k, prefix))
         if not len(at):
             continue
         for b in np.unique(np.concatenate([at // m, np.maximum(at // m - 1, 0)])):
-            block = local[b * m : (b + 2) * m]
-            ranks = np.unique(block)
-            if len(ranks) - (ranks[0] < 0) < need and len(block) < need:  # length filter
+            block = slice(b * m, (b + 2) * m)
+            if len(k[block]) < need or len(np.unique(h[block])) < need:  # length filter
                 continue
+            ranks = np.unique(k[block])
             ranks = ranks[ranks >= 0]
             first = np.flatnonzero(np.isin(ranks, t, assume_unique=True))
             if not len(first):
@@ -144,23 +105,11 @@ def block_matches(p: Plan, k: np.ndarray, begin: int, end: int) -> list[tuple[st
             if min(len(t) - i, len(ranks) - int(first[0])) < need:  # positional filter
                 continue
             if len(first) >= need:
-                out.append((label, len(first) / len(t), b * m, (b + 2) * m, t, need))
-    if len({x[1] for x in out}) < 2:
-        return [x[:2] for x in out]
-    told = [statement(local, *y[2:5]) for y in out]
-
-    def within(x, y, at) -> bool:
-        """Whether x is only y's statement, the words at these places, seen through x's template."""
-        if y[1] <= x[1] or y[2] >= x[3] or x[2] >= y[3]:
-            return False
-        places = x[2] + np.flatnonzero(np.isin(local[x[2] : x[3]], x[4]))
-        own = (places < at[0]) | (places > at[-1])
-        return bool(np.isin(local[places], local[at]).all()) and len(np.unique(local[places[own]])) < x[5]
-
-    return [x[:2] for x in out if not any(within(x, y, at) for y, at in zip(out, told, strict=True))]
+                out.append((len(first) / len(t), len(first), label))
+    return out
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, best string"
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, percent: int = 80) -> DataFrame:
@@ -176,7 +125,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, percent: int = 8
             counts, first, last = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max), np.full(n, -1, np.int64)
             base: list[set[str]] = [set() for _ in range(n)]
             labels: list[set[str]] = [set() for _ in range(n)]
-            score = np.zeros(n)
+            found: dict[int, list[tuple[float, int, str]]] = {}
             for label, ranks in p.phrases:
                 at = np.flatnonzero(k[: max(0, len(k) - len(ranks) + 1)] == ranks[0])
                 for i, r in enumerate(ranks[1:], 1):
@@ -189,17 +138,19 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, percent: int = 8
                 np.maximum.at(last, doc, at - rows[doc])
                 for d in set(doc.tolist()):
                     base[d].add(label)
-                    score[d] = 1.0
+                    found.setdefault(d, []).append((1.0, len(ranks), label))
             for d in np.unique(np.searchsorted(rows, np.flatnonzero(told[k]), "right") - 1):
-                for label, share in block_matches(p, k, rows[d], rows[d + 1]):
-                    labels[d].add(label)
-                    score[d] = max(score[d], share)
+                for x in block_matches(p, k[rows[d] : rows[d + 1]], h[rows[d] : rows[d + 1]]):
+                    labels[d].add(x[2])
+                    found.setdefault(int(d), []).append(x)
+            top = [min(found[d], key=lambda x: (-x[0], -x[1], x[2])) if d in found else (0.0, 0, None) for d in range(n)]
             none = counts == 0
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), pa.array(np.diff(rows).astype(np.int64)), pa.array(counts),
                 pa.array(first, mask=none), pa.array(last, mask=none),
                 pa.array([",".join(sorted(b)) for b in base], pa.string()),
-                pa.array([",".join(sorted(a | b)) for a, b in zip(base, labels, strict=True)], pa.string()), pa.array(score),
-            ], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
+                pa.array([",".join(sorted(a | b)) for a, b in zip(base, labels, strict=True)], pa.string()),
+                pa.array([x[0] for x in top], pa.float64()), pa.array([x[2] for x in top], pa.string()),
+            ], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "best"])
 
     return text_of(docs).mapInArrow(run, SCHEMA)
