@@ -58,9 +58,11 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; one of our own only in local mode without it."""
     if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="waymark-")
@@ -69,33 +71,62 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors."""
+    """Write df to the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    What a returned DataFrame still reads can't be dropped by its maker: it goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/waymark/{tag}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
+    p, fs = _file(spark, path)
+    fs.deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     """Remove scratch tables that nothing reads any more."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        p, fs = _file(spark, path)
+        fs.delete(p, True)
+        fs.cancelDeleteOnExit(p)
 
 
 BROADCAST_ROWS = 500_000
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs joined with ids (a doc_id column, each once) by left_semi or left_anti.
+    """docs joined with ids (key columns of numbers, each key once) by left_semi or left_anti.
 
-    The ids are broadcast only if they are few (8 bytes each, so some 20 MB as a hash table), else both
+    The ids are broadcast only if they are few (some 20 MB as a hash table, 40 with two columns), else both
     sides are shuffled.
     """
     ids, _ = materialize(ids, "ids")
     few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id", how)
+    return docs.join(F.broadcast(ids) if few else ids.hint("merge"), ids.columns, how)
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with values (one row a key, `size` of its columns being the key's number of rows).
+
+    Keys with more rows than a quarter of a partition's share can't be more than four a partition, whatever the
+    input, so theirs are broadcast and no task meets all rows of a hot key; null keys aren't shuffled at all.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    limit = (values.agg(F.sum("size")).first()[0] or 0) // (4 * parts) + 1
+    hot = values.where(F.col("size") > limit)
+    rest = [c for c in values.columns if c not in (key, "size")]
+    none = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(values.schema[c].dataType).alias(c) for c in rest))
+    known = rows.where(F.col(key).isNotNull())
+    far = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.where(F.col("size") <= limit).drop("size"), key, "left")
+    out = known.join(F.broadcast(hot.drop("size")), key)
+    order = [*rows.columns, *rest]
+    return out.select(order).union(far.select(order)).union(none.select(order))
 
 
 def bucket(col: Column, n: int) -> Column:
@@ -142,6 +173,3 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             i = min(j, n)
     trim()
 
-
-def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> pa.Array:
-    return batch.column(column)

@@ -5,14 +5,16 @@
    on a bounded sample: the SAMPLE entries that come first by hash. Every entry is indexed: its cell is the
    pair of its halves' centroids.
 3. A query goes through the centroid pairs by the sum of the halves' distances, with a heap (the
-   multi-sequence walk), until the cells it took hold `share` of all entries and at least LEAST.
+   multi-sequence walk), until the cells it took hold a share of all entries. The share is measured, not set: TRIAL
+   entries drawn by hash ask for their exact neighbours among all entries, and the smallest share is taken at
+   which the cells walked hold `recall` of them.
 4. Cells are stored in shards of about SHARD entries: neighbouring small cells share one, a larger cell has
    several. Query blocks meet the shards of their cells by an equi-join; by a matrix product a shard gives a
    query the best of those entries whose cells the query took, and these are reranked by the exact cosine of
    the original vectors. A query and a shard make k + 1 rows at most, however many cells they share.
 
-On vectors without structure the share must be large (0.75 has a recall at 5 of about 0.95 on the test tables);
-clustered vectors allow a smaller one.
+On vectors without structure the share comes out large (0.7 or more on the test tables), and work then grows with
+queries times vectors; clustered vectors give a small one.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite number, null ids, and vectors whose
 dimension isn't the most frequent one (ties: the larger) take no part, neither as queries. Repeated rows count
@@ -29,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import materialize
+from waymark.llm.common import drop, materialize
 
-SAMPLE, SHARD, LEAST, BLOCK = 16_384, 8192, 512, 512
+SAMPLE, SAMPLE_BYTES, TRIAL, SHARD, BLOCK = 16_384, 64 << 20, 256, 8192, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
 
 
 def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, need: int) -> list[int]:
-    """Cells i * len(b) + j in order of a[i] + b[j] until they hold `need` entries."""
+    """Cells i * len(b) + j that hold entries, in order of a[i] + b[j], until they hold `need` of them."""
     oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     heap, seen, out, held = [(float(a[oa[0]] + b[ob[0]]), 0, 0)], {(0, 0)}, [], 0
     while heap and held < need:
@@ -97,7 +99,47 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum()))
 
 
-def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, share: float = 0.75) -> DataFrame:
+def exact_top(entries: DataFrame, asks: np.ndarray, k: int) -> DataFrame:
+    """(ask, score, cell): the 2nd to k-th nearest entries of each ask, itself an entry, by exact cosine; entries:
+    v and cell. Each task keeps its best only, so k rows an ask and task are shuffled."""
+
+    def run(batches):
+        score, cell = np.full((len(asks), 0), -np.inf), np.zeros((len(asks), 0), np.int64)
+        unit = asks / np.sqrt((asks * asks).sum(1, keepdims=True))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 8192):
+                part = batch.slice(i, 8192)
+                v = _matrix(part.column("v"))
+                v = v / np.abs(v).max(1, keepdims=True)
+                s = unit @ (v / np.sqrt((v * v).sum(1, keepdims=True))).T
+                c = np.broadcast_to(part.column("cell").to_numpy(), s.shape)
+                score, cell = np.concatenate([score, s], 1), np.concatenate([cell, c], 1)
+                if score.shape[1] > k:
+                    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score, cell = np.take_along_axis(score, top, 1), np.take_along_axis(cell, top, 1)
+        n = score.shape[1]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(asks)), n).astype(np.int32)), pa.array(score.ravel()), pa.array(cell.ravel().astype(np.int32))], names=["ask", "score", "cell"])
+
+    found = entries.select("v", "cell").mapInArrow(run, "ask int, score double, cell int")
+    best = Window.partitionBy("ask").orderBy(F.desc("score"), "cell")
+    return found.withColumn("r", F.row_number().over(best)).where(F.col("r").between(2, k)).select("ask", "score", "cell")
+
+
+def needed(found: pa.Table, a: np.ndarray, b: np.ndarray, counts: np.ndarray, recall: float) -> int:
+    """How many entries a walk must take for `recall` of the neighbours found (their cells) to be among them."""
+    ask, cell, held = found["ask"].to_numpy(), found["cell"].to_numpy(), []
+    for q in np.unique(ask):
+        cells = np.argsort((a[q][:, None] + b[q]).ravel(), kind="stable")  # the walk's order
+        upto = np.zeros(len(counts), np.int64)
+        upto[cells] = np.cumsum(counts[cells])
+        held.append(upto[cell[ask == q]])
+    if not held:
+        return 1  # a single entry
+    held = np.sort(np.concatenate(held))
+    return int(held[min(len(held) - 1, int(np.ceil(recall * len(held))) - 1)])
+
+
+def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`."""
     spark = vectors.sparkSession
     out_schema = "query_id long, rank int, vec_id long, score double"
@@ -105,12 +147,15 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, share: float = 0
     rows, _ = materialize(usable(vectors).select("vec_id", "v", k1, k2), "vectors")
     by_id = Window.partitionBy("k1", "k2").orderBy("vec_id")
     few = rows.dropDuplicates(["k1", "k2", "vec_id"]).withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1)
-    entries, _ = materialize(few.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
-    n = entries.count()
+    entries, entries_path = materialize(few.groupBy("k1", "k2").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "entries")
+    got = entries.agg(F.count("*"), F.max(F.size("v"))).first()
+    n = got[0]
     if not n:
         return spark.createDataFrame([], out_schema)
-    codewords = int(np.clip(round((n / 64) ** 0.5), 2, 256))
-    sample = np.array([r["v"] for r in entries.orderBy("k1", "k2").limit(SAMPLE).select("v").collect()])  # bounded
+    codewords = int(np.clip(round((n / 16) ** 0.5), 2, 256))
+    some = max(codewords, min(SAMPLE, SAMPLE_BYTES // (8 * got[1])))
+    sample = entries.orderBy("k1", "k2").limit(some).select("v").toArrow()["v"].combine_chunks()  # at most SAMPLE vectors, SAMPLE_BYTES
+    sample = _matrix(sample)
     if sample.shape[1] < 2:
         sample = np.concatenate([sample, np.zeros_like(sample)], 1)  # a second half of zeros
     unit = sample / np.abs(sample).max(1, keepdims=True)
@@ -134,7 +179,10 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, share: float = 0
     counts = np.zeros(len(books[0]) * wide, np.int64)
     for r in sizes:
         counts[r["cell"]] = r["count"]
-    need = max(LEAST, int(np.ceil(share * n)))
+    trial = unit[:: max(1, len(unit) // TRIAL)][:TRIAL]  # the sample is in hash order
+    found = exact_top(cells, trial[:, : got[1]], k + 1).toArrow()  # k rows a trial vector
+    need = needed(found, *distances(trial, books), counts, recall)
+    drop(spark, entries_path)
 
     # shards: cells in their order, a cell over SHARD entries spread over several
     first, spread, shard, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
