@@ -5,10 +5,12 @@ between. Training is on-line, one text at a time, with per-coordinate learning r
 weights that stay are broadcast to score every whole text.
 
 The classifier is fitted on a bounded sample of the labelled rows: the `most` documents that come first by a
-hash of their id (SAMPLE unless told otherwise). Everything else covers all rows.
+hash of their id (SAMPLE unless told otherwise), and of these the first whose texts have SAMPLE_BYTES together
+(at least one text). Everything else covers all rows.
 
 Defined results: null and empty texts have the intercept's score; repeated rows get the same score; a text of
-any length is used whole; labels with a null are left out, a document with several is toxic if one says so;
+any length is used whole; labels with a null are left out, a document with several is toxic if one says so; of
+several texts of a labelled doc_id the one with the smallest hash is learnt from;
 without any label the score is 0.5; doc_id, lang, source and labels are never inputs of a score.
 """
 
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from waymark.llm.common import blocks, bucket, text_of
 from waymark.llm.words import ALNUM, combine, words
 
-SAMPLE = 8192
+SAMPLE, SAMPLE_BYTES = 8192, 128 << 20
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def unique_features(data, off, bits) -> list[np.ndarray]:
     f, of = features(data, off, bits)
     key = np.unique((of << bits) | f)
     cut = np.searchsorted(key >> bits, np.arange(len(off)))
-    return [key[a:b] & ((1 << bits) - 1) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    return [(key[a:b] & ((1 << bits) - 1)).astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
@@ -87,18 +89,22 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params(), most: i
     """Fit on the first `most` labelled documents by hash, in one task of bounded input."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = marked.withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(most)
-    # without repeated rows of a document the sample stays within its bound
-    texts = text_of(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    # one text a document, so the sample stays within its bound and is the same in every run
+    texts = text_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "turn", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
-        found = []
+        rows, marks, room = [], [], SAMPLE_BYTES
         for batch, data, off in blocks(batches):
-            found += zip(batch.column("turn").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist(), unique_features(data, off, params.bits), strict=True)
-        found.sort(key=lambda x: x[:2])
-        at, w = fit([x[3] for x in found], np.array([x[2] for x in found], float), params) if found else (np.zeros(0, np.int64), np.zeros(0))
+            fits = max(int(np.searchsorted(off, room, "right")) - 1, not rows)
+            marks += batch.column("toxic").to_pylist()[:fits]
+            rows += unique_features(data, off, params.bits)[:fits]
+            room -= off[-1]
+            if fits < batch.num_rows:
+                break
+        at, w = fit(rows, np.array(marks, float), params) if rows else (np.zeros(0, np.int64), np.zeros(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], names=["at", "w"])
 
-    got = texts.repartition(1).mapInArrow(run, "at long, w double").toPandas()
+    got = texts.repartition(1).sortWithinPartitions("turn", "doc_id").mapInArrow(run, "at long, w double").toPandas()
     return got["at"].to_numpy(np.int64), got["w"].to_numpy(float)
 
 
