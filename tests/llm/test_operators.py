@@ -120,11 +120,12 @@ def test_token_files(docs, odd, none, texts):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    for df in (docs, odd):
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c", "<|end oftext|> <|endoftext|>\n", "ends with <|endoftext", "|> starts", "plain text beside"]
+    named = odd.sparkSession.createDataFrame([(i, x) for i, x in enumerate(special * 2)] + [(3, "same id"), (3, "other"), (3, "same id")], "doc_id long, text string").withColumn("hash", F.lit(1)).withColumn("origin", F.lit("x"))
+    for df in (docs, odd, named):
         start = 0
         got = token_files.round_trip(df, path).collect()
-        want = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        want = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).orderBy(F.col("doc_id").asc_nulls_first(), "h").collect()), key=lambda x: (x[0] is not None, x[0] or 0))
         got.sort(key=lambda r: r.start)
         assert [r.doc_id for r in got] == [d for d, _ in want]
         for r, (_, text) in zip(got, want, strict=True):
@@ -192,10 +193,10 @@ def plain_licenses(text):
         for b in range(0, len(w), m):
             common = len(s & set(w[b : b + 2 * m]))
             if 100 * common >= 80 * len(s):
-                hits.append((label, common / len(s), b, b + 2 * m))
-    own = [x for x in hits if not any(y[1] > x[1] and y[2] < x[3] and x[2] < y[3] for y in hits)]
-    score = max([x[1] for x in own] + [1.0] * bool(places) + [0.0])
-    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x in own})), score
+                hits.append(((label, common / len(s)), common))
+    found = [(x[1], n, x[0]) for x, n in hits] + [(1.0, len(p.split()), label) for p, label in license_scan.PHRASES if label in labels]
+    best = min(found, key=lambda x: (-x[0], -x[1], x[2])) if found else (0.0, 0, None)
+    return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {x[0] for x, _ in hits})), best[0], best[2]
 
 
 def test_licenses(spark, docs, odd, none):
@@ -207,41 +208,47 @@ def test_licenses(spark, docs, odd, none):
     assert license_scan.scan(none).count() == 0
 
 
-def test_adjacent_licenses_are_all_found(spark):
-    """A slightly edited statement beside a whole one of other words; related templates are still told apart."""
-    whole = {n: t for n, t in license_scan.TEMPLATES}
+def test_every_meeting_block_is_found(spark):
+    """Adjacent, dual and related licences: none hides another, `best` tells which fits best."""
+    whole = dict(license_scan.TEMPLATES)
     rows = [
-        ("licensed under the lesser general public license " + whole["unlicense"], "lgpl,unlicense"),
-        (whole["unlicense"] + " licensed under the lesser general public license", "lgpl,unlicense"),
-        ("licensed under the gnu general public license version or " + whole["unlicense"], "gpl-2,gpl-3,unlicense"),  # gpl-3: 10 of 12 with "this is"
-        ("licensed under the lesser general public license or " + whole["agpl-3"], "agpl-3,lgpl"),
-        ("the " + whole["agpl-3"] + " the", "agpl-3"),
+        ("licensed under the apache license version 2 0 and released under mit license", "apache-2,mit", "apache-2"),
+        ("licensed under the gnu general public license version 2", "agpl-3,gpl-2,lgpl", "gpl-2"),
+        ("licensed under the lesser general public license this is free and unencumbered software released into the public domain", "lgpl,unlicense", "unlicense"),
+        ("x " * 50 + whole["zlib"].upper() + " y" * 50, "zlib", "zlib"),
+        ("x " + whole["bsd"].replace("software", "program") + " y", "bsd", "bsd"),
     ]
-    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
-    assert {r.doc_id: r.labels for r in license_scan.scan(df).collect()} == {i: x for i, (_, x) in enumerate(rows)}
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "doc_id long, text string").withColumn("labels", F.lit("clash")).withColumn("best", F.lit(1))
+    assert {r.doc_id: (r.labels, r.best) for r in license_scan.scan(df).collect()} == {i: tuple(x) for i, (_, *x) in enumerate(rows)}
 
 
 # --- near duplicates ---
 
 
 def plain_classes(rows, k, percent):
-    sets = {}
-    for i, t in rows:
+    """component_id of each row: rows are documents of their own, whatever their ids."""
+    sets = []
+    for _, t in rows:
         w = split(t)
-        sets.setdefault(i, []).append(frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[a : a + k]) for a in range(len(w) - k + 1)]) if w else frozenset())
-    ids, root = sorted(sets), {i: i for i in sets}
+        sets.append(frozenset([tuple(w)] if 0 < len(w) < k else [tuple(w[a : a + k]) for a in range(len(w) - k + 1)]) if w else frozenset())
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if any(x and y and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            x, y = sets[a], sets[b]
+            if x and y and min(len(x), len(y)) * 100 >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 root[max(p, q)] = min(p, q)
-    return {i: find(i) for i in ids}
+    least = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(n)] = min(i, least.get(find(n), i))
+    return [i if not sets[n] else least.get(find(n)) for n, (i, _) in enumerate(rows)]
 
 
 @pytest.mark.parametrize("block", [4096, 1])
@@ -256,13 +263,28 @@ def test_near_duplicates(spark, odd, none, block):
         rows.append((i, " ".join(w).upper() if i % 3 else " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in minhash.classes(df, 4, 80, block).collect()}
-    assert got == plain_classes(rows, 4, 80)
-    out = minhash.near_duplicates(odd, 4).collect()
-    assert {r.doc_id: r.component_id for r in out} == plain_classes([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None], 4, 80)
+    assert list(got.values()) and [got[i] for i, _ in rows] == plain_classes(rows, 4, 80)
+    mixed = [(r.doc_id, r.text) for r in odd.collect()]
+    mixed += [(1, rows[-1][1]), (1, rows[-9][1]), (2, rows[-9][1]), (None, rows[-1][1]), (None, "only without id"), (None, "only without id"), (7, None), (7, None)]
+    out = minhash.near_duplicates(spark.createDataFrame(mixed, "doc_id long, text string").withColumn("id", F.lit(5)).withColumn("digest", F.lit("x")), 4).collect()
+    assert Counter((r.doc_id, r.component_id) for r in out) == Counter((i, c) for (i, _), c in zip(mixed, plain_classes(mixed, 4, 80), strict=True))
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
     assert minhash.near_duplicates(none).count() == 0
-    kept = minhash.keep_one(odd)
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == len({r.component_id for r in out})
+
+
+def test_keep_one_loses_no_text(spark, odd, none):
+    """Repeated ids with different texts, null ids and repeated rows: one row of each group stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    e = a + " more"  # near a
+    rows = [(1, a), (1, b), (2, b), (None, c), (None, c), (3, None), (3, None), (3, ""), (4, d), (4, d), (5, e), (None, e), (6, d.upper()), (None, d)]
+    full = spark.createDataFrame([(i, t, "en", "s", 1, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, t long")
+    kept = minhash.keep_one(full)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and minhash.keep_one(none).count() == 0
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (None, c), (3, None), (3, ""), (4, d)])
+    left = minhash.keep_one(odd).collect()
+    every = [(r.doc_id, r.text) for r in odd.collect()]
+    groups = {(c, t if not split(t) else "") for (_, t), c in zip(every, plain_classes(every, 5, 80), strict=True)}
+    assert len(left) == len(groups)
 
 
 def test_components(spark):
@@ -307,6 +329,23 @@ def test_neighbours(spark):
     assert multi_index.neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_by_part_of_the_entries(spark, monkeypatch):
+    """Recall where the index isn't exhaustive: vectors without structure, and clustered ones, of which few are needed."""
+    took = []
+    needed = multi_index.needed
+    monkeypatch.setattr(multi_index, "needed", lambda *a: took.append(needed(*a) / a[3].sum()) or round(took[-1] * a[3].sum()))
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    clustered = [(i, (centres[i % 60] + 0.05 * rng.normal(size=16)).tolist()) for i in range(6000)]
+    for df, most in ((spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet"), 0.85), (spark.createDataFrame(clustered, "vec_id long, embedding array<double>"), 0.1)):
+        want = plain_neighbours([(r.vec_id, r.embedding) for r in df.collect()], 50, 5)
+        got = {}
+        for r in multi_index.neighbours(df).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
+        assert took[-1] <= most
+
+
 def test_multi_sequence_walk():
     rng = np.random.default_rng(3)
     a, b, counts = rng.random(7), rng.random(9), rng.integers(0, 4, 63)
@@ -532,7 +571,8 @@ def test_pipeline(spark, odd):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     bad = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
     clean = docs.where(~F.col("doc_id").isin(list(bad)))
-    kept = {i for i, c in plain_classes([(r.doc_id, r.text) for r in clean.collect()], 5, 80).items() if i == c}
+    rows = [(r.doc_id, r.text) for r in clean.collect()]
+    kept = {i for (i, _), c in zip(rows, plain_classes(rows, 5, 80), strict=True) if i == c}
     leaks = {r.doc_id for r in decontaminate.leaks(clean.where(F.col("doc_id").isin(list(kept))), spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert {r.doc_id for r in got.collect()} == kept - leaks
 

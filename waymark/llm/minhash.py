@@ -2,11 +2,11 @@
 
 1. One pass over the texts: words, distinct k-word shingles (64-bit hashes), a 128-bit digest of the set,
    and for each text 128 minima under universal hash functions, cut into 32 bands of 4.
-2. Texts with equal sets are one class; only the class's smallest doc_id goes on.
+2. Texts with equal sets are one class, which has a number of its own; only classes go on.
 3. For the texts that share a bucket (band, key), the shingles that another such text has too are counted.
    A pair has at most the smaller of the two counts in common, so most texts that only resemble others
    leave their buckets at once, exactly.
-4. Members of a bucket are linked to its smallest doc_id; the connected components of these links, by
+4. Members of a bucket are linked to its smallest class; the connected components of these links, by
    alternating large-star and small-star, are blocks: texts in different blocks can't be linked. A block of at
    most BLOCK texts and SHINGLES shingles is settled in one task: a breadth-first search compares signatures,
    then confirms on full sets, and only meets texts that no component has yet.
@@ -18,9 +18,12 @@
 So no pair that shares a bucket goes unchecked unless it is already connected. A pair at the threshold shares
 no bucket with a probability of (1 - 0.8**4)**32 = 5e-8, one above it still less.
 
-Defined results: null text, or text without words: no shingles, its own component, kept. Repeated rows of a
-doc_id are returned once each, in one component. Rows with a null doc_id are left out (nothing can link to
-them). Ties go to the smaller doc_id. Texts of any length are used whole; other columns are ignored.
+Defined results: every row is a document of its own, whatever its doc_id, so different texts with one doc_id are
+linked only if they are alike. null text, or text without words: no shingles, its own component, kept. Repeated
+rows are returned once each, in one component. A row with a null doc_id links as others do; component_id is null
+only if no document reachable has an id, and then it is kept. Of a component, keep_one keeps the smallest doc_id
+(null last; of one id's texts the one with the smaller hash), and of equal rows one. Texts of any length are used
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BROADCAST_ROWS, blocks, by_ids, drop, materialize, text_of
+from waymark.llm.common import BROADCAST_ROWS, blocks, by_ids, drop, materialize, spread_join
 from waymark.llm.components import components
 from waymark.llm.words import SPACED, fmix, ngrams, words
 
@@ -61,8 +64,19 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, k: int):
     return [np.unique(grams[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def keys_of() -> list[Column]:
+    """d and t tell rows of different ids or texts apart; they are never null."""
+    doc_id = F.col("doc_id").cast("long")
+    return [F.coalesce(doc_id, F.lit(0)).alias("d"), F.xxhash64(doc_id.isNull(), "text").alias("t")]
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), d and t."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keys_of())
+
+
 def prepare(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, digest, signature (a byte per minimum) and band keys of every text."""
+    """doc_id, d, t, n, digest, signature (a byte per minimum) and band keys of every text."""
 
     def run(batches):
         for batch, data, off in blocks(batches):
@@ -78,21 +92,21 @@ def prepare(docs: DataFrame, k: int) -> DataFrame:
                     digests.append(None)
                     sigs.append(None)
                     keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("d"), batch.column("t"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int8())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "d", "t", "n", "digest", "sig", "keys"])
 
-    return text_of(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, n long, digest binary, sig array<tinyint>, keys array<long>")
+    return rows_of(docs).mapInArrow(run, "doc_id long, d long, t long, n long, digest binary, sig array<tinyint>, keys array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, shingles) of the texts whose doc_id is in ids."""
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # 8 bytes each: under 20 MB, or a shuffled join
-    ids = F.broadcast(ids) if few else ids.hint("merge")
+def sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of the rows in chosen: d, t, id."""
+    few = chosen.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # 24 bytes each: some 40 MB, or a shuffled join
+    chosen = F.broadcast(chosen) if few else chosen.hint("merge")
 
     def run(batches):
         for batch, data, off in blocks(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.view(np.int64) for s in shingle_sets(data, off, k)], pa.list_(pa.int64()))], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s.view(np.int64) for s in shingle_sets(data, off, k)], pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return text_of(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "id long, shingles array<long>")
+    return rows_of(docs).join(chosen, ["d", "t"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
 
 
 def _agree(a: str, b: str):
@@ -102,7 +116,7 @@ def _agree(a: str, b: str):
 
 def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose whole sets have 100 * intersection >= percent * union."""
-    left, right = (reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "uv")
+    left, right = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "uv")
     close = pairs.join(left, "u").join(right, "v").where(_agree("su", "sv") >= AGREE).select("u", "v", "nu", "nv")
     a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"h{x}")) for x in "uv")
     both = close.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("hu", "hv")).cast("long"))
@@ -227,16 +241,20 @@ def settle_buckets(members: DataFrame, reps: DataFrame, sets: DataFrame, percent
 
 
 def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; see the module's text."""
+    """doc_id, n_shingles, component_id of every row, with d, t and stays (the row or its equals stand for the
+    component); see the module's text."""
     spark = docs.sparkSession
     seen, seen_path = materialize(prepare(docs, k), "minima")
-    alike = seen.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    reps = seen.where("n > 0").join(alike, ["digest", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps, reps_path = materialize(reps.select("doc_id", "n", "sig", "keys"), "reps")
-    members = reps.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.col("doc_id").alias("id"), F.xxhash64("band", "key").alias("bucket"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "d", "t")
+    reps = seen.where("n > 0").groupBy("digest").agg(F.min(row).alias("row"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    # the numbers are drawn once, as the table is written
+    reps, reps_path = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    members = reps.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
     several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
     members, members_path = materialize(members.join(several, "bucket", "left_semi"), "buckets")
-    sets, sets_path = materialize(sets_of(docs, members.select(F.col("id").alias("doc_id")).distinct(), k), "sets")
+    chosen = reps.select("row.d", "row.t", "id").join(members.select("id").distinct(), "id", "left_semi").select("d", "t", "id")
+    chosen, chosen_path = materialize(chosen, "chosen")
+    sets, sets_path = materialize(sets_of(docs, chosen, k), "sets")
     counts, counts_path = materialize(shared_counts(sets).where(f"100 * c >= {percent} * n"), "shared")
     members, shared_path = materialize(members.join(counts, "id"), "members")
 
@@ -247,27 +265,35 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     large, large_path = materialize(large, "large")
     some = not large.isEmpty()
     small = placed.join(large, "block", "left_anti") if some else placed
-    full = small.join(reps.select(F.col("doc_id").alias("id"), "sig"), "id").join(sets, "id").select("block", "id", "n", "c", "sig", "shingles")
+    full = small.join(reps.select("id", "sig"), "id").join(sets, "id").select("block", "id", "n", "c", "sig", "shingles")
     labels, labels_path = materialize(settle_blocks(full, percent), "labels")
     if some:
         far = settle_buckets(members.join(placed.join(large, "block", "left_semi").select("id"), "id", "left_semi"), reps, sets, percent)
         labels = labels if far is None else labels.union(far)
-    # back to all documents: those of a class share its smallest id's component
-    whole = alike.join(labels.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    whole = whole.select("digest", F.coalesce("component", "doc_id").alias("component_id"))
-    out, _ = materialize(seen.select("doc_id", "n", "digest").join(whole, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "classes")
-    drop(spark, seen_path, reps_path, members_path, sets_path, counts_path, shared_path, blocks_path, large_path, labels_path)
+    # back to all rows: a class or a component of several rows has its first row's id
+    inside = labels.join(reps.select("id", "row"), "id")
+    best = inside.groupBy("component").agg(F.min("row").alias("best"), F.count("*").alias("size"))
+    joined = spread_join(inside.select("id", "component"), best, "component").select("id", "best")
+    whole = reps.select("id", "digest", "row", "size").join(joined, "id", "left").select("digest", "size", F.coalesce("best", "row").alias("best"), "row")
+    whole, whole_path = materialize(whole.where("size > 1 or best <> row").drop("row"), "whole")
+    out = spread_join(seen.select("doc_id", "d", "t", "n", "digest"), whole, "digest")
+    stays = F.col("best").isNull() | ((F.col("best.none") == F.col("doc_id").isNull()) & (F.col("best.d") == F.col("d")) & (F.col("best.t") == F.col("t")))
+    out, _ = materialize(out.select("doc_id", "d", "t", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"), stays.alias("stays")), "classes")
+    drop(spark, seen_path, reps_path, members_path, chosen_path, sets_path, counts_path, shared_path, blocks_path, large_path, labels_path, whole_path)
     return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    return classes(docs, k, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return classes(docs, k, percent).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document (the smallest doc_id) of each component, all columns of documents."""
-    found = near_duplicates(docs, k, percent)
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id"])
-    out = by_ids(docs, found.where("not kept").select("doc_id").distinct(), "left_anti")
-    return out.where("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars")
+    """One row of each component, all columns of documents; see the module's text."""
+    found = classes(docs, k, percent)
+    key, columns = ["d", "t"], ["doc_id", "text", "lang", "source", "n_chars"]
+    named = docs.select(*columns, *keys_of())
+    out = by_ids(named, found.where("not stays").select(key).distinct(), "left_anti")
+    again = found.groupBy(key).count().where("count > 1").select(key)
+    if not again.isEmpty():
+        out = by_ids(out, again, "left_anti").union(by_ids(out, again, "left_semi").dropDuplicates(key))
+    return out.select(columns)
