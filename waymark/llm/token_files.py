@@ -12,16 +12,19 @@ depend on each other, and at each checkpoint (step, words read, lane states) a d
 States stay in [2**32, 2**48) and are renormalised by 16 bits; probabilities have 20 bits. A state over a
 frequency is less than 2**28, so a quotient of doubles is exact once rounded down.
 
-Documents are range-partitioned and sorted by doc_id; every segment knows how many tokens precede it in its
-partition, and one row a partition gives the partitions' offsets.
+Documents are range-partitioned and sorted by doc_id, then by the text's hash and by the input partition, so
+that rows of one doc_id, or equal rows, can fill several partitions; every segment knows how many tokens precede
+it in its partition, and one row a partition gives the partitions' offsets.
 
-Defined results: null and empty texts have the end id only; special tokens' names in a text are ordinary
-text; repeated rows of a doc_id stand side by side (ordered by text); a null doc_id comes first; other
-columns are ignored; an empty table has no rows.
+Defined results: null and empty texts have the end id only; the name of a special token in a text is that token,
+as the library has it; repeated rows of a doc_id stand side by side (ordered by the text's hash); a null doc_id
+comes first; other columns are ignored; an empty table has no rows.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import struct
 import zlib
 
@@ -192,17 +195,20 @@ class Encoder:
 
     The byte-level pattern never joins what stands on both sides of a space, or of a single line feed, that is
     between two characters other than white space: such pieces have their own ids whatever surrounds them. A
-    text with any other white space goes to the library whole. The memory is a direct-mapped table of
-    2**SLOTS pieces by hash, so its size is fixed.
+    text with any other white space, or with the name of an added token, goes to the library whole, and so does
+    every text if the file isn't of this kind. The memory is a direct-mapped table of 2**SLOTS pieces by hash, so
+    its size is fixed.
     """
 
     SLOTS, POOL = 21, 1 << 24
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's threads would each hold memory
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            self.plain, self.names = self._kind(json.load(f))
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         vocabulary = self.library.get_vocab(with_added_tokens=True)
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of each token: the byte-level alphabet has a letter a byte
@@ -210,6 +216,17 @@ class Encoder:
             self.bytes[i] = len(token)
         self._forget()
 
+    @staticmethod
+    def _kind(file: dict) -> tuple[bool, list[bytes]]:
+        """Whether words can be coded one by one, and the added tokens' names that must not be cut."""
+        before, model, after = file.get("pre_tokenizer") or {}, file.get("model") or {}, file.get("post_processor")
+        added = file.get("added_tokens") or []
+        names = [t["content"].encode() for t in added]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        plain = plain and model.get("type") == "BPE" and not model.get("dropout") and not file.get("normalizer") and not file.get("truncation") and not file.get("padding")
+        plain = plain and (after or {"type": "ByteLevel"})["type"] == "ByteLevel"
+        return plain and all(not (t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")) for t in added) and not any(c.isspace() for t in added for c in t["content"]), [n for n in names if n]
+
     def _forget(self) -> None:
         self.key, self.at, self.size = np.zeros(1 << self.SLOTS, np.uint64), np.zeros(1 << self.SLOTS, np.int32), np.zeros(1 << self.SLOTS, np.int32)
         self.pool, self.used = np.empty(self.POOL, self.kind), 0
@@ -239,7 +256,13 @@ class Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray) -> list[bytes]:
         """Each text's ids, as little-endian integers of self.kind."""
         starts, ends, rows = spans(data, off, SPACED)
-        odd = self._odd(data, off, starts, ends, rows)
+        raw = data.tobytes()
+        odd = self._odd(data, off, starts, ends, rows) if self.plain else np.diff(off) > 0
+        for name in self.names:
+            at = raw.find(name)
+            while at >= 0:
+                odd[np.searchsorted(off, at, "right") - 1] = True
+                at = raw.find(name, at + 1)
         plain = np.repeat(~odd, np.diff(rows))
         starts, ends = starts[plain], ends[plain]
         of = np.repeat(np.arange(len(odd)), np.diff(rows))[plain]
@@ -257,7 +280,6 @@ class Encoder:
             keys, where, inverse = np.unique(h[new], return_index=True, return_inverse=True)
             where = new[where]
             begin, end = starts[where] - ~first[where], ends[where]
-            raw = data.tobytes()
             got_at, got_size = self._learn([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
             at[new], size[new] = got_at[inverse], got_size[inverse]
             k = slot[where]
@@ -336,7 +358,8 @@ def write(docs: DataFrame, path: str, end: int = 0) -> DataFrame:
         if held:
             yield segment()
 
-    ordered = source.repartitionByRange(int(parts), "doc_id").sortWithinPartitions("doc_id", "text")
+    source = source.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.spark_partition_id().alias("origin"))
+    ordered = source.repartitionByRange(int(parts), "doc_id", "hash", "origin").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
     return materialize(ordered.mapInArrow(run, "part long, before long, first_id long, n_tokens long, segment binary"), "tokens")[0]
 
 
