@@ -110,23 +110,26 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids.hint("merge"), ids.columns, how)
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """rows left-joined with values (one row a key, `size` of its columns being the key's number of rows).
+def spread_join(rows: DataFrame, values: DataFrame, key: str, total: int | None = None, how: str = "left") -> DataFrame:
+    """rows joined (left or inner) with values: one row a key, its column `size` being how many rows the key has.
 
     Keys with more rows than a quarter of a partition's share can't be more than four a partition, whatever the
     input, so theirs are broadcast and no task meets all rows of a hot key; null keys aren't shuffled at all.
+    total: the sum of the sizes, where known.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = (values.agg(F.sum("size")).first()[0] or 0) // (4 * parts) + 1
-    hot = values.where(F.col("size") > limit)
-    rest = [c for c in values.columns if c not in (key, "size")]
-    none = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(values.schema[c].dataType).alias(c) for c in rest))
-    known = rows.where(F.col(key).isNotNull())
-    far = known.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.where(F.col("size") <= limit).drop("size"), key, "left")
-    out = known.join(F.broadcast(hot.drop("size")), key)
+    if total is None:
+        total = values.agg(F.sum("size")).first()[0] or 0
+    limit = total // (4 * parts) + 1
+    hot, cold = values.where(F.col("size") > limit).drop("size"), values.where(F.col("size") <= limit).drop("size")
+    rest = [c for c in hot.columns if c != key]
     order = [*rows.columns, *rest]
-    return out.select(order).union(far.select(order)).union(none.select(order))
+    out = rows.join(F.broadcast(hot), key).select(order)
+    out = out.union(rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, how).select(order))
+    if how == "inner":
+        return out
+    return out.union(rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(values.schema[c].dataType).alias(c) for c in rest)))
 
 
 def bucket(col: Column, n: int) -> Column:

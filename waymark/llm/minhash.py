@@ -250,16 +250,17 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     # the numbers are drawn once, as the table is written
     reps, reps_path = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
     members = reps.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    members, members_path = materialize(members.join(several, "bucket", "left_semi"), "buckets")
+    several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members, members_path = materialize(spread_join(members, several, "bucket", how="inner"), "buckets")
     chosen = reps.select("row.d", "row.t", "id").join(members.select("id").distinct(), "id", "left_semi").select("d", "t", "id")
     chosen, chosen_path = materialize(chosen, "chosen")
     sets, sets_path = materialize(sets_of(docs, chosen, k), "sets")
     counts, counts_path = materialize(shared_counts(sets).where(f"100 * c >= {percent} * n"), "shared")
     members, shared_path = materialize(members.join(counts, "id"), "members")
 
-    least = members.groupBy("bucket").agg(F.min("id").alias("v"), F.max("id").alias("w")).where("v < w").select("bucket", "v")
-    blocks_, blocks_path = materialize(components(members.join(least, "bucket").select(F.col("id").alias("u"), "v")).withColumnRenamed("component", "block"), "blocks")
+    least = members.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("size")).where("size > 1")
+    stars = spread_join(members, least, "bucket", how="inner").where("id <> v").select(F.col("id").alias("u"), "v")
+    blocks_, blocks_path = materialize(components(stars).withColumnRenamed("component", "block"), "blocks")
     placed = counts.join(blocks_, "id")
     large = placed.groupBy("block").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where((F.col("texts") > block) | (F.col("size") > SHINGLES)).select("block")
     large, large_path = materialize(large, "large")
