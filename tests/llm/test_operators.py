@@ -549,10 +549,55 @@ def test_model_beats_counts(spark):
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    n = 12
-    m = logbilinear.Model([x.astype(np.float32) for x in (rng.normal(size=(n + 1, 16)), rng.normal(size=(16, 16)), rng.normal(size=(16, 16)), rng.normal(size=(n, 16)), rng.normal(size=n))])
-    t = np.arange(n, dtype=np.int32)
-    assert abs((10 ** m.log10(t, np.full(n, 3), np.full(n, 12))).sum() - 1) < 1e-4
+    for v in (0, 1, 12, 50):
+        head = logbilinear.Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0, 0, v, 0, 0, np.full(v + 2, 1 / (v + 2)))
+        p = logbilinear.start(head)
+        for x in vars(p).values():
+            x += rng.normal(size=x.shape)
+        t = np.arange(v + 2, dtype=np.int32)  # all words of the model, the class of the rarer ones, and the end
+        for w1, w2 in ((v, v + 2), (0, v), (v + 2, v + 2)):
+            got = logbilinear.Model(p, head).log10(t, np.full(v + 2, w1), np.full(v + 2, w2))
+            assert abs((10**got).sum() - 1) < 1e-4
+
+
+def test_training_follows_plain_contrasts():
+    """One step against loops over tokens: noise-contrastive gradients of words, classes and contexts."""
+    rng = np.random.default_rng(1)
+    v, n = 30, 40
+    head = logbilinear.Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), 0, 0, v, 0, 0, rng.dirichlet(np.ones(v + 2)))
+    init = logbilinear.start(head)
+    tr = logbilinear.Trainer(init, head)
+    draws = []
+    for x in (tr.classes, tr.words):
+        draw = x.draw
+        x.draw = lambda rng, draw=draw: draws.append(draw(rng)) or draws[-1]
+    t, w1, w2 = rng.integers(0, v + 2, n).astype(np.int32), rng.integers(0, v + 3, n), rng.integers(0, v + 3, n)
+    tr.step(t, w1, w2)
+    g = {k: np.zeros(x.shape) for k, x in vars(init).items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for ti, a, b in zip(t.tolist(), w1, w2, strict=True):
+        r, dr = init.R[a] @ init.C1 + init.R[b] @ init.C2, np.zeros(logbilinear.DIM)
+        for at, out, bias, noise, ns in ((int(head.class_of(np.array(ti))), "S", "c", tr.classes, draws[0]), (ti, "Q", "b", tr.words, draws[1])):
+            if out == "Q" and ti >= v:
+                continue
+            for x, mark in [(at, 1), *((int(y), 0) for y in ns)]:
+                q = getattr(init, out)[x]
+                e = sigmoid(r @ q + getattr(init, bias)[x] - noise.log[x]) - mark
+                g[out][x] += e * r
+                g[bias][x] += e
+                dr += e * q
+        g["R"][a] += init.C1 @ dr
+        g["R"][b] += init.C2 @ dr
+        g["C1"] += np.outer(init.R[a], dr)
+        g["C2"] += np.outer(init.R[b], dr)
+    for k, x in vars(init).items():
+        want = x - logbilinear.RATE * (g[k] / n) / np.sqrt(1e-4 + (g[k] / n) ** 2)
+        assert np.allclose(getattr(tr.p, k), want, atol=2e-4)
+
+
+def test_model_is_the_same_however_the_input_is_partitioned(spark, docs):
+    a, b = ({r.doc_id: r.score for r in logbilinear.language_model(d).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert a.keys() == b.keys() and all(abs(a[i] - b[i]) < 1e-3 * abs(a[i]) for i in a)
 
 
 # --- the pipeline ---

@@ -5,13 +5,17 @@ Words are runs without ASCII white space, A-Z as a-z; every text ends with one e
 1. Counts of all words of all training texts, as a distributed table keyed by a 64-bit word hash. N and V
    come from it. Words with at least the count that leaves HEAD of them or fewer are broadcast; all others
    are joined from the table, so every count is exact.
-2. The log-bilinear model: outputs are the VOCABULARY most frequent words, one class for all rarer words and
-   the end. A context of two words predicts r = R[w1] C1 + R[w2] C2, and the score of w is r . Q[w] + b[w].
-   Every training text is used: each of at most SHARDS tasks runs noise-contrastive AdaGrad over its texts
-   from the same start, and the tasks' parameters are averaged, weighted by tokens, with a plain aggregate.
-3. Scores: normalised log10 probabilities. The normaliser depends on the two context words only, so it is
-   worked out once a context with batched matrix products. A rarer word has its class's probability times
-   (c + 0.1) / (N' + 0.1 (V' + 1)), N' and V' being the rarer words' tokens and number: over all words,
+2. The log-bilinear model has the V most frequent words, V growing with the square root of the training tokens
+   (WIDTH times that, HEAD at most, which bounds the broadcast): each has vectors of its own as context and as
+   output. A context of two words predicts r = R[w1] C1 + R[w2] C2, and the score of w is r . Q[w] + b[w]. Words
+   are in about sqrt(V) classes by frequency, classes have scores of the same form, and rarer words and the end
+   are a class each. Words and classes are trained by noise-contrastive AdaGrad.
+3. Every training text is used. Texts are dealt to shards of about SHARD bytes by a hash, so a shard, its order and
+   its model are the same however the input is partitioned; each starts from the same parameters, and these are
+   averaged by a plain aggregate, every word's weighted by its occurrences.
+4. Scores: normalised log10 probabilities, of the class given the context times the word given class and context,
+   each by batched matrix products: about 2 sqrt(V) outputs a token. A rarer word has its class's probability
+   times (c + 0.1) / (N' + 0.1 (V' + 1)), N' and V' being the rarer words' tokens and number: over all words,
    known or not, the probabilities sum to 1.
 
 Defined results: null and empty texts consist of the end token. Repeated rows are scored each. A null doc_id
@@ -32,8 +36,8 @@ from waymark.llm.common import blocks, bucket, drop, materialize, text_of
 from waymark.llm.words import SPACED, words
 
 END = 0x5EED0E0D5EED0E0D  # the end token's key
-VOCABULARY, HEAD, SHARDS = 1022, 1 << 20, 4096
-DIM, NOISE, BATCH, RATE = 16, 64, 4096, 0.2
+WIDTH, LEAST, HEAD, SHARD = 4.0, 1022, 1 << 20, 16 << 20
+DIM, NOISE, BATCH, RATE = 16, 64, 2048, 0.2
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -60,17 +64,24 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Head:
-    """The frequent words with their counts; rank gives the model's number of a word (-1: not an output)."""
+    """The frequent words with their counts; rank gives the model's number of a word (-1: not one of its words)."""
 
     words: np.ndarray
     counts: np.ndarray
     rank: np.ndarray
     total: int
     distinct: int
-    outputs: int  # words that are outputs; then follow the rare class, the end, and as context the start
+    outputs: int  # words of the model; then follow the rarer words, the end, and as context the start
     rare_total: int
     rare_distinct: int
-    noise: np.ndarray
+    noise: np.ndarray  # shares of the model's words, the rarer words and the end
+
+    def __post_init__(self):
+        self.side = max(1, int(np.ceil(self.outputs**0.5)))  # words a class
+        self.classes = -(-self.outputs // self.side)
+
+    def class_of(self, t: np.ndarray) -> np.ndarray:
+        return np.where(t < self.outputs, t // self.side, self.classes + t - self.outputs)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number in the table, found) of each word."""
@@ -87,9 +98,10 @@ class Head:
         return out
 
 
-def head_of(counts: DataFrame, most: int = HEAD, vocabulary: int = VOCABULARY) -> Head:
+def head_of(counts: DataFrame, most: int = HEAD, width: float = WIDTH) -> Head:
     size = counts.agg(F.sum("c"), F.count("*")).first()
     total, distinct = int(size[0] or 0), int(size[1])
+    vocabulary = max(LEAST, int(width * total**0.5))
     least = 1
     if distinct > most:
         # words by the count's power of 2**(1/8): a few hundred rows
@@ -116,12 +128,27 @@ def head_of(counts: DataFrame, most: int = HEAD, vocabulary: int = VOCABULARY) -
     return Head(w, c, rank, total, distinct, len(best), rare, max(0, distinct - len(best) - (ends > 0)), noise / noise.sum())
 
 
-def start(noise: np.ndarray, seed: int = 7) -> list[np.ndarray]:
-    """R (with the start as context), C1, C2, Q, b: at first about the words' own frequencies."""
+@dataclass
+class Params:
+    R: np.ndarray  # contexts: words, rarer words, the end (never one), the start
+    C1: np.ndarray
+    C2: np.ndarray
+    Q: np.ndarray  # words
+    b: np.ndarray
+    S: np.ndarray  # classes
+    c: np.ndarray
+
+    def copy(self) -> Params:
+        return Params(*(x.copy() for x in vars(self).values()))
+
+
+def start(head: Head, seed: int = 7) -> Params:
+    """At first about the words' own frequencies."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    n = len(noise)
-    eye = np.eye(DIM)
-    return [x.astype(np.float32) for x in (rng.normal(0, 0.3, (n + 1, DIM)), eye * 0.6, eye * 0.4, rng.normal(0, 0.03, (n, DIM)), np.log(noise))]
+    eye, v = np.eye(DIM), head.outputs
+    share = np.bincount(head.class_of(np.arange(v + 2)), head.noise, head.classes + 2)
+    arrays = rng.normal(0, 0.3, (v + 3, DIM)), eye * 0.6, eye * 0.4, rng.normal(0, 0.03, (v, DIM)), np.log(head.noise[:v]), rng.normal(0, 0.03, (len(share), DIM)), np.log(share)
+    return Params(*(x.astype(np.float32) for x in arrays))
 
 
 def contexts(ids: np.ndarray, rows: np.ndarray, outputs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,45 +167,72 @@ def contexts(ids: np.ndarray, rows: np.ndarray, outputs: int) -> tuple[np.ndarra
     return t, w1, w2
 
 
-def _scatter(shape, at: np.ndarray, g: np.ndarray) -> np.ndarray:
-    out = np.zeros(shape, np.float32)
+def _rows(at: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each number once, with the sum of its rows of g."""
     order = np.argsort(at, kind="stable")
     s = at[order]
     cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-    out[s[cut]] = np.add.reduceat(g[order], cut, axis=0)
-    return out
+    return s[cut], np.add.reduceat(g[order], cut, axis=0)
+
+
+class Noise:
+    """Draws by share, and the log of the expected number of each in a draw of NOISE."""
+
+    def __init__(self, share: np.ndarray):
+        share = share / share.sum()
+        self.cum, self.log = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
+
+    def draw(self, rng) -> np.ndarray:
+        return np.searchsorted(self.cum, rng.random(NOISE) * self.cum[-1]).clip(max=len(self.cum) - 1)
 
 
 class Trainer:
-    def __init__(self, params: list[np.ndarray], noise: np.ndarray, seed: int = 11):
-        self.p = [x.copy() for x in params]
-        self.sq = [np.full_like(x, 1e-4) for x in params]
-        self.log_noise = np.log(NOISE * noise).astype(np.float32)
-        self.cum = np.cumsum(noise)
+    def __init__(self, params: Params, head: Head, seed: int = 11):
+        self.p, self.head = params.copy(), head
+        self.sq = Params(*(np.full_like(x, 1e-4) for x in vars(params).values()))
+        v = head.outputs
+        self.words = Noise(head.noise[:v]) if v else None
+        self.classes = Noise(np.bincount(head.class_of(np.arange(v + 2)), head.noise, head.classes + 2))
         self.rng = np.random.Generator(np.random.PCG64(seed))
-        self.seen = 0
+        self.seen, self.classed, self.all = np.zeros(v + 3, np.int64), np.zeros(head.classes + 2, np.int64), 0
 
-    def step(self, t, w1, w2) -> None:
-        R, C1, C2, Q, b = self.p
-        ns = np.searchsorted(self.cum, self.rng.random(NOISE) * self.cum[-1]).clip(max=len(self.cum) - 1)
-        r1, r2 = R[w1], R[w2]
-        r = r1 @ C1 + r2 @ C2
+    def _contrast(self, r, t, Q, b, noise: Noise):
+        """Gradients for r, and for the rows of Q and b by target and noise."""
+        ns = noise.draw(self.rng)
         qt, qn = Q[t], Q[ns]
-        pos = np.einsum("ij,ij->i", r, qt) + b[t] - self.log_noise[t]
-        neg = r @ qn.T + (b[ns] - self.log_noise[ns])
+        pos = np.einsum("ij,ij->i", r, qt) + b[t] - noise.log[t]
+        neg = r @ qn.T + (b[ns] - noise.log[ns])
         gp = -1 / (1 + np.exp(np.clip(pos, -30, 30)))
         gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30)))
-        dr = gp[:, None] * qt + gn @ qn
-        dQ, db = _scatter(Q.shape, t, gp[:, None] * r), np.bincount(t, gp, len(b)).astype(np.float32)
-        np.add.at(dQ, ns, gn.T @ r)
-        np.add.at(db, ns, gn.sum(0))
-        dR = _scatter(R.shape, w1, dr @ C1.T)
-        dR += _scatter(R.shape, w2, dr @ C2.T)
-        for x, s, g in zip(self.p, self.sq, (dR, r1.T @ dr, r2.T @ dr, dQ, db), strict=True):
-            g /= len(t)
-            s += g * g
-            x -= RATE * g / np.sqrt(s)
-        self.seen += len(t)
+        at = np.concatenate([t, ns])
+        g = np.concatenate([np.column_stack([gp[:, None] * r, gp]), np.column_stack([gn.T @ r, gn.sum(0)])])
+        return gp[:, None] * qt + gn @ qn, *_rows(at, g)
+
+    def _move(self, name: str, g, at=slice(None)) -> None:
+        x, s = getattr(self.p, name), getattr(self.sq, name)
+        s[at] += g * g
+        x[at] -= RATE * g / np.sqrt(s[at])
+
+    def step(self, t, w1, w2) -> None:
+        p, v, n = self.p, self.head.outputs, len(t)
+        r1, r2 = p.R[w1], p.R[w2]
+        r = r1 @ p.C1 + r2 @ p.C2
+        k = self.head.class_of(t)
+        dr, at, g = self._contrast(r, k, p.S, p.c, self.classes)
+        moves = [("S", g[:, :-1], at), ("c", g[:, -1], at)]
+        word = np.flatnonzero(t < v)
+        if len(word):
+            dw, at, g = self._contrast(r[word], t[word], p.Q, p.b, self.words)
+            dr[word] += dw
+            moves += [("Q", g[:, :-1], at), ("b", g[:, -1], at)]
+        at, g = _rows(np.concatenate([w1, w2]), np.concatenate([dr @ p.C1.T, dr @ p.C2.T]))
+        moves += [("R", g, at), ("C1", r1.T @ dr, slice(None)), ("C2", r2.T @ dr, slice(None))]
+        for name, g, at in moves:
+            self._move(name, g / n, at)
+        for x in (t, w1):
+            self.seen += np.bincount(x, minlength=v + 3)
+        self.classed += np.bincount(k, minlength=len(self.classed))
+        self.all += n
 
     def learn(self, t, w1, w2) -> None:
         turn = self.rng.permutation(len(t))
@@ -186,64 +240,109 @@ class Trainer:
             k = turn[i : i + BATCH]
             self.step(t[k], w1[k], w2[k])
 
+    def rows(self) -> pa.RecordBatch:
+        """i, weight and values times weight: the words seen (R, Q, b), the classes seen (-, S, c), then C1 and C2."""
+        p, v = self.p, self.head.outputs
+        words, classes = np.flatnonzero(self.seen), np.flatnonzero(self.classed)
+        own = np.minimum(words, max(v - 1, 0))
+        q = np.where((words < v)[:, None], np.column_stack([p.Q, p.b])[own], 0) if v else np.zeros((len(words), DIM + 1))
+        i = np.concatenate([words, v + 3 + classes, v + 3 + len(p.S) + np.arange(DIM)])
+        w = np.concatenate([self.seen[words], self.classed[classes], np.full(DIM, self.all)]).astype(float)
+        x = np.concatenate([np.column_stack([p.R[words], q]), np.column_stack([np.zeros((len(classes), DIM)), p.S[classes], p.c[classes]]), np.column_stack([p.C1, p.C2, np.zeros(DIM)])]) * w[:, None]
+        return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(w), *(pa.array(np.ascontiguousarray(c, np.float32)) for c in x.T)], names=["i", "w", *COLUMNS])
+
+
+COLUMNS = [f"x{k}" for k in range(2 * DIM + 1)]
+
+
+def merged(init: Params, rows: pa.Table) -> Params:
+    """The rows' averages; what no shard has seen stays as at the start."""
+    out, n, m = init.copy(), len(init.R), len(init.S)
+    i = rows["i"].to_numpy()
+    x = np.column_stack([rows[c].to_numpy() for c in COLUMNS])
+    a, at = i < n, i[i < n]
+    out.R[at] = x[a, :DIM]
+    at = at[at < len(out.Q)]
+    out.Q[at], out.b[at] = x[i < len(out.Q), DIM:-1], x[i < len(out.Q), -1]
+    a = (i >= n) & (i < n + m)
+    out.S[i[a] - n], out.c[i[a] - n] = x[a, DIM:-1], x[a, -1]
+    a = i >= n + m
+    out.C1[i[a] - n - m], out.C2[i[a] - n - m] = x[a, :DIM], x[a, DIM:-1]
+    return out
+
 
-def train(docs: DataFrame, head: Head) -> list[np.ndarray]:
-    """The tasks' parameters, averaged by tokens."""
-    init = start(head.noise)
-    shared = docs.sparkSession.sparkContext.broadcast((head, init))  # bounded by HEAD and VOCABULARY
+def train(docs: DataFrame, head: Head) -> Params:
+    """The shards' parameters, averaged."""
+    spark = docs.sparkSession
+    init = start(head)
+    shared = spark.sparkContext.broadcast((head, init))  # bounded by HEAD
+    size = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    shards = int(size // SHARD) + 1
 
     def run(batches):
         head, init = shared.value
-        trainer = Trainer(init, head.noise)
-        for _, data, off in blocks(batches):
+        trainer, now = None, None
+        for batch, data, off in blocks(batches):
+            shard = batch.column("shard").to_numpy()
             h, rows, _, _ = words(data, off, SPACED)
-            trainer.learn(*contexts(head.numbers(*head.find(h)), rows, head.outputs))
-        if trainer.seen:
-            flat = np.concatenate([x.ravel() for x in trainer.p]).astype(float) * trainer.seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat)), pa.int32()), pa.array(np.append(float(trainer.seen), flat))], names=["i", "x"])
-
-    got = docs.coalesce(SHARDS).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow().sort_by("i")
-    if not len(got):
-        return init
-    x = got["x"].to_numpy()
-    flat = x[1:] / x[0]
-    cut = np.cumsum([x.size for x in init])[:-1]
-    return [p.reshape(x.shape).astype(np.float32) for p, x in zip(np.split(flat, cut), init, strict=True)]
+            ids = head.numbers(*head.find(h))
+            cut = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if shard[i] != now:
+                    if trainer is not None:
+                        yield trainer.rows()
+                    trainer, now = Trainer(init, head), shard[i]
+                trainer.learn(*contexts(ids[rows[i] : rows[j]], rows[i : j + 1] - rows[i], head.outputs))
+        if trainer is not None:
+            yield trainer.rows()
+
+    turn = F.xxhash64("doc_id", "text")
+    dealt = docs.select("text", F.pmod(turn, F.lit(shards)).alias("shard"), turn.alias("turn")).repartition(shards, "shard").sortWithinPartitions("shard", "turn").select("text", "shard")
+    got = dealt.mapInArrow(run, f"i int, w double, {', '.join(f'{c} float' for c in COLUMNS)}").groupBy("i").agg(F.sum("w").alias("w"), *(F.sum(c).alias(c) for c in COLUMNS))
+    got = got.select("i", *((F.col(c) / F.col("w")).cast("float").alias(c) for c in COLUMNS)).toArrow()  # a row a word and class of the model
+    return merged(init, got) if len(got) else init
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    top = s.max(1, keepdims=True)
+    s -= top
+    np.exp(s, out=s)
+    return top[:, 0] + np.log(s.sum(1))
 
 
 class Model:
-    """Normalised log10 probabilities; the normalisers of the contexts seen are kept."""
-
-    def __init__(self, params: list[np.ndarray]):
-        self.R, self.C1, self.C2, self.Q, self.b = params
-        self.n = len(self.R)
-        self.log_z = np.full(self.n * self.n, np.nan, np.float32)
+    """Normalised log10 probabilities."""
 
-    def predict(self, w1, w2):
-        return self.R[w1] @ self.C1 + self.R[w2] @ self.C2
+    def __init__(self, params: Params, head: Head):
+        self.p, self.head = params, head
+        self.first, self.second = params.R @ params.C1, params.R @ params.C2
 
     def log10(self, t, w1, w2) -> np.ndarray:
-        code = w1.astype(np.int64) * self.n + w2
-        new = np.unique(code[np.isnan(self.log_z[code])])
-        for i in range(0, len(new), 2048):
-            c = new[i : i + 2048]
-            s = self.predict(c // self.n, c % self.n) @ self.Q.T + self.b
-            top = s.max(1, keepdims=True)
-            self.log_z[c] = top[:, 0] + np.log(np.exp(s - top).sum(1))
-        out = np.empty(len(t))
-        for i in range(0, len(t), 1 << 16):
-            k = slice(i, i + (1 << 16))
-            s = np.einsum("ij,ij->i", self.predict(w1[k], w2[k]), self.Q[t[k]]) + self.b[t[k]]
-            out[k] = s - self.log_z[code[k]]
+        """Of the class, and for the model's words of the word in its class."""
+        p, v, side, out = self.p, self.head.outputs, self.head.side, np.empty(len(t))
+        for i in range(0, len(t), 1 << 15):
+            part = slice(i, i + (1 << 15))
+            r, own, k = self.first[w1[part]] + self.second[w2[part]], t[part], self.head.class_of(t[part])
+            s = r @ p.S.T + p.c
+            got = s[np.arange(len(k)), k].astype(float)
+            got -= _log_sum(s)
+            order = np.argsort(k, kind="stable")
+            cut = np.searchsorted(k[order], np.arange(self.head.classes + 1))
+            for c in np.flatnonzero(np.diff(cut)):
+                at = order[cut[c] : cut[c + 1]]
+                s = r[at] @ p.Q[c * side : min(v, (c + 1) * side)].T + p.b[c * side : min(v, (c + 1) * side)]
+                got[at] += s[np.arange(len(at)), own[at] - c * side]
+                got[at] -= _log_sum(s)
+            out[part] = got
         return out / np.log(10)
 
 
 LOCAL = "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>"
 
 
-def score(docs: DataFrame, head: Head, params: list[np.ndarray], counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, head: Head, params: Params, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every row of docs (doc_id and text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((head, params))  # bounded by HEAD and VOCABULARY
+    shared = docs.sparkSession.sparkContext.broadcast((head, params))  # bounded by HEAD
     d = head.total + 0.1 * (head.distinct + 1)
     rare_d = head.rare_total + 0.1 * (head.rare_distinct + 1)
 
@@ -251,7 +350,7 @@ def score(docs: DataFrame, head: Head, params: list[np.ndarray], counts: DataFra
         from pyspark import TaskContext
 
         head, params = shared.value
-        model, rid = Model(params), TaskContext.get().partitionId() << 33
+        model, rid = Model(params, head), TaskContext.get().partitionId() << 33
         gain = np.log10((head.counts + 0.1) / d)
         rare_gain = np.log10((head.counts + 0.1) / rare_d)
         at, hit = head.find(np.array([END], np.uint64))
