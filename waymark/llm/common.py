@@ -27,6 +27,7 @@ _shipped: set[str] = set()
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     bound_batches(spark)
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")  # a task has one core: more threads would only wait on each other
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -37,7 +37,7 @@ from waymark.llm.words import SPACED, words
 
 END = 0x5EED0E0D5EED0E0D  # the end token's key
 WIDTH, LEAST, HEAD, SHARD = 4.0, 1022, 1 << 20, 16 << 20
-DIM, NOISE, BATCH, RATE = 16, 64, 2048, 0.2
+DIM, NOISE, BATCH, RATE = 16, 32, 2048, 0.2
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -87,8 +87,9 @@ class Head:
         """(number in the table, found) of each word."""
         if not len(self.words):
             return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        at = np.searchsorted(self.words, h).clip(max=len(self.words) - 1)
-        return at, self.words[at] == h
+        each, where = np.unique(h, return_inverse=True)  # in order the table is read once, not at random
+        at = np.searchsorted(self.words, each).clip(max=len(self.words) - 1)
+        return at[where], (self.words[at] == each)[where]
 
     def numbers(self, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
         out = np.full(len(at), self.outputs, np.int32)
@@ -202,8 +203,11 @@ class Trainer:
         qt, qn = Q[t], Q[ns]
         pos = np.einsum("ij,ij->i", r, qt) + b[t] - noise.log[t]
         neg = r @ qn.T + (b[ns] - noise.log[ns])
-        gp = -1 / (1 + np.exp(np.clip(pos, -30, 30)))
-        gn = 1 / (1 + np.exp(-np.clip(neg, -30, 30)))
+        with np.errstate(over="ignore"):  # infinity gives the right limit
+            gp = -1 / (1 + np.exp(pos))
+            np.exp(neg, out=neg)
+        neg += 1
+        gn = 1 - 1 / neg
         at = np.concatenate([t, ns])
         g = np.concatenate([np.column_stack([gp[:, None] * r, gp]), np.column_stack([gn.T @ r, gn.sum(0)])])
         return gp[:, None] * qt + gn @ qn, *_rows(at, g)
@@ -303,36 +307,43 @@ def train(docs: DataFrame, head: Head) -> Params:
     return merged(init, got) if len(got) else init
 
 
-def _log_sum(s: np.ndarray) -> np.ndarray:
-    top = s.max(1, keepdims=True)
-    s -= top
-    np.exp(s, out=s)
-    return top[:, 0] + np.log(s.sum(1))
+def _log_share(r: np.ndarray, outputs: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The log share of own among the outputs of each row of r, in slices that stay in the cache."""
+    got = np.empty(len(r))
+    for i in range(0, len(r), 4096):
+        part = slice(i, i + 4096)
+        s = r[part] @ outputs
+        with np.errstate(over="ignore"):
+            z = np.exp(s).sum(1)
+        if not (np.isfinite(z).all() and z.min() > 1e-30):
+            top = s.max(1, keepdims=True)
+            s -= top
+            z = np.exp(s).sum(1)
+        got[part] = s[np.arange(len(s)), own[part]] - np.log(z)
+    return got
 
 
 class Model:
     """Normalised log10 probabilities."""
 
     def __init__(self, params: Params, head: Head):
-        self.p, self.head = params, head
-        self.first, self.second = params.R @ params.C1, params.R @ params.C2
+        self.head = head
+        one = lambda x, last: np.column_stack([x, np.full(len(x), last, np.float32)])
+        self.first, self.second = one(params.R @ params.C1, 1), one(params.R @ params.C2, 0)
+        self.classes, self.words = np.column_stack([params.S, params.c]).T, np.column_stack([params.Q, params.b]).T
 
     def log10(self, t, w1, w2) -> np.ndarray:
         """Of the class, and for the model's words of the word in its class."""
-        p, v, side, out = self.p, self.head.outputs, self.head.side, np.empty(len(t))
-        for i in range(0, len(t), 1 << 15):
-            part = slice(i, i + (1 << 15))
+        side, out = self.head.side, np.empty(len(t))
+        for i in range(0, len(t), 1 << 17):
+            part = slice(i, i + (1 << 17))
             r, own, k = self.first[w1[part]] + self.second[w2[part]], t[part], self.head.class_of(t[part])
-            s = r @ p.S.T + p.c
-            got = s[np.arange(len(k)), k].astype(float)
-            got -= _log_sum(s)
+            got = _log_share(r, self.classes, k)
             order = np.argsort(k, kind="stable")
             cut = np.searchsorted(k[order], np.arange(self.head.classes + 1))
             for c in np.flatnonzero(np.diff(cut)):
                 at = order[cut[c] : cut[c + 1]]
-                s = r[at] @ p.Q[c * side : min(v, (c + 1) * side)].T + p.b[c * side : min(v, (c + 1) * side)]
-                got[at] += s[np.arange(len(at)), own[at] - c * side]
-                got[at] -= _log_sum(s)
+                got[at] += _log_share(r[at], self.words[:, c * side : (c + 1) * side], own[at] - c * side)
             out[part] = got
         return out / np.log(10)
 
