@@ -103,6 +103,49 @@ def test_decontamination_finds_frequent_edited_copies(spark, copies):
     assert got == {(i, 1) for i in range(copies + 1)}
 
 
+def test_decontamination_against_all_pairs(spark):
+    """Smith-Waterman of every item with every whole text: edits, partial and reordered copies, and unrelated texts."""
+    rng = np.random.default_rng(12)
+    words_ = [f"v{i}" for i in range(400)]
+    draw = lambda n: rng.choice(words_, n).tolist()
+    items = [draw(int(n)) for n in rng.integers(8, 60, 12)]
+    docs = []
+    for k in range(150):
+        w = list(items[k % 12])
+        kind = k % 5
+        if kind == 0:  # words replaced
+            for at in rng.integers(0, len(w), len(w) // int(rng.integers(3, 12))):
+                w[at] = "edit"
+        elif kind == 1:  # a part
+            w = w[: int(len(w) * rng.uniform(0.3, 1))]
+        elif kind == 2:  # words left out and put in
+            w = [x for x in w if rng.random() > 0.12] + ["tail"]
+            w.insert(len(w) // 2, "more")
+        elif kind == 3:  # halves swapped
+            w = w[len(w) // 2 :] + w[: len(w) // 2]
+        else:
+            w = draw(40)
+        docs.append((k, " ".join(draw(50) + w + draw(50))))
+    least, want = 0.5, set()
+    for i, a in enumerate(items):
+        number = {x: n for n, x in enumerate(sorted({*a, *words_}))}
+        for k, text in docs:
+            score, _, _ = decontaminate.align(np.array([number[x] for x in a]), np.array([number.get(x, -1) for x in text.split()]))
+            if score / (2 * len(a)) >= least:
+                want.add((k, i))
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("x")).withColumn("score", F.lit(3))
+    b = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string").withColumn("doc_id", F.lit(0))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(d, b).collect()}
+    assert got <= want and len(want) > 80 and len(got) / len(want) >= 0.95
+
+
+def test_partly_copied_items_in_many_documents(spark):
+    item, filler = [f"w{i}" for i in range(40)], [f"f{i}" for i in range(60)]
+    for copies in (4, 5, 1000):
+        d = spark.createDataFrame([(i, " ".join([f"d{i}", *item[:28], *filler])) for i in range(copies)], "doc_id long, text string")
+        assert decontaminate.leaks(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).count() == copies
+
+
 def test_remove_leaks_keeps_clean(spark, docs, odd):
     b = spark.read.parquet(f"{SF}/benchmark.parquet")
     bad = {r.doc_id for r in decontaminate.leaks(docs, b).collect()}
@@ -449,6 +492,35 @@ def test_propagation_reaches_far_hosts(spark):
     assert len(got) == 65 and abs(got["h64"] / got["h0"] - 0.85**64) < 1e-3 * 0.85**64
 
 
+def test_verdicts_on_linked_hosts(spark):
+    """A corpus of 40 hosts with links between them, and long pages, against a plain iteration."""
+    rng = np.random.default_rng(9)
+    hosts = [f"h{i}.{'org' if i % 7 else 'com'}" for i in range(40)]
+    links = {i: rng.integers(0, 40, rng.integers(0, 5)).tolist() for i in range(40)}
+    html = lambda i: "x" * (300_000 if i == 3 else 10) + "".join(f'<a href="http://{hosts[j].upper()}/p">' for j in links[i])
+    path = lambda i: "/en/1" if i in (0, 7) else "/a"
+    pages = spark.createDataFrame([(i, f"http://{h}{path(i)}", html(i)) for i, h in enumerate(hosts)], "page_id long, url string, html string")
+    trusted = hosts[1:4]
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, trusted=trusted).collect()}
+    m = np.zeros((40, 40))
+    for i, to in links.items():
+        for j in set(to) - {i}:
+            m[i, j] += 1
+
+    def rank(m, seeds):
+        s = np.array([i in seeds for i in range(40)]) / len(seeds)
+        share = np.where(m.sum(1, keepdims=True) > 0, m / np.maximum(m.sum(1, keepdims=True), 1), 0)
+        r = s.copy()
+        for _ in range(400):
+            f = 0.85 * r @ share
+            r = f + (1 - f.sum()) * s
+        return r
+
+    trust, distrust = rank(m, {1, 2, 3}), rank(m.T, {0, 7})
+    want = {i: "block" if path(i) == "/en/1" or (distrust[i] >= 1 / 40 and distrust[i] > 2 * trust[i]) else "allow" for i in range(40)}
+    assert got == want and sum(v == "block" for v in want.values()) > 2
+
+
 def test_propagation(spark):
     edges = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("d", "c", 3), ("c", "e", 1), ("f", "f2", 1)]
     seeds = [(0, "a", 1.0), (1, "e", 0.5), (1, "f2", 0.5)]

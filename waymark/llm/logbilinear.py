@@ -301,7 +301,7 @@ def train(docs: DataFrame, head: Head) -> Params:
             yield trainer.rows()
 
     turn = F.xxhash64("doc_id", "text")
-    dealt = docs.select("text", F.pmod(turn, F.lit(shards)).alias("shard"), turn.alias("turn")).repartition(shards, "shard").sortWithinPartitions("shard", "turn").select("text", "shard")
+    dealt = docs.select("text", F.pmod(turn, F.lit(shards)).cast("int").alias("shard"), turn.alias("turn")).repartitionById(shards, "shard").sortWithinPartitions("shard", "turn").select("text", "shard")
     got = dealt.mapInArrow(run, f"i int, w double, {', '.join(f'{c} float' for c in COLUMNS)}").groupBy("i").agg(F.sum("w").alias("w"), *(F.sum(c).alias(c) for c in COLUMNS))
     got = got.select("i", *((F.col(c) / F.col("w")).cast("float").alias(c) for c in COLUMNS)).toArrow()  # a row a word and class of the model
     return merged(init, got) if len(got) else init
