@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import articles, events, hybrid, lexical, maps, merge, semantic
-from waymark.sources.lines import table_or_empty
+from waymark.operators import articles, events, hybrid, ingest, lexical, maps, merge, semantic
+from waymark.sources import lines, raster
 
 #: The schemas of the domain's tables
 SCHEMAS = {
@@ -14,7 +14,7 @@ SCHEMAS = {
     "entities": "id long, article_id long, title string, description string",
     "sections": "id long, entity_id long, title string, content string, pow int",
     "entity_times": "entity_id long, prop_code int, year int, month int, day int, julian_day long",
-    "entity_places": "id long, entity_id long, prop_code int, latitude double, longitude double",
+    "entity_places": "id long, entity_id long, prop_code int, latitude double, longitude double, precision double",
     "vectors": "id long, embedding array<float>",
     "tensors": "layer int, name string, dtype int, dims array<long>, data binary",
     "tiles": "zoom int, col int, row int, tile_data binary",
@@ -38,7 +38,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, embed=None):
         self.spark, self.embed = spark, embed
-        self.tables = {n: (tables or {}).get(n) if n in (tables or {}) else table_or_empty(spark, n, s) for n, s in SCHEMAS.items()}
+        self.tables = {n: (tables or {}).get(n) if n in (tables or {}) else lines.table_or_empty(spark, n, s) for n, s in SCHEMAS.items()}
         self._sections: lexical.Index | None = None
         self._labels: lexical.Index | None = None
         self._ann = None
@@ -70,6 +70,33 @@ class Engine:
             lists = self.spark.read.parquet(path).select("id", "v", F.col("cluster").cast("int"))
         self._ann = (c, lists, size)
 
+    # --- imports ---
+
+    def _take(self, new: dict[str, DataFrame], path: str | None) -> None:
+        """Keep the imported tables; with a path they are written there and read again."""
+        for name, df in new.items():
+            if path:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+                df = self.spark.read.parquet(f"{path}/{name}")
+            self.tables[name] = df
+        self._sections = self._labels = self._ann = None
+
+    def import_entities(self, source: str, path: str | None = None) -> None:
+        """A dump of entities, by path or URL: parse, upsert, dates, places, links, pruning."""
+        self._take(ingest.import_entities(lines.lines(self.spark, source), self.tables), path)
+
+    def import_articles(self, source: str, path: str | None = None) -> None:
+        """An archive of articles: entities and sections."""
+        self._take(ingest.import_articles(lines.archive_lines(self.spark, source), self.tables), path)
+
+    def import_store(self, store: dict[str, DataFrame], path: str | None = None) -> None:
+        """An existing store's tables: settings, entities, sections, vectors."""
+        self._take(ingest.import_store(store, self.tables), path)
+
+    def import_elevation(self, source: str, path: str | None = None, most: int = 7) -> None:
+        """A raster into elevation tiles of the zooms 0 to `most`."""
+        self._take({"elevations": raster.pyramid(self.spark, source, most)}, path)
+
     # --- searches ---
 
     def _criteria(self, lat, lon, radius, year, month, day, direction):

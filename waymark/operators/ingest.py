@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.time import julian_day, parse_time
 from waymark.functions.tiles import entity_number
-from waymark.operators.merge import first_times
+from waymark.operators.merge import first_times, prune_range, prune_unnamed, replaced, resolve_links, upsert_keep_title, upsert_overwrite_title, with_default_column
 
 #: Properties that hold dates, coordinates and links to places, with their labels
 TIME_PROPERTIES = {
@@ -61,11 +61,24 @@ def relevant(json: DataFrame) -> DataFrame:
 
 
 def parsed(json: DataFrame) -> DataFrame:
-    """id, title, description and the first claim's value of each property; lines without a usable label go."""
+    """id, title, description and the first claim's value of each property; claims whose value can't be used and lines
+    without a usable label go, so an entity without any usable claim has no row."""
     p = json.select(F.from_json("value", SCHEMA).alias("e")).select("e.*")
     title, description = label_pick(F.col("labels"), F.col("descriptions"))
     out = p.select(entity_number(F.col("id")).alias("id"), title.alias("title"), description.alias("description"), F.explode(first_claims(F.col("claims"))).alias("prop_code", "value"))
-    return out.where("title is not null and id > 0")
+    return out.where((F.col("title") != "") & (F.col("id") > 0) & usable(F.col("prop_code"), F.col("value")))
+
+
+#: How a date begins, and the globe that is ours
+TIME, EARTH = r"^[+-]\d{4,9}-\d{2}-\d{2}", "http://www.wikidata.org/entity/Q2"
+
+
+def usable(code: Column, value: Column) -> Column:
+    """A date, a place on earth, or a link to an entity."""
+    field = lambda k: F.get_json_object(value, f"$.{k}")
+    place = F.coalesce(field("globe"), F.lit("")).isin("", EARTH) & field("latitude").isNotNull() & field("longitude").isNotNull()
+    known = lambda c: code.isin(list(c))
+    return F.coalesce((known(TIME_PROPERTIES) & field("time").rlike(TIME)) | (known(PLACE_PROPERTIES) & place) | (known(LINK_PROPERTIES) & entity_number(field("id")).isNotNull()), F.lit(False))
 
 
 def first_claims(claims: Column) -> Column:
@@ -83,25 +96,73 @@ def label_pick(labels: Column, descriptions: Column) -> tuple[Column, Column]:
 
 
 def entities(claims: DataFrame) -> DataFrame:
-    return claims.select("id", "title", "description").distinct()
+    """One row an id; of several lines of one id the smallest (title, description)."""
+    return claims.groupBy("id").agg(F.min(F.struct("title", "description")).alias("e")).select("id", "e.title", "e.description")
 
 
 def times(claims: DataFrame) -> DataFrame:
+    """Dates, the year 0 included."""
     got = claims.where(F.col("prop_code").isin(list(TIME_PROPERTIES))).select("id", "prop_code", F.get_json_object("value", "$.time").alias("t"))
     y, m, d = parse_time(F.col("t"))
-    rows = got.select(F.col("id").alias("entity_id"), "prop_code", y.alias("year"), m.alias("month"), d.alias("day")).where("year <> 0")
+    rows = got.select(F.col("id").alias("entity_id"), "prop_code", y.alias("year"), m.alias("month"), d.alias("day"))
     return first_times(rows.withColumn("julian_day", julian_day(F.col("year"), F.col("month"), F.col("day"))))
 
 
 def places(claims: DataFrame) -> DataFrame:
     """Coordinates on earth."""
-    p = F.from_json("value", "latitude double, longitude double, precision double, globe string")
+    p = F.from_json("value", "latitude double, longitude double, precision double")
     got = claims.where(F.col("prop_code").isin(list(PLACE_PROPERTIES))).select("id", "prop_code", p.alias("p"))
-    return got.where(F.coalesce("p.globe", F.lit("")).rlike(r"^$|(^|/)Q2$")).select(F.col("id").alias("entity_id"), "prop_code", "p.latitude", "p.longitude", "p.precision").where("latitude is not null and longitude is not null")
+    return got.select(F.col("id").alias("entity_id"), "prop_code", "p.latitude", "p.longitude", "p.precision")
 
 
 def links(claims: DataFrame) -> DataFrame:
-    return claims.where(F.col("prop_code").isin(list(LINK_PROPERTIES))).select("id", F.col("prop_code").alias("code"), entity_number(F.get_json_object("value", "$.id")).alias("value")).where("value is not null")
+    return claims.where(F.col("prop_code").isin(list(LINK_PROPERTIES))).select("id", F.col("prop_code").alias("code"), entity_number(F.get_json_object("value", "$.id")).alias("value"))
+
+
+def import_entities(lines: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The whole import of a dump: parse, upsert entities, add dates and places, take over the places of linked
+    entities, prune. old and the result: entities, entity_times, entity_places."""
+    claims = parsed(relevant(records(lines)))
+    named = upsert_keep_title(old["entities"], entities(claims).withColumn("article_id", F.lit(None).cast("long")))
+    all_times = first_times(old["entity_times"].unionByName(times(claims)))
+    own = places(claims)
+    here = old["entity_places"].drop("id").unionByName(own, allowMissingColumns=True)
+    here = here.unionByName(resolve_links(links(claims), here))
+    here = numbered_places(prune_unnamed(prune_range(here), named))
+    return {"entities": named, "entity_times": prune_unnamed(all_times, named), "entity_places": here}
+
+
+def numbered_places(places_: DataFrame) -> DataFrame:
+    """id: a hash of the row, so an import can be repeated; equal rows are one."""
+    row = ["entity_id", "prop_code", "latitude", "longitude", "precision"]
+    return places_.select(F.xxhash64(*row).alias("id"), *row).distinct()
+
+
+def import_articles(lines: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The whole import of an article archive: entities with their articles, and the sections of their texts."""
+    found = articles(lines)
+    one = found.groupBy(F.col("entity_id").alias("id")).agg(F.max(F.struct("article_id", "title", "html")).alias("a")).select("id", "a.*")
+    named = upsert_overwrite_title(old["entities"], one.select("id", "article_id", "title"))
+    fresh = sections(one.select(F.col("id").alias("entity_id"), "title", "html"))
+    kept = old["sections"].join(fresh.select("id"), "id", "left_anti")
+    return {"entities": named, "sections": kept.unionByName(fresh)}
+
+
+def import_store(store: dict[str, DataFrame], old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """An existing store of articles, sections, vectors and settings (tables `articles`, `sections`, `setup`, and
+    `vectors` where it has them) merged into ours: settings, entities, sections, vectors."""
+    a = store["articles"].where("entity like 'Q%'").select(F.expr("try_cast(substring(entity, 2) as bigint)").alias("entity_id"), F.col("id").alias("article_id"), "title").where("entity_id is not null")
+    one = a.groupBy(F.col("entity_id").alias("id")).agg(F.max(F.struct("article_id", "title")).alias("a")).select("id", "a.article_id", "a.title")
+    s = with_default_column(store["sections"], "pow", 0).join(a.select("article_id", "entity_id"), "article_id").select("id", "entity_id", "title", "content", F.coalesce(F.col("pow"), F.lit(0)).cast("int").alias("pow"))
+    setup = store["setup"].where(F.col("key").isin(*STORE_SETTINGS)).select("key", F.col("value").cast("string").alias("value"))
+    out = {"entities": upsert_overwrite_title(old["entities"], one), "sections": replaced(old["sections"], s, "id"), "settings": replaced(old["settings"], setup, "key")}
+    if "vectors" in store:
+        out["vectors"] = replaced(old["vectors"], store["vectors"].select("id", "embedding"), "id")
+    return out
+
+
+#: The settings taken over from an existing store
+STORE_SETTINGS = ("model", "annSize", "modelPrefixSearch", "modelPrefixSave")
 
 
 def properties(spark) -> DataFrame:

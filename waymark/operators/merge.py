@@ -24,7 +24,9 @@ def last_wins(rows: DataFrame, keys: list[str], sequence: str) -> DataFrame:
 
 
 def upsert_keep_title(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Entities from a dump: a title that isn't empty stays, the description is always the new one's."""
+    """Entities from a dump: a title that isn't empty stays, the description is always the new one's. One row an id:
+    of several new rows the smallest (title, description)."""
+    new = new.groupBy("id").agg(F.min(F.struct("title", "description")).alias("n")).select("id", "n.title", "n.description")
     a, b = old.alias("a"), new.alias("b")
     fresh = F.col("b.id").isNotNull()
     return a.join(b, F.col("a.id") == F.col("b.id"), "full").select(
@@ -36,7 +38,9 @@ def upsert_keep_title(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def upsert_overwrite_title(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Entities from articles: article and title are the new ones, the description stays."""
+    """Entities from articles: article and title are the new ones, the description stays. One row an id: of several
+    new rows the largest (article_id, title)."""
+    new = new.groupBy("id").agg(F.max(F.struct("article_id", "title")).alias("n")).select("id", "n.article_id", "n.title")
     a, b = old.alias("a"), new.alias("b")
     fresh = F.col("b.id").isNotNull()
     return a.join(b, F.col("a.id") == F.col("b.id"), "full").select(
@@ -47,6 +51,12 @@ def upsert_overwrite_title(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def replaced(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of new, each key once, replace those of old."""
+    new = new.dropDuplicates([key])
+    return old.join(new.select(key), key, "left_anti").unionByName(new.select(*(c for c in old.columns if c in new.columns)), allowMissingColumns=True)
+
+
 def prune_range(places: DataFrame) -> DataFrame:
     return places.where(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180))
 
@@ -58,13 +68,15 @@ def prune_unnamed(rows: DataFrame, entities: DataFrame) -> DataFrame:
 
 def resolve_links(links: DataFrame, places: DataFrame) -> DataFrame:
     """Places that entities take over from those they link to."""
-    at = places.select(F.col("entity_id").alias("value"), "latitude", "longitude")
-    return links.join(at, "value").select(F.col("id").alias("entity_id"), F.col("code").alias("prop_code"), "latitude", "longitude").distinct()
+    at = places.select(F.col("entity_id").alias("value"), "latitude", "longitude", "precision")
+    return links.join(at, "value").select(F.col("id").alias("entity_id"), F.col("code").alias("prop_code"), "latitude", "longitude", "precision").distinct()
 
 
-def put_settings(settings: DataFrame, new: DataFrame) -> DataFrame:
-    """New values replace old ones."""
-    return settings.join(new.select("key"), "key", "left_anti").unionByName(last_wins(new.withColumn("_n", F.monotonically_increasing_id()), ["key"], "_n").drop("_n"))
+def put_settings(settings: DataFrame, new: DataFrame, sequence: str | None = None) -> DataFrame:
+    """New values replace old ones; of several new values of a key the one with the largest `sequence` wins, without
+    such a column the largest value."""
+    best = new.groupBy("key").agg(F.max_by("value", sequence or "value").alias("value"))
+    return settings.join(best.select("key"), "key", "left_anti").unionByName(best)
 
 
 def flat_settings(json: DataFrame, prefix: str = "map_") -> DataFrame:

@@ -13,6 +13,7 @@ from waymark.functions import vector as V
 from waymark.operators.lexical import best_per_entity, filtered
 
 PER_CLUSTER, ROUNDS, PROBES, SIZE = 2500, 10, 3, 64
+RANGES, PRODUCT = 64, 1 << 22
 
 
 def prepared(vectors: DataFrame, size: int = SIZE) -> DataFrame:
@@ -33,9 +34,17 @@ def seeds(unit: DataFrame, k: int) -> DataFrame:
 
 
 def _numbered(unit: DataFrame) -> DataFrame:
-    """place: the row's number in the order of ids, from 0."""
-    parts = unit.repartitionByRange("id").withColumn("part", F.spark_partition_id())
-    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
+    """place: the row's number in the order of ids, from 0.
+
+    Rows are counted by ranges of ids whose bounds are fixed first, so counting and ranking see the same ranges.
+    """
+    bounds = unit.agg(F.percentile_approx("id", [i / RANGES for i in range(1, RANGES)])).first()[0] or []
+    cuts = sorted(set(bounds))
+    part = F.lit(0)
+    for c in cuts:  # as many terms as ranges
+        part = part + (F.col("id") > c).cast("int")
+    parts = unit.withColumn("part", part)
+    sizes = dict(parts.groupBy("part").agg(F.count("*").alias("n")).collect())  # a row a range
     before, rows = 0, []
     for p in sorted(sizes):
         rows.append((p, before))
@@ -46,11 +55,13 @@ def _numbered(unit: DataFrame) -> DataFrame:
 
 
 def _nearest(centroids: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    rows = max(1, PRODUCT // max(1, len(centroids)))  # so a product has PRODUCT numbers at most
+
     def run(batches):
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy())
-                yield pdf.assign(cluster=(x @ centroids.T).argmax(1).astype(np.int32))
+                yield pdf.assign(cluster=np.concatenate([(x[i : i + rows] @ centroids.T).argmax(1) for i in range(0, len(x), rows)]).astype(np.int32))
     return run
 
 
@@ -151,6 +162,26 @@ def hash_embedder(size: int = SIZE) -> Callable[[Iterator[pd.DataFrame]], Iterat
     return run
 
 
+def http_embedder(url: str, model: str, key: str = "", timeout: float = 30, most: int = 32) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Vectors from a server with the usual embeddings interface: POST {model, input} gives {data: [{index, embedding}]}."""
+    import json
+    import urllib.request
+
+    def run(batches):
+        for pdf in batches:
+            for i in range(0, len(pdf), most):
+                part = pdf.iloc[i : i + most]
+                headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+                ask = urllib.request.Request(url, json.dumps({"model": model, "input": part["input"].fillna("").tolist()}).encode(), headers)
+                with urllib.request.urlopen(ask, timeout=timeout) as r:
+                    got = json.loads(r.read())
+                data = sorted(got.get("data") or [], key=lambda d: d.get("index", 0))
+                if len(data) != len(part):
+                    raise ValueError(f"{len(data)} embeddings for {len(part)} texts: {(got.get('error') or {}).get('message', '')}")
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "embedding": [np.array(d["embedding"], np.float32) for d in data]})
+    return run
+
+
 def embed(inputs: DataFrame, embedder=None) -> DataFrame:
     """(id, embedding); any function of batches (id, input) serves, such as one that asks a model server."""
     return inputs.mapInPandas(embedder or hash_embedder(), "id long, embedding array<float>")

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from waymark.functions.time import julian_day
 
+
+
+def _literal(sql: str) -> str:
+    """Braces of JSON in the text stay; only {customer} is a table's name."""
+    return sql.replace("{", "{{").replace("}", "}}").replace("{{customer}}", "{customer}")
+
+
 #: {name} stands for a base table
 VIEWS = {
     "entities": """select c_custkey+1 as id,
@@ -15,12 +22,14 @@ VIEWS = {
 from {customer}""",
     "entity_places": """select c_custkey+1 as id, c_custkey+1 as entity_id, 625 as prop_code,
   cast((c_custkey*7919)%18001 as double)/100.0-90.0 as latitude,
-  cast((c_custkey*104729)%36001 as double)/100.0-180.0 as longitude
+  cast((c_custkey*104729)%36001 as double)/100.0-180.0 as longitude,
+  cast(c_custkey%3 as double)/10.0 as precision
 from {customer}
 union all
 select 1000000+c_custkey, c_custkey+1, 19,
   cast((c_nationkey*1543)%18001 as double)/100.0-90.0,
-  cast((c_nationkey*6151)%36001 as double)/100.0-180.0
+  cast((c_nationkey*6151)%36001 as double)/100.0-180.0,
+  cast(c_custkey%2 as double)
 from {customer} where c_custkey%3=0""",
     "raw_times": """select o_custkey+1 as entity_id,
   case o_orderstatus when 'F' then 569 when 'O' then 571 else 585 end as prop_code,
@@ -32,6 +41,12 @@ from {orders}""",
   source as title, text as content, cast(doc_id%6 as int)+1 as pow
 from {documents}""",
     "vectors": "select vec_id+1 as id, embedding from {embeddings}",
+    "dump": _literal("""select '{"id":"Q' || c_custkey || '","claims":{"P31":[{"mainsnak":{"datavalue":{"value":{"id":"Q5"}}}}]' ||
+  case when c_custkey%3=0 then ',"P569":[{"mainsnak":{"datavalue":{"value":{"time":"' || case when c_custkey%21=0 then 'unknown value' else case when c_custkey%2=0 then '+' else '-' end || lpad(cast(c_custkey%2000 as string), 4, '0') || '-' || lpad(cast(c_custkey%13 as string), 2, '0') || '-' || lpad(cast(c_custkey%29 as string), 2, '0') || 'T00:00:00Z' end || '"}}}},{"mainsnak":{"datavalue":{"value":{"time":"+1900-01-01T00:00:00Z"}}}}]' else '' end ||
+  case when c_custkey%4=0 then ',"P625":[{"mainsnak":{"datavalue":{"value":{"latitude":' || (c_custkey%90) || '.5,"longitude":-' || (c_custkey%180) || '.25,"precision":0.' || (c_custkey%3+1) || ',"globe":"' || case when c_custkey%8=0 then 'http://www.wikidata.org/entity/Q2' when c_custkey%12=0 then '' else 'http://www.wikidata.org/entity/Q111' end || '"}}}}]' else '' end ||
+  case when c_custkey%5=0 then ',"P19":[{"mainsnak":{"datavalue":{"value":{"id":"' || case when c_custkey%10=0 then 'Q' || (c_custkey%97+1) else 'none' end || '"}}}}]' else '' end ||
+  '},"labels":{' || case when c_custkey%11=0 then '' when c_custkey%7=0 then '"en":{"value":"  "},"fr":{"value":" Nom ' || c_custkey || ' "},"it":{"value":"Nome"}' else '"fr":{"value":"Autre"},"en":{"value":"Name ' || c_custkey || '"}' end ||
+  '},"descriptions":{"en":{"value":"about ' || c_custkey || '"},"fr":{"value":"de ' || c_custkey || '"}}},' as value, c_custkey as k from {customer}"""),
     "links": "select c_custkey+1 as id, 19 as code, cast(1+c_nationkey as bigint) as value from {customer}",
 }
 #: Fixed values of the settings table

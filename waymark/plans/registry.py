@@ -559,63 +559,76 @@ def hybrid_merge_fields(t: Tables) -> DataFrame:
 
 # --- merges and ingestion ---
 
-_LINES = (
-    "[",
-    '{"id":"Q1","claims":{"P569":[{"mainsnak":{"datavalue":{"value":{"time":"+1879-03-14T00:00:00Z"}}}},{"mainsnak":{"datavalue":{"value":{"time":"+1900-01-01T00:00:00Z"}}}}],"P625":[{"mainsnak":{"datavalue":{"value":{"latitude":48.4,"longitude":9.98,"precision":0.01,"globe":""}}}}],"P19":[{"mainsnak":{"datavalue":{"value":{"id":"Q2"}}}}]},"labels":{"en":{"value":"First"}},"descriptions":{"en":{"value":"one"}}},',
-    '{"id":"Q2","claims":{"P625":[{"mainsnak":{"datavalue":{"value":{"latitude":10.5,"longitude":-20.25,"precision":0.1,"globe":"http://www.wikidata.org/entity/Q2"}}}}],"P571":[{"mainsnak":{"datavalue":{"value":{"time":"-0044-03-15T00:00:00Z"}}}}]},"labels":{"fr":{"value":" Deux "},"de":{"value":"Zwei"}},"descriptions":{"de":{"value":"zwei"}}},',
-    '{"id":"Q3","claims":{"P625":[{"mainsnak":{"datavalue":{"value":{"latitude":1.0,"longitude":2.0,"precision":0.1,"globe":"http://www.wikidata.org/entity/Q111"}}}}]},"labels":{"en":{"value":"Elsewhere"}},"descriptions":{}},',
-    '{"id":"Q4","claims":{"P31":[{"mainsnak":{"datavalue":{"value":{"id":"Q5"}}}}]},"labels":{"en":{"value":"Irrelevant"}},"descriptions":{}},',
-    '{"id":"Q5","claims":{"P569":[{"mainsnak":{"datavalue":{"value":{"time":"+2001-00-00T00:00:00Z"}}}}]},"labels":{"en":{"value":"  "}},"descriptions":{}}',
-    "]",
-)
-
-
-def _lines(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(x,) for x in _LINES], "value string")
-
-
-_DUMP = "dump as (select * from (values " + ",".join("('" + x.rstrip(",").replace("'", "''") + "')" for x in _LINES[1:-1]) + ") v(j))"
-_DE = "de as (select cast(substring(json_extract_string(j,'$.id'),2) as bigint) as id, case when trim(coalesce(json_extract_string(j,'$.labels.en.value'),''))<>'' then json_extract_string(j,'$.labels.en.value') else nullif(trim(coalesce(json_extract_string(j,'$.labels.de.value'), json_extract_string(j,'$.labels.fr.value'), '')),'') end as title, coalesce(json_extract_string(j,'$.descriptions.en.value'), json_extract_string(j,'$.descriptions.de.value')) as description, j from dump)"
+#: what the generated dump's lines (view `dump`, k the customer's number) must give by the rules of the import
+_TITLE = "case when k%11=0 then null when k%7=0 then 'Nom ' || k else 'Name ' || k end"
+_HAS_TIME, _HAS_PLACE, _HAS_LINK = "(k%3=0 and k%21<>0)", "(k%4=0 and (k%8=0 or k%12=0))", "(k%10=0)"
+_YEAR = "cast(case when k%2=0 then k%2000 else -(k%2000) end as int)"
 
 
 def _claims(t: Tables) -> DataFrame:
-    return ingest.parsed(ingest.relevant(ingest.records(_lines(t))))
+    return ingest.parsed(ingest.relevant(ingest.records(t.dump)))
 
 
-@query(f"with {_DUMP} select count(*) as lines, count(*) filter (j like '%\"P569\"%' or j like '%\"P625\"%' or j like '%\"P571\"%' or j like '%\"P19\"%') as relevant from dump")
+@query("select count(*) as lines, count(*) filter (k%3=0 or k%4=0 or k%5=0) as relevant from dump", "dump")
 def entity_prefilter(t: Tables) -> DataFrame:
-    rows = ingest.records(_lines(t))
+    rows = ingest.records(t.dump)
     hit = F.col("value").rlike('"P(' + "|".join(map(str, ingest.RELEVANT)) + ')"')
     return rows.agg(F.count("*").alias("lines"), F.sum(hit.cast("long")).alias("relevant"))
 
 
-@query(f"with {_DUMP}, {_DE} select id, title, description from de where title is not null and (j like '%\"P569\"%' or j like '%\"P625\"%' or j like '%\"P571\"%')")
+@query(f"select k as id, {_TITLE} as title, case when k%7=0 then 'de ' || k else 'about ' || k end as description from dump where k%11<>0 and ({_HAS_TIME} or {_HAS_PLACE} or {_HAS_LINK})", "dump")
 def entity_parse(t: Tables) -> DataFrame:
     return ingest.entities(_claims(t))
 
 
-@query(f"with {_DUMP}, {_DE} select id as entity_id, 625 as prop_code, cast(json_extract(j,'$.claims.P625[0].mainsnak.datavalue.value.latitude') as double) as latitude, cast(json_extract(j,'$.claims.P625[0].mainsnak.datavalue.value.longitude') as double) as longitude from de where title is not null and coalesce(json_extract_string(j,'$.claims.P625[0].mainsnak.datavalue.value.globe'),'x') in ('','http://www.wikidata.org/entity/Q2')")
+@query(f"select k as entity_id, 625 as prop_code, k%90+0.5 as latitude, -(k%180+0.25) as longitude, (k%3+1)/10.0 as precision from dump where k%11<>0 and {_HAS_PLACE}".replace("k%90+0.5", "cast(k%90+0.5 as double)").replace("-(k%180+0.25)", "cast(-(k%180+0.25) as double)").replace("(k%3+1)/10.0", "cast((k%3+1)/10.0 as double)"), "dump")
 def entity_places_parsed(t: Tables) -> DataFrame:
-    return ingest.places(_claims(t)).select("entity_id", "prop_code", "latitude", "longitude")
+    return ingest.places(_claims(t))
 
 
-@query(f"select * from (values (cast(1 as bigint), 569, 1879, 3, 14, cast({_JD(1879, 3, 14)} as bigint)), (cast(2 as bigint), 571, -44, 3, 15, cast({_JD(-44, 3, 15)} as bigint))) v(entity_id, prop_code, year, month, day, julian_day)")
+@query(f"select k as entity_id, 569 as prop_code, {_YEAR} as year, cast(k%13 as int) as month, cast(k%29 as int) as day, {jdn_sql(_YEAR, '(k%13)', '(k%29)')} as julian_day from dump where k%11<>0 and {_HAS_TIME}", "dump")
 def entity_times_parsed(t: Tables) -> DataFrame:
     return ingest.times(_claims(t))
 
 
-@query("select cast(1 as bigint) as id, 19 as code, cast(2 as bigint) as value")
+@query(f"select k as id, 19 as code, k%97+1 as value from dump where k%11<>0 and {_HAS_LINK}", "dump")
 def entity_links_parsed(t: Tables) -> DataFrame:
     return ingest.links(_claims(t))
 
 
-@query(f"with {_DUMP}, {_DE} select id, title from de")
+@query(f"select k as id, {_TITLE} as title from dump", "dump")
 def label_pick(t: Tables) -> DataFrame:
-    e = ingest.records(_lines(t)).select(F.from_json("value", ingest.SCHEMA).alias("e")).select("e.*")
+    e = ingest.records(t.dump).select(F.from_json("value", ingest.SCHEMA).alias("e")).select("e.*")
     title, _ = ingest.label_pick(F.col("labels"), F.col("descriptions"))
     return e.select(X.entity_number(F.col("id")).alias("id"), F.nullif(title, F.lit("")).alias("title"))
 
 
+def _own(t: Tables) -> dict[str, DataFrame]:
+    return {n: getattr(t, n) for n in ("entities", "entity_times", "entity_places", "sections", "settings", "vectors")}
+
+
+_IMPORTED = f"""fresh as (select k as id, {_TITLE} as title, case when k%7=0 then 'de ' || k else 'about ' || k end as description from dump where k%11<>0 and ({_HAS_TIME} or {_HAS_PLACE} or {_HAS_LINK})),
+named as (select coalesce(o.id, n.id) as id, o.article_id, case when n.id is null then o.title when o.title is not null and o.title<>'' then o.title else n.title end as title, case when n.id is null then o.description else n.description end as description from entities o full join fresh n on n.id=o.id),
+own as (select entity_id, prop_code, latitude, longitude, precision from entity_places union all select k, 625, cast(k%90+0.5 as double), cast(-(k%180+0.25) as double), cast((k%3+1)/10.0 as double) from dump where k%11<>0 and {_HAS_PLACE}),
+linked as (select * from own union all select distinct d.k, 19, p.latitude, p.longitude, p.precision from dump d join own p on p.entity_id=d.k%97+1 where d.k%11<>0 and {_HAS_LINK.replace("k%", "d.k%")})"""
+
+
+@query()
+def import_entities(t: Tables) -> DataFrame:
+    return ingest.import_entities(t.dump, _own(t))["entities"]
+
+
+SQL["import_entities"] = with_sql("", "entities", "entity_places", "dump").rstrip() + f", {_IMPORTED} select * from named"
+
+
+@query()
+def import_places(t: Tables) -> DataFrame:
+    return ingest.import_entities(t.dump, _own(t))["entity_places"].drop("id")
+
+
+SQL["import_places"] = with_sql("", "entities", "entity_places", "dump").rstrip() + f", {_IMPORTED} select distinct l.* from linked l join named n on n.id=l.entity_id where n.title<>'' and latitude between -90 and 90 and longitude between -180 and 180"
+
+
 @query("select qid, try_cast(substring(qid,2) as bigint) as id from (select 'Q' || c_custkey as qid from customer union all select 'Qx' union all select '')")
 def qid_cast(t: Tables) -> DataFrame:
     q = t.customer.select(F.concat(F.lit("Q"), F.col("c_custkey").cast("string")).alias("qid")).union(t.spark.createDataFrame([("Qx",), ("",)], "qid string"))
@@ -667,15 +680,42 @@ def places_prune_semi(t: Tables) -> DataFrame:
     return merge.prune_unnamed(t.entity_places, t.entities).select("id", "entity_id")
 
 
-@query("select distinct l.id as entity_id, l.code as prop_code, p.latitude, p.longitude from links l join entity_places p on p.entity_id=l.value", "links", "entity_places")
+@query("select distinct l.id as entity_id, l.code as prop_code, p.latitude, p.longitude, p.precision from links l join entity_places p on p.entity_id=l.value", "links", "entity_places")
 def link_places_distinct(t: Tables) -> DataFrame:
     return merge.resolve_links(t.links, t.entity_places)
 
 
-@query("select s.id, s.entity_id, s.title, 0 as pow from sections s join entities e on e.id=s.entity_id", "sections", "entities")
+def _store(t: Tables) -> dict[str, DataFrame]:
+    """Another store's tables: articles by entity (some of none), sections without `pow`, vectors, settings."""
+    k = F.col("c_custkey")
+    a = t.customer.select((k + 5000).alias("id"), F.when(k % 9 == 0, "X1").otherwise(F.concat(F.lit("Q"), (k + 700).cast("string"))).alias("entity"), F.concat(F.lit("Other "), k.cast("string")).alias("title"))
+    s = t.documents.select((F.col("doc_id") + 40).alias("id"), (F.col("doc_id") % 150 + 5001).alias("article_id"), F.col("source").alias("title"), F.col("text").alias("content"))
+    return {"articles": a, "sections": s, "setup": t.settings.union(t.spark.createDataFrame([("model", "m"), ("other", "x")], "key string, value string")), "vectors": t.vectors.select((F.col("id") + 100).alias("id"), "embedding")}
+
+
+_STORE = """arts as (select c_custkey+5000 as id, 'Q' || (c_custkey+700) as entity, c_custkey+700 as entity_id, 'Other ' || c_custkey as title from customer where c_custkey%9<>0),
+secs as (select d.doc_id+40 as id, a.entity_id, d.source as title, d.text as content, 0 as pow from documents d join arts a on a.id=d.doc_id%150+5001)"""
+
+
+@query()
 def import_compat(t: Tables) -> DataFrame:
-    old = t.sections.drop("pow")
-    return merge.with_default_column(old, "pow", 0).join(t.entities.select(F.col("id").alias("entity_id")), "entity_id").select("id", "entity_id", "title", "pow")
+    return ingest.import_store(_store(t), _own(t))["sections"].withColumn("content", F.md5(F.col("content").cast("binary")))
+
+
+SQL["import_compat"] = _full("select id, entity_id, title, md5(content) as content, pow from secs union all select id, entity_id, title, md5(content), pow from sections where id not in (select id from secs)", _STORE, "sections")
+
+
+@query()
+def import_compat_entities(t: Tables) -> DataFrame:
+    return ingest.import_store(_store(t), _own(t))["entities"]
+
+
+SQL["import_compat_entities"] = _full("select coalesce(o.id, n.entity_id) as id, coalesce(n.id, o.article_id) as article_id, case when n.id is null then o.title else n.title end as title, o.description from entities o full join arts n on n.entity_id=o.id", _STORE, "entities")
+
+
+@query("select key, value from settings union all select 'model', 'm'", "settings")
+def import_compat_settings(t: Tables) -> DataFrame:
+    return ingest.import_store(_store(t), _own(t))["settings"]
 
 
 _META = '{"name":"demo","minzoom":"0","maxzoom":14,"bounds":[1,2],"nested":{"a":1}}'

@@ -2,39 +2,64 @@
 
 from __future__ import annotations
 
-import io
+import bz2
+import gzip
 import tarfile
+import urllib.request
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources import ranges
+
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value; .gz and .bz2 by their extension (bzip2 files are split)."""
-    return spark.read.text(path)
+    """value; .gz and .bz2 by their extension (bzip2 files are split). A http(s) URL is streamed by one task."""
+    return url_lines(spark, path) if path.startswith(("http://", "https://")) else spark.read.text(path)
+
+
+def _groups(texts, most: int = 1000):
+    """Data frames of at most so many values."""
+    held = []
+    for t in texts:
+        held.append(t)
+        if len(held) == most:
+            yield pd.DataFrame({"value": held})
+            held = []
+    if held:
+        yield pd.DataFrame({"value": held})
+
+
+def url_lines(spark: SparkSession, url: str) -> DataFrame:
+    """value: the lines of what a URL holds, decompressed as they arrive."""
+
+    def run(batches):
+        for pdf in batches:
+            for u in pdf["url"]:
+                with urllib.request.urlopen(urllib.request.Request(u, headers={"User-Agent": "waymark"}), timeout=60) as r:
+                    end = u.split("?")[0].lower()
+                    f = gzip.GzipFile(fileobj=r) if end.endswith(".gz") else bz2.BZ2File(r) if end.endswith(".bz2") else r
+                    yield from _groups(x.decode("utf-8", "replace").rstrip("\r\n") for x in f)
+
+    return spark.createDataFrame([(url,)], "url string").mapInPandas(run, "value string")
 
 
 def archive_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value: the lines of all members of tar or tar.gz archives, one task an archive."""
+    """value: the lines of all members of tar or tar.gz archives, one task an archive, read as a stream; a http(s) URL
+    serves as well."""
+    url = path.startswith(("http://", "https://"))
+    source = spark.createDataFrame([(path,)], "path string") if url else ranges.table(spark, path).select("path")
 
     def run(batches):
         for pdf in batches:
-            for raw in pdf["content"]:
-                with tarfile.open(fileobj=io.BytesIO(raw), mode="r:*") as tar:
+            for p in pdf["path"]:
+                with urllib.request.urlopen(p, timeout=60) if url else ranges.stream(p) as f, tarfile.open(fileobj=f, mode="r|*") as tar:
                     for member in tar:
                         if member.isfile():
-                            held = []
-                            for line in tar.extractfile(member):
-                                if text := line.decode("utf-8", "replace").strip():
-                                    held.append(text)
-                                if len(held) == 1000:
-                                    yield pd.DataFrame({"value": held})
-                                    held = []
-                            if held:
-                                yield pd.DataFrame({"value": held})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "value string")
+                            yield from _groups(t for line in tar.extractfile(member) if (t := line.decode("utf-8", "replace").strip()))
+
+    return source.mapInPandas(run, "value string")
 
 
 def compress(df: DataFrame, path: str) -> None:

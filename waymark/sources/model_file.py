@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.tiles import tensor_layer
+from waymark.sources import ranges
 
 #: Struct codes of metadata types
 SCALARS = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}
@@ -19,18 +20,18 @@ F32, F16, Q8_0, BF16 = 0, 1, 8, 30
 
 
 class Reader:
-    def __init__(self, raw: bytes):
-        self.raw, self.at = raw, 0
+    def __init__(self, source):
+        self.source, self.at = ranges.window(source), 0
 
     def take(self, code: str):
-        v = struct.unpack_from("<" + code, self.raw, self.at)[0]
-        self.at += struct.calcsize("<" + code)
-        return v
+        n = struct.calcsize("<" + code)
+        self.at += n
+        return struct.unpack("<" + code, self.source.bytes(self.at - n, n))[0]
 
     def text(self) -> str:
         n = self.take("Q")
         self.at += n
-        return self.raw[self.at - n : self.at].decode("utf-8", "replace")
+        return self.source.bytes(self.at - n, n).decode("utf-8", "replace")
 
     def value(self, kind: int):
         if kind == 8:
@@ -47,10 +48,10 @@ def tensor_bytes(dtype: int, n: int) -> int:
     return n * {F32: 4, F16: 2, BF16: 2}[dtype]
 
 
-def parse(raw: bytes) -> tuple[dict, list[dict]]:
-    """(metadata, tensors with name, dtype, dims and data)."""
-    r = Reader(raw)
-    if raw[:4] != b"GGUF":
+def head(source) -> tuple[dict, list[dict]]:
+    """(metadata, tensors with name, dtype, dims, offset in the file and length), of a URI or of bytes; no tensor is read."""
+    r = Reader(source)
+    if r.source.bytes(0, 4) != b"GGUF":
         raise ValueError("not a model file")
     r.at = 4
     if r.take("I") != 3:
@@ -68,8 +69,17 @@ def parse(raw: bytes) -> tuple[dict, list[dict]]:
     step = int(meta.get("general.alignment", 32))
     base = -(-r.at // step) * step
     for t in heads:
-        at = base + t.pop("offset")
-        t["data"] = raw[at : at + tensor_bytes(t["dtype"], int(np.prod(t["dims"])))]
+        t["offset"] += base
+        t["length"] = tensor_bytes(t["dtype"], int(np.prod(t["dims"])))
+    return meta, heads
+
+
+def parse(raw: bytes) -> tuple[dict, list[dict]]:
+    """(metadata, tensors with name, dtype, dims and data) of a file at hand."""
+    meta, heads = head(raw)
+    for t in heads:
+        at, n = t.pop("offset"), t.pop("length")
+        t["data"] = raw[at : at + n]
     return meta, heads
 
 
@@ -87,16 +97,22 @@ def dequantize(raw: bytes, dtype: int) -> np.ndarray:
 
 
 def tensors(spark: SparkSession, path: str) -> DataFrame:
-    """layer, name, dtype, dims, data of the tensors that an embedder needs (the output weights are left out)."""
+    """layer, name, dtype, dims, data of the tensors that an embedder needs (the output weights are left out); each is
+    read by offset in a task of its own."""
 
-    def run(batches):
+    def heads(batches):
+        for pdf in batches:
+            for p in pdf["path"]:
+                yield pd.DataFrame([{"path": p, **t} for t in head(p)[1]], columns=["path", "name", "dtype", "dims", "offset", "length"])
+
+    def data(batches):
         for pdf in batches:
-            for raw in pdf["content"]:
-                for t in parse(raw)[1]:
-                    yield pd.DataFrame({"name": [t["name"]], "dtype": [t["dtype"]], "dims": [t["dims"]], "data": [t["data"]]})
+            for row in pdf.itertuples(index=False):
+                yield pd.DataFrame({"name": [row.name], "dtype": [row.dtype], "dims": [row.dims], "data": [ranges.read(row.path, row.offset, row.length)]})
 
-    got = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "name string, dtype int, dims array<long>, data binary")
-    return got.where("name <> 'output.weight'").select(tensor_layer(F.col("name")).alias("layer"), "name", "dtype", "dims", "data")
+    found = ranges.table(spark, path).select("path").mapInPandas(heads, "path string, name string, dtype int, dims array<long>, offset long, length long")
+    got = found.where("name <> 'output.weight'").repartition("path", "name").mapInPandas(data, "name string, dtype int, dims array<long>, data binary")
+    return got.select(tensor_layer(F.col("name")).alias("layer"), "name", "dtype", "dims", "data")
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -104,11 +120,25 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for raw in pdf["content"]:
-                m = parse(raw)[0]
+            for p in pdf["path"]:
+                m = head(p)[0]
                 yield pd.DataFrame({"key": list(m), "value": [json.dumps(v) for v in m.values()]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "key string, value string")
+    return ranges.table(spark, path).select("path").mapInPandas(run, "key string, value string")
+
+
+#: Metadata keys of the tokenizer, the end token without one, and the kind of a control token
+TOKENS, MERGES, KINDS, END_KEY, END, CONTROL = "tokenizer.ggml.tokens", "tokenizer.ggml.merges", "tokenizer.ggml.token_type", "tokenizer.ggml.eos_token_id", 151643, 3
+
+
+def tokenizer(meta: dict) -> BytePairs:
+    """The byte-level BPE that a model file's metadata describe."""
+    if TOKENS not in meta:
+        raise ValueError(f"no {TOKENS}")
+    words = meta[TOKENS]
+    kinds = meta.get(KINDS) or []
+    special = tuple(w for w, k in zip(words, kinds, strict=False) if k == CONTROL) or tuple(w for w in words if w.startswith("<|") and w.endswith("|>"))
+    return BytePairs({w: i for i, w in enumerate(words)}, [m for m in meta.get(MERGES, []) if " " in m], special, int(meta.get(END_KEY, END)))
 
 
 def dequantized(rows: DataFrame) -> DataFrame:

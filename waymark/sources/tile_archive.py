@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions.geo import hilbert_zxy, tms_flip
+from waymark.sources import ranges
 from waymark.sources.vector_tiles import packed
 
 HEADER = struct.Struct("<7sB11Q6B")
+HEADER_BYTES = HEADER.size
 
 
 def header(raw: bytes) -> dict:
@@ -46,62 +48,72 @@ def directory(raw: bytes) -> list[tuple[int, int, int, int]]:
 
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
-    """path, tile_id, run_length, offset, length of all tiles: leaf directories are read by separate tasks."""
-    files = spark.read.format("binaryFile").load(path)
+    """path, tile_id, run_length, offset, length of all tiles: the roots, then the leaf directories by separate tasks,
+    each read by offset and length."""
 
     def roots(batches):
         for pdf in batches:
             rows = []
-            for p, raw in zip(pdf["path"], pdf["content"], strict=True):
-                h = header(raw)
-                for t, run, o, n in directory(unpacked(raw[h["root_offset"] : h["root_offset"] + h["root_length"]], h["internal_compression"])):
-                    at = h["leaf_offset"] + o
-                    rows.append((p, t, run, o, n, raw[at : at + n] if not run else None, h["internal_compression"]))
-            yield pd.DataFrame(rows, columns=["path", "tile_id", "run_length", "offset", "length", "leaf", "compression"])
+            for p in pdf["path"]:
+                h = header(ranges.read(p, 0, HEADER_BYTES))
+                for t, run, o, n in directory(unpacked(ranges.read(p, h["root_offset"], h["root_length"]), h["internal_compression"])):
+                    rows.append((p, t, run, o, n, h["leaf_offset"], h["internal_compression"]))
+            yield pd.DataFrame(rows, columns=["path", "tile_id", "run_length", "offset", "length", "leaves", "compression"])
 
     def leaves(batches):
         for pdf in batches:
-            rows = []
-            for p, raw, c in zip(pdf["path"], pdf["leaf"], pdf["compression"], strict=True):
-                todo = [raw]
+            for p, base, o, n, c in zip(pdf["path"], pdf["leaves"], pdf["offset"], pdf["length"], pdf["compression"], strict=True):
+                todo = [(o, n)]
                 while todo:
-                    rows += [(p, *e) for e in directory(unpacked(todo.pop(), c))]
-            yield pd.DataFrame(rows, columns=["path", "tile_id", "run_length", "offset", "length"])
+                    o, n = todo.pop()
+                    got = directory(unpacked(ranges.read(p, base + o, n), c))
+                    todo += [(o2, n2) for _, run, o2, n2 in got if not run]
+                    yield pd.DataFrame([(p, *e) for e in got if e[1]], columns=["path", "tile_id", "run_length", "offset", "length"])
 
-    top = files.select("path", "content").mapInPandas(roots, "path string, tile_id long, run_length long, offset long, length long, leaf binary, compression int")
     flat = "path string, tile_id long, run_length long, offset long, length long"
+    top = ranges.table(spark, path).select("path").mapInPandas(roots, flat + ", leaves long, compression int")
     direct = top.where("run_length > 0").select("path", "tile_id", "run_length", "offset", "length")
-    below = top.where("run_length = 0").select("path", "leaf", "compression").repartition("path", "leaf").mapInPandas(leaves, flat)
-    return direct.union(below.where("run_length > 0"))
+    below = top.where("run_length = 0").repartition("path", "offset").mapInPandas(leaves, flat)
+    return direct.union(below)
+
+
+PIECE = 1 << 16
 
 
 def coordinates(entries_: DataFrame, most: int | None = None) -> DataFrame:
-    """path, zoom, col, row (from the south), offset, length: a row a tile of each run, ids below `most` only."""
+    """path, zoom, col, row (from the south), offset, length: a row a tile of each run, ids below `most` only. A run
+    is cut in pieces of PIECE tiles first, so no row holds a long run."""
     last = F.col("tile_id") + F.col("run_length") - 1
     last = last if most is None else F.least(last, F.lit(most - 1))
     e = entries_ if most is None else entries_.where(F.col("tile_id") < most)
-    e = e.select("path", "offset", "length", F.explode(F.sequence("tile_id", last)).alias("tile_id"))
+    e = e.select("path", "offset", "length", "tile_id", last.alias("last")).withColumn("piece", F.explode(F.expr(f"sequence(0L, (last - tile_id) div {PIECE})")))
+    begin = F.col("tile_id") + F.col("piece") * PIECE
+    e = e.select("path", "offset", "length", F.explode(F.sequence(begin, F.least(begin + PIECE - 1, "last"))).alias("tile_id"))
     e = e.withColumn("at", hilbert_zxy(F.col("tile_id")))
     return e.select("path", F.col("at.z").alias("zoom"), F.col("at.x").cast("int").alias("col"), tms_flip(F.col("at.z"), F.col("at.y")).cast("int").alias("row"), "offset", "length")
 
 
 def tiles(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(zoom, col, row, tile_data_id) and (tile_data_id, tile_data): equal offsets are one blob."""
-    at = coordinates(entries(spark, path), most)
+    """(zoom, col, row, tile_data_id) and (tile_data_id, tile_data): equal offsets are one blob. Blobs that lie within
+    the same PART bytes are read by one task."""
+    found = entries(spark, path)
+    at = coordinates(found, most)
     key = F.concat_ws(":", "path", F.col("offset").cast("string"))
-    wanted = at.select("path", "offset", "length").distinct()
+    wanted = (found if most is None else found.where(F.col("tile_id") < most)).select("path", "offset", "length").distinct()
 
     def cut(batches):
+        bases: dict[str, int] = {}
         for pdf in batches:
-            rows = []
-            for p, raw, spots in zip(pdf["path"], pdf["content"], pdf["spots"], strict=True):
-                base = header(raw)["data_offset"]
-                rows += [(f"{p}:{s['offset']}", raw[base + s["offset"] : base + s["offset"] + s["length"]]) for s in spots]
-            yield pd.DataFrame(rows, columns=["tile_data_id", "tile_data"])
-
-    spots = wanted.groupBy("path", F.floor(F.col("offset") / (64 << 20)).alias("part")).agg(F.collect_list(F.struct("offset", "length")).alias("spots"))
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return at.select("zoom", "col", "row", key.alias("tile_data_id")), spots.join(files, "path").select("path", "content", "spots").mapInPandas(cut, "tile_data_id string, tile_data binary")
+            for p, o, n in zip(pdf["path"], pdf["offset"], pdf["length"], strict=True):
+                if p not in bases:
+                    bases[p] = header(ranges.read(p, 0, HEADER_BYTES))["data_offset"]
+                yield pd.DataFrame({"tile_data_id": [f"{p}:{o}"], "tile_data": [ranges.read(p, bases[p] + o, n)]})
+
+    near = wanted.withColumn("part", F.floor(F.col("offset") / PART)).repartition("path", "part").sortWithinPartitions("path", "offset").drop("part")
+    return at.select("zoom", "col", "row", key.alias("tile_data_id")), near.mapInPandas(cut, "tile_data_id string, tile_data binary")
+
+
+PART = 64 << 20
 
 
 def metadata(raw: bytes) -> str:

@@ -9,26 +9,28 @@ from pyspark.sql.streaming import StreamingQuery
 from waymark.operators import ingest, merge, semantic
 
 
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A table that an earlier batch may have written."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-    return spark.read.parquet(path) if there else spark.createDataFrame([], schema)
+def _versions(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the finished writes path/name=<number>."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}=*/_SUCCESS")
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(int(s.getPath().getParent().getName().split("=")[1]) for s in found or [])
 
 
 def ingest_entities(spark: SparkSession, lines: str, out: str, checkpoint: str) -> StreamingQuery:
     """Dump files that arrive in `lines` become versions of the entities table: out/v=<batch>.
 
-    Each batch merges with the version before it and writes a new one, so a batch that is repeated after a
-    failure overwrites its own version and nothing else.
+    Each batch merges with the newest version before it and writes a new one, so a batch that is repeated after a
+    failure overwrites its own version and nothing else. If there should be a version and there is none, it raises.
     """
     schema = "id long, article_id long, title string, description string"
 
     def merge_batch(batch: DataFrame, number: int) -> None:
         s = batch.sparkSession
         new = ingest.entities(ingest.parsed(ingest.relevant(ingest.records(batch))))
-        old = _read(s, f"{out}/v={number - 1}", schema) if number else s.createDataFrame([], schema)
+        before = [v for v in _versions(s, out, "v") if v < number]
+        if number and not before:
+            raise RuntimeError(f"{out} has no finished version before {number}")
+        old = s.read.schema(schema).parquet(f"{out}/v={before[-1]}") if before else s.createDataFrame([], schema)
         merge.upsert_keep_title(old, new.select("id", "title", "description")).write.mode("overwrite").parquet(f"{out}/v={number}")
 
     return spark.readStream.text(lines).writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -38,9 +40,9 @@ def embed_sections(spark: SparkSession, sections: str, schema: str, entities: Da
     """New section files get vectors: out/batch=<number>; sections that have one already are left out."""
 
     def embed_batch(batch: DataFrame, number: int) -> None:
-        done = batch.sparkSession.createDataFrame([], "id long, embedding array<float>")
-        for k in range(number):
-            done = done.union(_read(batch.sparkSession, f"{out}/batch={k}", "id long, embedding array<float>"))
+        s = batch.sparkSession
+        before = [v for v in _versions(s, out, "batch") if v < number]
+        done = s.read.schema("id long, embedding array<float>, batch int").parquet(out).where(F.col("batch") < number) if before else s.createDataFrame([], "id long, embedding array<float>")
         todo = semantic.pending(batch, done)
         semantic.embed(semantic.embedding_input(todo, entities), embedder).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
