@@ -73,7 +73,7 @@ def test_whole_table_joins_have_all_centres(spark):
     h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
     i, j = np.nonzero(2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(h, 1))) <= 500)
     ids = p["id"].to_numpy()
-    got = [(r.centre_id, r.place_id) for r in registry.queries()["radius_join_all"](spark, folder).collect()]
+    got = [(r.centre_id, r.place_id) for r in registry.queries()["radius_join"](spark, folder).collect()]
     assert sorted(got) == sorted(zip(ids[i].tolist(), ids[j].tolist(), strict=True)) and {c for c, _ in got} == set(ids.tolist())
 
     keys = [r.c_custkey for r in spark.read.parquet(f"{folder}/customer.parquet").collect()]
@@ -85,7 +85,7 @@ def test_whole_table_joins_have_all_centres(spark):
         x0, x1 = (int((v + 180) / 360 * 64) for v in (b - s, b + s))
         y0, y1 = (int((1 - np.log(np.tan(v) + 1 / np.cos(v)) / np.pi) / 2 * 64) for v in (a + d, a - d))
         want += [(k, x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)]
-    assert sorted((r.centre_id, r.x, r.y) for r in registry.queries()["tile_cover_all"](spark, folder).collect()) == sorted(want)
+    assert sorted((r.centre_id, r.x, r.y) for r in registry.queries()["tile_cover"](spark, folder).collect()) == sorted(want)
 
 
 def test_circle_lies_in_its_box(spark):

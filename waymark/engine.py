@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators import articles, events, hybrid, ingest, lexical, maps, merge, semantic
-from waymark.sources import lines, raster
+from waymark.sources import lines, model_file, raster, tile_archive
 
 #: The schemas of the domain's tables
 SCHEMAS = {
@@ -70,15 +70,28 @@ class Engine:
             lists = self.spark.read.parquet(path).select("id", "v", F.col("cluster").cast("int"))
         self._ann = (c, lists, size)
 
+    def save(self, path: str) -> None:
+        """Write all tables: a folder each, as Parquet."""
+        for name, df in self.tables.items():
+            df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+    @staticmethod
+    def open(spark: SparkSession, path: str, embed=None) -> Engine:
+        """Over the tables that save() or an import has written; missing ones are empty."""
+        there = {n: lines.folder_or_empty(spark, f"{path}/{n}", s) for n, s in SCHEMAS.items()}
+        return Engine(spark, there, embed)
+
     # --- imports ---
 
     def _take(self, new: dict[str, DataFrame], path: str | None) -> None:
         """Keep the imported tables; with a path they are written there and read again."""
-        for name, df in new.items():
-            if path:
-                df.write.mode("overwrite").parquet(f"{path}/{name}")
-                df = self.spark.read.parquet(f"{path}/{name}")
-            self.tables[name] = df
+        if path:  # all beside what is still read, then each in its place
+            for name, df in new.items():
+                df.write.mode("overwrite").parquet(f"{path}/{name}.new")
+            for name in new:
+                lines.moved(self.spark, f"{path}/{name}.new", f"{path}/{name}")
+            new = {name: self.spark.read.parquet(f"{path}/{name}") for name in new}
+        self.tables |= new
         self._sections = self._labels = self._ann = None
 
     def import_entities(self, source: str, path: str | None = None) -> None:
@@ -93,6 +106,23 @@ class Engine:
         """An existing store's tables: settings, entities, sections, vectors."""
         self._take(ingest.import_store(store, self.tables), path)
 
+    def import_tiles(self, source: str, path: str | None = None, zoom: int | None = None) -> None:
+        """A tile archive: its tiles up to a zoom, and its metadata as settings."""
+        most = None if zoom is None else (4 ** (zoom + 1) - 1) // 3
+        shallow, data = tile_archive.tiles(self.spark, source, most)
+        meta = merge.flat_settings(tile_archive.metadata_of(self.spark, source))
+        self._take({"tiles": maps.tiles_view(shallow, data), "settings": merge.put_settings(self.settings, meta)}, path)
+
+    def import_model(self, source: str, path: str | None = None) -> None:
+        """A model file: its tensors, and its metadata as settings."""
+        meta = model_file.metadata(self.spark, source).select(F.concat(F.lit("gguf_"), "key").alias("key"), "value")
+        self._take({"tensors": model_file.tensors(self.spark, source), "settings": merge.put_settings(self.settings, meta)}, path)
+
+    def embed_sections(self, path: str | None = None, embedder=None, prefix: str = "") -> None:
+        """Vectors of the sections that have none yet."""
+        todo = semantic.pending(self.sections, self.vectors)
+        self._take({"vectors": self.vectors.unionByName(semantic.embed(semantic.embedding_input(todo, self.entities, prefix), embedder))}, path)
+
     def import_elevation(self, source: str, path: str | None = None, most: int = 7) -> None:
         """A raster into elevation tiles of the zooms 0 to `most`."""
         self._take({"elevations": raster.pyramid(self.spark, source, most)}, path)

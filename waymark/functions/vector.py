@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,21 @@ def power(cosine: Column) -> Column:
 def softmax(v: Column) -> Column:
     e = F.transform(doubles(v), lambda x: F.exp(x - F.array_max(doubles(v))))
     return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+
+
+def floats(blob: Column) -> Column:
+    """Little-endian 32-bit floats in a binary column, as array<float>; an incomplete last one is left out."""
+
+    def read(col: pd.Series) -> pd.Series:
+        return col.map(lambda b: np.frombuffer(b, "<f4", len(b) // 4), na_action="ignore")
+
+    return F.pandas_udf(read, "array<float>")(blob)
+
+
+def blob(v: Column) -> Column:
+    """The reverse of floats()."""
+
+    def write(col: pd.Series) -> pd.Series:
+        return col.map(lambda x: np.asarray(x, "<f4").tobytes(), na_action="ignore")
+
+    return F.pandas_udf(write, "binary")(v.cast("array<float>"))

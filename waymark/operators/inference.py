@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 
-from waymark.sources.model_file import dequantize, parse
+from waymark.sources.model_file import Q8_0, dequantize, parse
 
 
 def rms(x: np.ndarray, weight: np.ndarray, eps: float) -> np.ndarray:
@@ -47,9 +47,27 @@ def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.einsum("hij,jhd->ihd", softmax(s), v).reshape(n, heads * size)
 
 
+class Quantized:
+    """A matrix of 8-bit blocks of 32 with a scale each, multiplied and looked up without being unpacked as a whole."""
+
+    ROWS = 1024
+
+    def __init__(self, raw: bytes, rows: int, columns: int):
+        b = np.frombuffer(raw, np.dtype([("d", "<f2"), ("q", "i1", 32)])).reshape(rows, columns // 32)
+        self.d, self.q = b["d"], b["q"]
+
+    def rows(self, at) -> np.ndarray:
+        d, q = self.d[at].astype(np.float32), self.q[at]
+        return (d[..., None] * q).reshape(*d.shape[:-1], -1)
+
+    def product(self, x: np.ndarray) -> np.ndarray:
+        """x times the transposed matrix, ROWS of its rows at a time."""
+        return np.concatenate([x @ self.rows(slice(i, i + self.ROWS)).T for i in range(0, len(self.d), self.ROWS)], -1)
+
+
 @dataclass
 class Model:
-    weights: dict[str, np.ndarray]
+    weights: dict[str, np.ndarray | Quantized]
     layers: int
     heads: int
     kv_heads: int
@@ -66,17 +84,22 @@ class Model:
         w = {}
         for t in tensors:
             if t["name"] != "output.weight":
+                if t["dtype"] == Q8_0 and len(t["dims"]) == 2:
+                    w[t["name"]] = Quantized(t["data"], t["dims"][1], t["dims"][0])
+                    continue
                 x = dequantize(t["data"], t["dtype"])
                 w[t["name"]] = x.reshape(t["dims"][::-1]) if len(t["dims"]) > 1 else x
         get = lambda k, d: meta.get(f"{arch}.{k}", d)
         return Model(w, get("block_count", 28), get("attention.head_count", 16), get("attention.head_count_kv", 8), get("attention.layer_norm_rms_epsilon", 1e-6), get("rope.freq_base", 1e6))
 
     def _linear(self, name: str, x: np.ndarray) -> np.ndarray:
-        out = x @ self.weights[f"{name}.weight"].T
+        w = self.weights[f"{name}.weight"]
+        out = w.product(x) if isinstance(w, Quantized) else x @ w.T
         return out + self.weights[f"{name}.bias"] if f"{name}.bias" in self.weights else out
 
     def embed(self, ids: list[int]) -> np.ndarray:
-        x = self.weights["token_embd.weight"][ids].astype(float)
+        table = self.weights["token_embd.weight"]
+        x = (table.rows(ids) if isinstance(table, Quantized) else table[ids]).astype(float)
         for i in range(self.layers):
             p = f"blk.{i}"
             h = rms(x, self.weights[f"{p}.attn_norm.weight"], self.eps)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.time import julian_day, parse_time
 from waymark.functions.tiles import entity_number
+from waymark.functions.vector import floats
 from waymark.operators.merge import first_times, prune_range, prune_unnamed, replaced, resolve_links, upsert_keep_title, upsert_overwrite_title, with_default_column
 
 #: Properties that hold dates, coordinates and links to places, with their labels
@@ -128,6 +129,8 @@ def import_entities(lines: DataFrame, old: dict[str, DataFrame]) -> dict[str, Da
     own = places(claims)
     here = old["entity_places"].drop("id").unionByName(own, allowMissingColumns=True)
     here = here.unionByName(resolve_links(links(claims), here))
+    if named.isEmpty():  # nothing to prune by
+        return {"entities": named, "entity_times": all_times, "entity_places": numbered_places(here)}
     here = numbered_places(prune_unnamed(prune_range(here), named))
     return {"entities": named, "entity_times": prune_unnamed(all_times, named), "entity_places": here}
 
@@ -157,7 +160,10 @@ def import_store(store: dict[str, DataFrame], old: dict[str, DataFrame]) -> dict
     setup = store["setup"].where(F.col("key").isin(*STORE_SETTINGS)).select("key", F.col("value").cast("string").alias("value"))
     out = {"entities": upsert_overwrite_title(old["entities"], one), "sections": replaced(old["sections"], s, "id"), "settings": replaced(old["settings"], setup, "key")}
     if "vectors" in store:
-        out["vectors"] = replaced(old["vectors"], store["vectors"].select("id", "embedding"), "id")
+        v = store["vectors"]
+        if v.schema["embedding"].dataType.simpleString() == "binary":
+            v = v.withColumn("embedding", floats(F.col("embedding")))
+        out["vectors"] = replaced(old["vectors"], v.select("id", "embedding"), "id")
     return out
 
 

@@ -72,9 +72,11 @@ def around(tiles: DataFrame, lat: float, lon: float, radius_km: float, zoom: int
     """Decoded features of the tiles around a place, not yet filtered; tiles: zoom, col, row, tile_data."""
     from waymark.sources.vector_tiles import features
 
-    centre = tiles.sparkSession.createDataFrame([(0, lat, lon)], "centre_id int, lat double, lon double")
-    cover = tile_cover(centre, radius_km, zoom).select("zoom", F.col("x").cast("int").alias("col"), geo.tms_flip(F.col("zoom"), F.col("y")).cast("int").alias("row"))
-    return named(features(tiles.join(F.broadcast(cover), ["zoom", "col", "row"])))  # a circle's cover is small
+    low, high, west, east = geo.bounding_box(F.lit(lat), F.lit(lon), radius_km)
+    (x0, y0), (x1, y1) = geo.tile_xy(high, west, zoom), geo.tile_xy(low, east, zoom)
+    flip = lambda y: geo.tms_flip(F.lit(zoom), y)
+    # constants once folded: the filter reaches the scan, whatever the number of tiles in the box
+    return named(features(tiles.where((F.col("zoom") == zoom) & F.col("col").between(x0, x1) & F.col("row").between(flip(y1), flip(y0)))))
 
 
 def centroids(tiles: DataFrame, lat: float, lon: float, radius_m: float = 1000, zoom: int = 14, limit: int = 50) -> DataFrame:
@@ -92,11 +94,13 @@ def feature_by_id(tiles: DataFrame, lat: float, lon: float, number: str, radius_
 
 
 def bilinear(grid: DataFrame, points: DataFrame, width: int, height: int) -> DataFrame:
-    """Elevation at points by the four grid samples around: x wraps, y stops at the edge.
+    """Elevation at points by the four grid samples around: x wraps, y stops at the edges; a sample stands at its
+    cell's corner.
 
     grid: gx, gy, value (row 0 at the north); points: id, lat, lon. Two equi-joins, no grid is broadcast.
     """
-    fx, fy = (F.col("lon") + 180) / 360 * width - 0.5, (90 - F.col("lat")) / 180 * height - 0.5
+    fx = (F.col("lon") + 180) / 360 * width
+    fy = F.greatest(F.lit(0.0), F.least((90 - F.col("lat")) / 180 * height, F.lit(height - 1.0)))
     p = points.select("id", fx.alias("fx"), fy.alias("fy"))
     corners = [(i, j) for i in (0, 1) for j in (0, 1)]
     part = []

@@ -182,6 +182,11 @@ def http_embedder(url: str, model: str, key: str = "", timeout: float = 30, most
     return run
 
 
+def embed_text(embedder, text: str) -> list[float]:
+    """One text's vector, on the driver: a query's."""
+    return list(next(iter(embedder(iter([pd.DataFrame({"id": [0], "input": [text]})]))))["embedding"].iloc[0])
+
+
 def embed(inputs: DataFrame, embedder=None) -> DataFrame:
     """(id, embedding); any function of batches (id, input) serves, such as one that asks a model server."""
     return inputs.mapInPandas(embedder or hash_embedder(), "id long, embedding array<float>")

@@ -155,32 +155,27 @@ def terrarium(t: Tables) -> DataFrame:
     return c.select("id", r.alias("red"), g.alias("green"), b.alias("blue"))
 
 
-_GRID = "select p_partkey%72 as gx, p_partkey//72 as gy, cast(p_size*37%500 as double) as value from part where p_partkey < 72*2"
+_GRID = "select (p_partkey-1)%40 as gx, (p_partkey-1)//40 as gy, cast(p_size*37%500 as double) as value from part"
 
 
-@query(f"""with grid as ({_GRID}), p as (select c_custkey as id, (cast((c_custkey*104729)%36001 as double)/100.0)/360*72-0.5 as fx, (180-cast((c_custkey*7919)%18001 as double)/100.0)/180*2-0.5 as fy from customer),
+@query(f"""with grid as ({_GRID}), h as (select max(gy)+1 as h from grid), p as (select c_custkey as id, (cast((c_custkey*104729)%36001 as double)/100.0)/360*40 as fx, greatest(0.0, least((180-cast((c_custkey*7919)%18001 as double)/100.0)/180*h, h-1.0)) as fy from customer, h),
 s as (select id, floor(fx) as x0, floor(fy) as y0, fx-floor(fx) as wx, fy-floor(fy) as wy from p),
-c as (select id, (cast(x0 as bigint)+i+72)%72 as gx, greatest(0, least(1, cast(y0 as bigint)+j)) as gy, (case when i=1 then wx else 1-wx end)*(case when j=1 then wy else 1-wy end) as w from s, (values (0,0),(0,1),(1,0),(1,1)) k(i,j))
+c as (select id, (cast(x0 as bigint)+i+40)%40 as gx, greatest(0, least((select h-1 from h), cast(y0 as bigint)+j)) as gy, (case when i=1 then wx else 1-wx end)*(case when j=1 then wy else 1-wy end) as w from s, (values (0,0),(0,1),(1,0),(1,1)) k(i,j))
 select id, round(sum(w*value),6) as elevation from c join grid using (gx, gy) group by id""")
 def bilinear(t: Tables) -> DataFrame:
-    grid = t.part.where("p_partkey < 144").select((F.col("p_partkey") % 72).alias("gx"), F.floor(F.col("p_partkey") / 72).alias("gy"), ((F.col("p_size") * 37) % 500).cast("double").alias("value"))
+    k = F.col("p_partkey") - 1
+    grid = t.part.select((k % 40).alias("gx"), F.floor(k / 40).alias("gy"), ((F.col("p_size") * 37) % 500).cast("double").alias("value"))
+    height = grid.agg(F.max("gy")).first()[0] + 1  # one number
     points = t.customer.select(F.col("c_custkey").alias("id"), (((F.col("c_custkey") * 7919) % 18001).cast("double") / 100.0 - 90.0).alias("lat"), (((F.col("c_custkey") * 104729) % 36001).cast("double") / 100.0 - 180.0).alias("lon"))
-    return maps.bilinear(grid, points, 72, 2).select("id", r6("elevation").alias("elevation"))
+    return maps.bilinear(grid, points, 40, height).select("id", r6("elevation").alias("elevation"))
 
 
-@query("""with c as (select c_custkey as centre_id, cast((c_custkey*7919)%12001 as double)/100.0-60.0 as lat, cast((c_custkey*104729)%30001 as double)/100.0-150.0 as lon from customer where c_custkey < 50),
+@query("""with c as (select c_custkey as centre_id, cast((c_custkey*7919)%12001 as double)/100.0-60.0 as lat, cast((c_custkey*104729)%30001 as double)/100.0-150.0 as lon from customer),
 b as (select *, degrees(200/6371.0) as dd, degrees(asin(sin(200/6371.0)/cos(radians(lat)))) as s from c),
 e as (select centre_id, cast(floor((lon-s+180)/360*64) as bigint) x0, cast(floor((lon+s+180)/360*64) as bigint) x1,
  cast(floor((1-ln(tan(radians(lat+dd))+1/cos(radians(lat+dd)))/pi())/2*64) as bigint) y0, cast(floor((1-ln(tan(radians(lat-dd))+1/cos(radians(lat-dd)))/pi())/2*64) as bigint) y1 from b)
 select centre_id, 6 as zoom, x, y from e, range(0,64) r(x), range(0,64) q(y) where x between x0 and x1 and y between y0 and y1""")
 def tile_cover(t: Tables) -> DataFrame:
-    c = t.customer.where("c_custkey < 50").select(F.col("c_custkey").alias("centre_id"), (((F.col("c_custkey") * 7919) % 12001).cast("double") / 100.0 - 60.0).alias("lat"), (((F.col("c_custkey") * 104729) % 30001).cast("double") / 100.0 - 150.0).alias("lon"))
-    return maps.tile_cover(c, 200.0, 6)
-
-
-@query()
-def tile_cover_all(t: Tables) -> DataFrame:
-    """The cover around every customer; without SQL, which would test every tile for every centre."""
     c = t.customer.select(F.col("c_custkey").alias("centre_id"), (((F.col("c_custkey") * 7919) % 12001).cast("double") / 100.0 - 60.0).alias("lat"), (((F.col("c_custkey") * 104729) % 30001).cast("double") / 100.0 - 150.0).alias("lon"))
     return maps.tile_cover(c, 200.0, 6)
 
@@ -256,15 +251,8 @@ def events_space_time(t: Tables) -> DataFrame:
 
 
 @query(f"""select c.id as centre_id, p.id as place_id, round({km_sql('c.latitude', 'c.longitude', 'p.latitude', 'p.longitude')},6) as distance_km
-from entity_places c, entity_places p where c.id <= 200 and {km_sql('c.latitude', 'c.longitude', 'p.latitude', 'p.longitude')} <= 500""", "entity_places")
+from entity_places c, entity_places p where {km_sql('c.latitude', 'c.longitude', 'p.latitude', 'p.longitude')} <= 500""", "entity_places")
 def radius_join(t: Tables) -> DataFrame:
-    p = t.entity_places
-    return ev.radius_join(p.where("id <= 200").select(F.col("id").alias("centre_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), p, 500.0).select("centre_id", "place_id", r6("distance_km").alias("distance_km"))
-
-
-@query()
-def radius_join_all(t: Tables) -> DataFrame:
-    """The join around every place; without SQL, which would be the cross join of the table with itself."""
     p = t.entity_places
     return ev.radius_join(p.select(F.col("id").alias("centre_id"), F.col("latitude").alias("lat"), F.col("longitude").alias("lon")), p, 500.0).select("centre_id", "place_id", r6("distance_km").alias("distance_km"))
 

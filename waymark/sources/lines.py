@@ -78,3 +78,22 @@ def table_or_empty(spark: SparkSession, name: str, schema: str) -> DataFrame:
 
 def slice_blob(rows: DataFrame, column: str, offset: int, length: int) -> DataFrame:
     return rows.withColumn(column, F.substring(column, offset + 1, length))
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def folder_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A finished Parquet folder, or an empty table where there is none."""
+    p, store = _path(spark, f"{path}/_SUCCESS")
+    return spark.read.schema(schema).parquet(path) if store.exists(p) else spark.createDataFrame([], schema)
+
+
+def moved(spark: SparkSession, path: str, to: str) -> None:
+    """Put a finished folder in the place of another."""
+    (new, store), (old, _) = _path(spark, path), _path(spark, to)
+    store.delete(old, True)
+    if not store.rename(new, old):
+        raise OSError(f"cannot rename {path}")

@@ -119,3 +119,14 @@ PART = 64 << 20
 def metadata(raw: bytes) -> str:
     h = header(raw)
     return unpacked(raw[h["metadata_offset"] : h["metadata_offset"] + h["metadata_length"]], h["internal_compression"]).decode()
+
+
+def metadata_of(spark: SparkSession, path: str) -> DataFrame:
+    """json: each archive's metadata."""
+
+    def run(batches):
+        for pdf in batches:
+            heads = [(p, header(ranges.read(p, 0, HEADER_BYTES))) for p in pdf["path"]]
+            yield pd.DataFrame({"json": [unpacked(ranges.read(p, h["metadata_offset"], h["metadata_length"]), h["internal_compression"]).decode() for p, h in heads]})
+
+    return ranges.table(spark, path).select("path").mapInPandas(run, "json string")
