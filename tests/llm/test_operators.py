@@ -698,6 +698,20 @@ def test_queries_are_registered():
     from waymark.llm import registry
 
     names = list(registry.queries())
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
     json.dumps(registry.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["base_licenses", "base_url_rules", "base_secrets", "base_word_counts", "op5_near_duplicates"])
+def test_sql(spark, name):
+    import duckdb
+
+    from waymark.llm import registry
+
+    duck = duckdb.connect()
+    for table in ("documents", "pages"):
+        duck.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
+    df, want = registry.queries()[name](spark, SF), duck.sql(registry.oracle_sql()[name])
+    assert sorted(df.columns) == sorted(want.columns)
+    assert Counter(map(tuple, df.select(want.columns).collect())) == Counter(want.fetchall())

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from waymark.llm import decontaminate, license_scan, logbilinear, minhash, multi_index, piece_codec, secret_scan, token_files, toxicity, url_filter
 from waymark.llm.common import table
+from waymark.llm.license_texts import PHRASES
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +53,28 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logbilinear.language_model(table(spark, sf_dir, "documents"))
 
 
+# The columns that the contracts fix and SQL can give, from the same operators
+
+
+def base_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_urls(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def base_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op10_language_model(spark, sf_dir)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 2).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith(("op", "base_")) and callable(f)}
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,7 +89,41 @@ arcs as (select u, v from links union all select v, u from links),
 reach(id, far) as (select doc_id, doc_id from sizes union select r.id, a.v from reach r join arcs a on a.u = r.far)
 select s.doc_id, s.n as n_shingles, r.component_id, s.doc_id = r.component_id as kept from sizes s join (select id, min(far) as component_id from reach group by id) r on r.id = s.doc_id"""
 
-SQL = {"op5_near_duplicates": NEAR_DUPLICATES}
+_WORDS = "regexp_extract_all({0}, '{1}')"
+_ALNUM, _SPACED = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x20\x09-\x0D]+"
+
+
+def _license_sql() -> str:
+    words = _WORDS.format(_LOWER.format("coalesce(text, '')"), _ALNUM)
+    places = [f"list_filter(range(1, len(w) - {len(p.split()) - 2}), lambda i: w[i:i+{len(p.split()) - 1}] = [{', '.join(repr(x) for x in p.split())}])" for p, _ in PHRASES]
+    order = sorted(range(len(PHRASES)), key=lambda k: PHRASES[k][1])
+    labels = ", ".join(f"case when len(p{k}) > 0 then '{PHRASES[k][1]}' end" for k in order)
+    return f"""with words as (select doc_id, {words} as w from documents), found as (select doc_id, len(w) as n, {', '.join(f'{x} as p{k}' for k, x in enumerate(places))} from words)
+select doc_id, n as n_words, {' + '.join(f'len(p{k})' for k in range(len(places)))} as n_base, least({', '.join(f'list_min(p{k})' for k in range(len(places)))}) - 1 as first_word,
+greatest({', '.join(f'list_max(p{k})' for k in range(len(places)))}) - 1 as last_word, concat_ws(',', {labels}) as base_labels from found"""
+
+
+#: every rule that fits, the longest first
+_RULES = ", ".join(f"('{h}', '{p}')" for h, p, _ in url_filter.RULES)
+_URL_SQL = f"""with parts as (select page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+from (select page_id, case when instr(coalesce(url, ''), '://') > 0 then substring(url, instr(url, '://') + 3) else '' end as rest from pages)),
+rules(h, p) as (values {_RULES}), fits as (select page_id, max_by(h || p, len(h || p) * 100 + len(h)) as rule from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by page_id)
+select page_id, host, path, rule from parts left join fits using (page_id)"""
+
+_ASSIGN = r'''(?i:(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)'''
+_SECRET_SQL = f"""select doc_id, cast(len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda x: len(x) >= 8)) as bigint) as n_assign,
+cast(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: len(x) >= 16)) as bigint) as n_access, cast(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: len(x) >= 32)) as bigint) as n_hex
+from (select doc_id, coalesce(text, '') as t from documents)"""
+
+#: crc32 of the id as text, by the usual table
+_COUNT_SQL = f"""with crc as (select list(v order by i) as v from (select i, list_reduce(list_prepend(i, range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as v from (select unnest(range(256)) as i))),
+folds as (select doc_id, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(cast(doc_id as varchar), ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c // 256, v[xor(c % 256, b) + 1])), 4294967295) % 10 as fold from documents, crc),
+words as (select doc_id, fold, list_append({_WORDS.format(_LOWER.format("coalesce(text, '')"), _SPACED)}, chr(10)) as w from documents join folds using (doc_id)),
+flat as (select doc_id, fold, unnest(w) as word from words), counts as (select word, count(*) as c from flat where fold <> 0 group by word), total as (select cast(sum(c) as bigint) as n, count(*) as v from counts)
+select doc_id, fold = 0 as held_out, count(*) as n_tokens, count(c) as n_known, any_value(n) as train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::double) / (n + 0.1::double * (total.v + 1)))), 2) as base_score
+from flat left join counts using (word), total group by doc_id, fold"""
+
+SQL = {"op5_near_duplicates": NEAR_DUPLICATES, "base_licenses": _license_sql(), "base_url_rules": _URL_SQL, "base_secrets": _SECRET_SQL, "base_word_counts": _COUNT_SQL}
 
 
 def oracle_sql() -> dict[str, str]:
