@@ -56,10 +56,7 @@ class Engine:
         self._sections = lexical.build(self.sections, "id", [F.col("title"), F.col("content")])
         self._labels = lexical.label_index(self.entities)
         if path:
-            for name, i in (("sections", self._sections), ("labels", self._labels)):
-                i.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/{name}/postings")
-                i.lengths.write.mode("overwrite").parquet(f"{path}/{name}/lengths")
-            self._sections, self._labels = (lexical.Index(self.spark.read.parquet(f"{path}/{n}/postings"), self.spark.read.parquet(f"{path}/{n}/lengths")) for n in ("sections", "labels"))
+            self._sections, self._labels = lexical.written(self._sections, f"{path}/sections"), lexical.written(self._labels, f"{path}/labels")
 
     def rebuild_ann(self, path: str | None = None, size: int = semantic.SIZE, per_cluster: int = semantic.PER_CLUSTER) -> None:
         """Centroids and inverted lists; with a path the lists are written by cluster, so a probe reads three."""

@@ -16,6 +16,7 @@ from waymark.functions import text as T
 from waymark.functions.tiles import filled
 from waymark.operators.events import Near, When, labelled
 from waymark.operators.merge import first_by
+from waymark.sources import lines
 
 
 @dataclass
@@ -43,6 +44,19 @@ def build(docs: DataFrame, doc: str, columns: list[Column]) -> Index:
     return Index(postings, words.select("doc", F.size("w").cast("long").alias("len")))
 
 
+def written(index: Index, path: str) -> Index:
+    """The index as stored tables, postings sorted by term so that a query's scan skips all others; a frequent term
+    fills several files."""
+    spark = index.postings.sparkSession
+    # written as they come first: drawing the ranges' bounds would otherwise make them twice
+    index.postings.write.mode("overwrite").parquet(f"{path}/unsorted")
+    raw = spark.read.parquet(f"{path}/unsorted")
+    raw.repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+    lines.removed(spark, f"{path}/unsorted")
+    index.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+
+
 @dataclass
 class Scan:
     """Texts to be searched without a stored index: doc, and each column in lower case."""

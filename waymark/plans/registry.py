@@ -18,6 +18,7 @@ from waymark.functions import time as tm
 from waymark.operators import articles, hybrid, ingest, lexical, maps, merge, semantic
 from waymark.operators import events as ev
 from waymark.plans.fixtures import Tables, jdn_sql, km_sql, with_sql
+from waymark.sources import lines
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -313,7 +314,7 @@ def fold_accents(t: Tables) -> DataFrame:
 
 @query(f"select count(*) as docs, round(avg(len(w)),6) as average, (select count(distinct term) from (select unnest(w) as term from ({_TOKS}))) as terms from ({_TOKS})", "sections")
 def bm25_stats(t: Tables) -> DataFrame:
-    i = _index(t)
+    i = _stored(t)
     return lexical.stats(i).crossJoin(i.postings.agg(F.count_distinct("term").alias("terms"))).select("docs", r6("average").alias("average"), "terms")  # two single rows
 
 
@@ -321,8 +322,22 @@ def _index(t: Tables) -> lexical.Index:
     return lexical.build(t.sections, "id", [F.col("title"), F.col("content")])
 
 
-def _scan(t: Tables) -> lexical.Scan:
-    return lexical.scan(t.sections, "id", [F.col("title"), F.col("content")])
+_STORED: dict[tuple[str, str], lexical.Index] = {}
+
+
+def _stored(t: Tables, name: str = "sections") -> lexical.Index:
+    """A written index, made once a session and folder: queries read their own terms' postings only."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _STORED:
+        made = _index(t) if name == "sections" else lexical.label_index(t.entities)
+        _STORED[key] = lexical.written(made, f"{lines.scratch(t.spark)}/{name}-{len(_STORED)}")
+    return _STORED[key]
+
+
+@query(f"select id as doc from sections where list_contains({_WORDS.format('content')}, 'the')", "sections")
+def lexical_unindexed(t: Tables) -> DataFrame:
+    """Texts without a stored index: one scan of counting expressions."""
+    return lexical.bm25(lexical.scan(t.sections, "id", [F.col("content")]), "the").select("doc")
 
 
 def _bm25_sql(words: list[str], toks: str = _TOKS) -> str:
@@ -349,7 +364,7 @@ def _lexical(df: DataFrame, *more: str) -> DataFrame:
 
 @query()
 def lexical_bm25(t: Tables) -> DataFrame:
-    return _lexical(lexical.search_sections(t.sections, t.entities, _scan(t), WORDS))
+    return _lexical(lexical.search_sections(t.sections, t.entities, _stored(t), WORDS))
 
 
 SQL["lexical_bm25"] = _full(_TOP.format(code="", codes="", joins="", bm="bm"), _bm25_sql(["the", "with"]), "entities", "sections")
@@ -357,7 +372,7 @@ SQL["lexical_bm25"] = _full(_TOP.format(code="", codes="", joins="", bm="bm"), _
 
 @query()
 def lexical_space(t: Tables) -> DataFrame:
-    return _lexical(lexical.search_sections(t.sections, t.entities, _scan(t), WORDS, places=t.entity_places, near=NEAR), "code")
+    return _lexical(lexical.search_sections(t.sections, t.entities, _stored(t), WORDS, places=t.entity_places, near=NEAR), "code")
 
 
 SQL["lexical_space"] = _full(_TOP.format(code=", h.code", codes=", n.code", joins=" join near n on n.entity_id=s.entity_id", bm="bm"), _bm25_sql(["the", "with"]) + f", near as (select entity_id, first(prop_code order by {_KM}, id) as code from entity_places where {_KM} <= {RADIUS} group by entity_id)", "entities", "sections", "entity_places")
@@ -365,7 +380,7 @@ SQL["lexical_space"] = _full(_TOP.format(code=", h.code", codes=", n.code", join
 
 @query()
 def lexical_time(t: Tables) -> DataFrame:
-    return _lexical(lexical.search_sections(t.sections, t.entities, _scan(t), WORDS, times=t.entity_times, when=ev.When(1998)), "code")
+    return _lexical(lexical.search_sections(t.sections, t.entities, _stored(t), WORDS, times=t.entity_times, when=ev.When(1998)), "code")
 
 
 SQL["lexical_time"] = _full(_TOP.format(code=", h.code", codes=", n.code", joins=" join timed_hits n on n.entity_id=s.entity_id", bm="bm"), _bm25_sql(["the", "with"]) + f", timed_hits as (select entity_id, first(prop_code order by julian_day, prop_code) as code from entity_times where julian_day between {_A} and {_B} group by entity_id)", "entities", "sections", "entity_times")
@@ -373,7 +388,7 @@ SQL["lexical_time"] = _full(_TOP.format(code=", h.code", codes=", n.code", joins
 
 @query()
 def lexical_overfetch(t: Tables) -> DataFrame:
-    return _lexical(lexical.search_sections(t.sections, t.entities, _index(t), WORDS, overfetch=True))
+    return _lexical(lexical.search_sections(t.sections, t.entities, _stored(t), WORDS, overfetch=True))
 
 
 SQL["lexical_overfetch"] = _full(_TOP.format(code="", codes="", joins="", bm="(select * from bm order by score desc, doc limit 60)"), _bm25_sql(["the", "with"]), "entities", "sections")
@@ -384,7 +399,7 @@ _LTOKS = f"select id as doc, {_WORDS.format(f"translate(title, '{_ACC}', '{_PLN}
 @query()
 def label_bm25(t: Tables) -> DataFrame:
     e = t.entities
-    return lexical.search_labels(e, lexical.label_index(e), "Customer#000000007").select("entity_id", "title", "article_id", r6("score").alias("score"), r6("power").alias("power"), "description")
+    return lexical.search_labels(e, _stored(t, "labels"), "Customer#000000007").select("entity_id", "title", "article_id", r6("score").alias("score"), r6("power").alias("power"), "description")
 
 
 _LP = f"""toks as ({_LTOKS}), lens as (select doc, len(w) as len from toks), st as (select count(*) as docs, avg(len) as average from lens),
@@ -400,7 +415,7 @@ def snippet_trunc(t: Tables) -> DataFrame:
 
 @query()
 def snippet_mark(t: Tables) -> DataFrame:
-    return lexical.search_sections(t.sections, t.entities, _scan(t), WORDS).select("entity_id", "doc", "snippet")
+    return lexical.search_sections(t.sections, t.entities, _stored(t), WORDS).select("entity_id", "doc", "snippet")
 
 
 @query("select entity_id, id, pow from (select *, row_number() over (partition by entity_id order by pow desc, id) rn from sections) where rn=1", "sections")
@@ -520,8 +535,8 @@ def embed_hash(t: Tables) -> DataFrame:
 
 def _lists(t: Tables) -> list[DataFrame]:
     e = t.entities
-    lab = lexical.search_labels(e, lexical.label_index(e), "Customer#000000007")
-    lex = lexical.search_sections(t.sections, e, _scan(t), WORDS)
+    lab = lexical.search_labels(e, _stored(t, "labels"), "Customer#000000007")
+    lex = lexical.search_sections(t.sections, e, _stored(t), WORDS)
     sem = semantic.search_sections(semantic.exact(t.vectors, _query_vector(t)), t.sections, e)
     return [hybrid.ranked(lab, 0, "score"), hybrid.ranked(lex, 1, "score"), hybrid.ranked(sem, 2, "cosine")]
 

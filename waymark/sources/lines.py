@@ -5,7 +5,9 @@ from __future__ import annotations
 import bz2
 import gzip
 import tarfile
+import tempfile
 import urllib.request
+import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -85,12 +87,35 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_scratch: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for stored indexes that goes when the driver ends: in spark.checkpoint.dir, which all executors share,
+    or a local one in local mode."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        _scratch[app] = f"{(base or 'file://' + tempfile.gettempdir()).rstrip('/')}/waymark-{app}-{uuid.uuid4().hex[:8]}"
+        p, store = _path(spark, _scratch[app])
+        store.mkdirs(p)
+        store.deleteOnExit(p)
+    return _scratch[app]
+
+
 def folder_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A finished Parquet folder, or an empty table where there is none."""
     p, store = _path(spark, f"{path}/_SUCCESS")
     return spark.read.schema(schema).parquet(path) if store.exists(p) else spark.createDataFrame([], schema)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    p, store = _path(spark, path)
+    store.delete(p, True)
+
+
 def moved(spark: SparkSession, path: str, to: str) -> None:
     """Put a finished folder in the place of another."""
     (new, store), (old, _) = _path(spark, path), _path(spark, to)
