@@ -36,6 +36,17 @@ def query(sql: str | None = None, *names: str):
     return put
 
 
+def dealt(t: Tables, values: tuple[str, ...], name: str) -> DataFrame:
+    """k and one of the values, for every customer."""
+    return t.customer.select(F.col("c_custkey").alias("k"), F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % len(values) + 1).cast("int")).alias(name))
+
+
+def dealt_sql(values: tuple[str, ...], name: str) -> str:
+    """The same rows in SQL."""
+    quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+    return f"(select c_custkey as k, ([{quoted}])[c_custkey % {len(values)} + 1] as {name} from customer)"
+
+
 r6 = lambda c: F.round(c, 6)
 long = lambda c: F.col(c).cast("long").alias(c)
 
@@ -64,9 +75,9 @@ def format_partial_date(t: Tables) -> DataFrame:
 _TOKENS = ("lt", " LTE ", "<", "<=", "-1", "gt", "GTE", ">", ">=", "+1", "1", "", "eq", "0")
 
 
-@query("select token, case when lower(trim(token)) in ('lt','lte','<','<=','-1') then -1 when lower(trim(token)) in ('gt','gte','>','>=','+1','1') then 1 else 0 end as direction from (values " + ",".join(f"('{x}')" for x in _TOKENS) + ") v(token)")
+@query("select k, token, case when lower(trim(token)) in ('lt','lte','<','<=','-1') then -1 when lower(trim(token)) in ('gt','gte','>','>=','+1','1') then 1 else 0 end as direction from " + dealt_sql(_TOKENS, "token"))
 def parse_range(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(x,) for x in _TOKENS], "token string").select("token", tm.parse_range(F.col("token")).alias("direction"))
+    return dealt(t, _TOKENS, "token").select("k", "token", tm.parse_range(F.col("token")).alias("direction"))
 
 
 @query("""select month, day, case when month between 1 and 12 then month else 0 end as m, case when day between 1 and 31 then day else 0 end as d
@@ -80,10 +91,10 @@ def clamp_month_day(t: Tables) -> DataFrame:
 _STAMPS = ("+1879-03-14T00:00:00Z", "-0044-03-15T00:00:00Z", "+2001-00-00T00:00:00Z", "-13798000000-00-00T00:00:00Z", "-99999-01-02T00:00:00Z", "bad", "")
 
 
-@query("select stamp, coalesce(try_cast(regexp_extract(stamp, '^([+-]?\\d+)-(\\d{2})-(\\d{2})', 1) as int), 0) as year, coalesce(try_cast(regexp_extract(stamp, '^([+-]?\\d+)-(\\d{2})-(\\d{2})', 2) as int), 0) as month, coalesce(try_cast(regexp_extract(stamp, '^([+-]?\\d+)-(\\d{2})-(\\d{2})', 3) as int), 0) as day from (values " + ",".join(f"('{x}')" for x in _STAMPS) + ") v(stamp)")
+@query("select k, stamp, coalesce(try_cast(regexp_extract(stamp, '^([+-]?\\d+)-(\\d{2})-(\\d{2})', 1) as int), 0) as year, coalesce(try_cast(regexp_extract(stamp, '^([+-]?\\d+)-(\\d{2})-(\\d{2})', 2) as int), 0) as month, coalesce(try_cast(regexp_extract(stamp, '^([+-]?\\d+)-(\\d{2})-(\\d{2})', 3) as int), 0) as day from " + dealt_sql(_STAMPS, "stamp"))
 def entity_time_text(t: Tables) -> DataFrame:
     y, m, d = tm.parse_time(F.col("stamp"))
-    return t.spark.createDataFrame([(x,) for x in _STAMPS], "stamp string").select("stamp", y.alias("year"), m.alias("month"), d.alias("day"))
+    return dealt(t, _STAMPS, "stamp").select("k", "stamp", y.alias("year"), m.alias("month"), d.alias("day"))
 
 
 # --- geography ---
@@ -186,9 +197,13 @@ def marker_clusters(t: Tables) -> DataFrame:
     return ev.marker_clusters(t.entity_places)
 
 
-@query()
+@query("""with c as (select c_custkey as id, radians(cast((c_custkey*7919)%18001 as double)/100.0-90.0) as la, radians(cast((c_custkey*104729)%36001 as double)/100.0-180.0) as lo, (50.0+(c_custkey%40)*10.0)/6371.0 as d from customer),
+p as (select *, k % 64 * 2 * pi() / 64 as b from c, range(0, 65) r(k)), q as (select *, asin(greatest(-1.0, least(1.0, sin(la)*cos(d)+cos(la)*sin(d)*cos(b)))) as lat from p)
+select id, cast(k as int) as k, round(degrees(lo + atan2(sin(b)*sin(d)*cos(la), cos(d)-sin(la)*sin(lat))), 4) as lon, round(degrees(lat), 4) as lat from q""")
 def circle_polygon(t: Tables) -> DataFrame:
-    return t.region.select("r_regionkey", F.explode(geo.circle(LAT, LON, 100.0)).alias("p")).select("r_regionkey", "p.lon", "p.lat")
+    k = F.col("c_custkey")
+    c = geo.circle(((k * 7919) % 18001).cast("double") / 100.0 - 90.0, ((k * 104729) % 36001).cast("double") / 100.0 - 180.0, 50.0 + (k % 40) * 10.0)
+    return t.customer.select(k.alias("id"), F.posexplode(c).alias("k", "p")).select("id", "k", F.round("p.lon", 4).alias("lon"), F.round("p.lat", 4).alias("lat"))
 
 
 # --- events ---
@@ -797,9 +812,9 @@ def composite_id(t: Tables) -> DataFrame:
 _HEIGHTS = ("12", "12 m", "3.5M", " 7m ", "x", "", "1e2")
 
 
-@query("select raw, try_cast(regexp_replace(trim(raw), '\\s*[mM]$', '') as double) as metres from (values " + ",".join(f"('{h}')" for h in _HEIGHTS) + ") v(raw)")
+@query("select k, raw, try_cast(regexp_replace(trim(raw), '\\s*[mM]$', '') as double) as metres from " + dealt_sql(_HEIGHTS, "raw"))
 def parse_height(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(h,) for h in _HEIGHTS], "raw string").select("raw", X.metres(F.col("raw")).alias("metres"))
+    return dealt(t, _HEIGHTS, "raw").select("k", "raw", X.metres(F.col("raw")).alias("metres"))
 
 
 @query("select entity_id as id, round(avg(latitude),6) as lat, round(avg(longitude),6) as lon, min(latitude) as min_lat, max(latitude) as max_lat, min(longitude) as min_lon, max(longitude) as max_lon from entity_places group by entity_id", "entity_places")
@@ -828,9 +843,9 @@ def tensor_dims(t: Tables) -> DataFrame:
 _TENSORS = ("token_embd.weight", "blk.0.attn_q.weight", "blk.27.ffn_up.weight", "output_norm.weight", "output.weight", "rope")
 
 
-@query("select name, case when name like 'token_embd%' then -1 when name like 'blk.%' then cast(split_part(name,'.',2) as int) when name like 'output_norm%' then 99 else 999 end as layer from (values " + ",".join(f"('{n}')" for n in _TENSORS) + ") v(name)")
+@query("select k, name, case when name like 'token_embd%' then -1 when name like 'blk.%' then cast(split_part(name,'.',2) as int) when name like 'output_norm%' then 99 else 999 end as layer from " + dealt_sql(_TENSORS, "name"))
 def tensor_layer(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(n,) for n in _TENSORS], "name string").select("name", X.tensor_layer(F.col("name")).alias("layer"))
+    return dealt(t, _TENSORS, "name").select("k", "name", X.tensor_layer(F.col("name")).alias("layer"))
 
 
 @query("select id, substring(content, 5, 12) as piece from sections", "sections")
@@ -850,7 +865,7 @@ def article_markdown(t: Tables) -> DataFrame:
     return articles.markdown(articles.assembled(t.sections, t.entities)).select("entity_id", F.md5(F.col("markdown").cast("binary")).alias("markdown"))
 
 
-@query()
+@query("""select '{' || concat_ws(',', '"id":' || id, '"article_id":' || article_id, '"title":"' || nullif(title, '') || '"', '"description":"' || nullif(description, '') || '"') || '}' as json from entities""", "entities")
 def json_output(t: Tables) -> DataFrame:
     return articles.as_json(t.entities)
 
@@ -878,11 +893,17 @@ def _sample_tiles(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(blobs, "zoom int, col int, row int, tile_data binary")
 
 
-@query()
+_TILE_POINT = "round(({x}) / 16384.0 * 360 - 180, 6) as lon, round(degrees(atan(sinh(pi() * (1 - 2 * ({y}) / 16384.0)))), 6) as lat"
+
+
+@query(f"""with t as (select x, y from range(8752, 8766) a(x), range(6085, 6099) b(y))
+select '7:places:park' as id, cast(7 as bigint) as raw_id, 'places' as layer, 12.0::double as height, null::double as elevation, cast(5 as int) as vertices, {_TILE_POINT.format(x='x', y='y')} from t
+union all select (x + 1) || ':places:cafe', x + 1, 'places', null, 3.5::double, 1, {_TILE_POINT.format(x='x + 0.5', y='y + 0.5')} from t""")
 def map_features(t: Tables) -> DataFrame:
     from waymark.sources.vector_tiles import features
 
-    return maps.named(features(_sample_tiles(t))).drop("props")
+    f = maps.named(features(_sample_tiles(t))).withColumn("p", F.flatten("geometry"))
+    return f.select("id", "raw_id", "layer", "height", "elevation", F.size("p").alias("vertices"), r6(F.col("p")[0]["lon"]).alias("lon"), r6(F.col("p")[0]["lat"]).alias("lat"))
 
 
 @query()
@@ -895,14 +916,15 @@ def map_feature(t: Tables) -> DataFrame:
     return maps.feature_by_id(_sample_tiles(t), LAT, LON, "7:places:park", 3000, 14).drop("props")
 
 
-@query()
+@query("select 'p' || p_partkey as name, cast(k as int) as k, cast(p_size / 4.0 * (k - 16) as double) as value from part, range(0, 32) r(k)")
 def dequant_q8(t: Tables) -> DataFrame:
     import struct
 
     from waymark.sources.model_file import Q8_0, dequantized
 
-    rows = [(f"t{i}", Q8_0, struct.pack("<e32b", i / 4, *range(-16, 16))) for i in range(8)]
-    return dequantized(t.spark.createDataFrame(rows, "name string, dtype int, data binary"))
+    block = F.pandas_udf(lambda s: s.map(lambda v: struct.pack("<e32b", v / 4, *range(-16, 16))), "binary")
+    rows = t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.lit(Q8_0).alias("dtype"), block("p_size").alias("data"))
+    return dequantized(rows).select("name", F.posexplode("values").alias("k", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query()

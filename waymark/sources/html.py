@@ -52,7 +52,7 @@ class _Reader(HTMLParser):
         if tag in SKIPPED:
             self.skip = max(0, self.skip - 1)
         elif tag == self.heading:
-            self.title, self.level = "".join(self.text).strip(), HEADINGS[tag]
+            self.title, self.level = "".join(self.text), HEADINGS[tag]  # as it stands
             self.heading, self.text = "", []
         elif tag in self.open:
             while self.open.pop() != tag:
