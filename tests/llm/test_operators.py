@@ -139,6 +139,15 @@ def test_decontamination_against_all_pairs(spark):
     assert got <= want and len(want) > 80 and len(got) / len(want) >= 0.95
 
 
+def test_a_phrase_that_many_items_have(spark):
+    """500 items with one phrase, documents with it: the bound leaves out no leak."""
+    items = [["what", "is", "the", "value", "of", *(f"i{k}_{j}" for j in range(12))] for k in range(500)]
+    docs = [(k, " ".join([*(f"x{j}" for j in range(30)), *items[k]])) for k in range(0, 500, 50)] + [(1000, "tell me what is the value of nothing"), (1001, " ".join(items[3][:11] + ["x"] * 8 + items[3][11:]))]
+    b = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert got == {(k, k) for k in range(0, 500, 50)} | {(1001, 3)}
+
+
 def test_partly_copied_items_in_many_documents(spark):
     item, filler = [f"w{i}" for i in range(40)], [f"f{i}" for i in range(60)]
     for copies in (4, 5, 1000):
@@ -219,6 +228,29 @@ def test_toxicity(spark, odd, none):
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.where("text is null").count() >= 1
 
 
+def test_ftrl_against_a_plain_version():
+    rng = np.random.default_rng(3)
+    p = toxicity.Params(bits=8, l1=0.3, l2=0.1, epochs=3)
+    rows = [np.unique(rng.integers(0, 256, rng.integers(0, 12))) for _ in range(80)]
+    labels = rng.integers(0, 2, 80).astype(float)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= p.l1 else -(z[i] - np.sign(z[i]) * p.l1) / ((p.beta + n[i] ** 0.5) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for x, y in zip(rows, labels, strict=True):
+            at = [*x.tolist(), 256]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - y
+            for i in at:
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / p.alpha * w[i]
+                n[i] += g * g
+    at, got = toxicity.fit(rows, labels, p)
+    want = {i: weight(i) for i in z if abs(z[i]) > p.l1}
+    assert at.tolist() == sorted(want) and np.allclose(got, [want[i] for i in at.tolist()]) and 0 < len(want) < 257
+
+
 # --- licences ---
 
 

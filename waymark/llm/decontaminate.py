@@ -6,7 +6,8 @@
 2. One pass finds the passages' n-grams in each text. Every n-gram is a seed, however many documents hold it,
    so no leak is lost because it is frequent or edited. A window around seeds is aligned only if it has enough
    of the passage's words for the score asked for (matches cannot be more than the words in common), which
-   phrases that every text has seldom reach.
+   phrases that every text has seldom reach. Where a text meets many passages, those that have too few words
+   anywhere in the text are left out first, all in one pass.
 3. The words of the windows are aligned with the passage (match 2, mismatch and gap -1). A text is contaminated
    by an item if the best alignment reaches `least` of the score that the whole passage has, which allows for
    about one word in three being edited, if n consecutive words are left anywhere.
@@ -80,6 +81,9 @@ class Seeds:
         self.all, self.where = g[order], w[order]
         self.grams, self.first = np.unique(self.all, return_index=True)
         self.last = np.append(self.first[1:], len(self.all))
+        # the passages' words one after another, for bounds on many passages at once
+        self.lengths = np.array([len(a) for _, a in self.passages], np.int64)
+        self.vocabulary, self.flat = np.unique(np.concatenate([a for _, a in self.passages]) if self.passages else np.zeros(0, np.uint64), return_inverse=True)
         bits = max(18, int(len(self.grams) * 64).bit_length())
         self.mask = np.uint64((1 << bits) - 1)
         self.flag = np.zeros(1 << bits, bool)
@@ -95,6 +99,19 @@ class Seeds:
         return at[hit], k[hit]
 
 
+    def possible(self, h: np.ndarray, least: float) -> np.ndarray:
+        """Whether each passage has enough words that stand anywhere in a document with the words h."""
+        there = np.zeros(len(self.vocabulary), bool)
+        each = np.unique(h)
+        k = np.searchsorted(self.vocabulary, each).clip(max=len(self.vocabulary) - 1)
+        there[k[self.vocabulary[k] == each]] = True
+        begin = np.cumsum(self.lengths) - self.lengths
+        return np.add.reduceat(there[self.flat].astype(np.int64), begin) >= least * self.lengths
+
+
+MANY = 64
+
+
 def matches(seeds: Seeds, h: np.ndarray, hits: list[tuple[int, int]], least: float) -> dict[int, tuple[float, int, int]]:
     """item -> (share, first word, last word + 1) in one document's words h; hits: (place, n-gram number)."""
     by: dict[int, list[int]] = {}
@@ -102,6 +119,9 @@ def matches(seeds: Seeds, h: np.ndarray, hits: list[tuple[int, int]], least: flo
         for p, i in seeds.where[seeds.first[k] : seeds.last[k]].tolist():
             by.setdefault(p, []).append(at - i)
     out: dict[int, tuple[float, int, int]] = {}
+    if len(by) > MANY:  # a phrase that many items have: one pass over the slice's words bounds all of them
+        can = seeds.possible(h, least)
+        by = {p: found for p, found in by.items() if can[p]}
     for p, found in by.items():
         item, a = seeds.passages[p]
         held, times = np.unique(a, return_counts=True)

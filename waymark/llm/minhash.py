@@ -197,7 +197,8 @@ PIVOTS = 6
 def settle_buckets(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
     """(id, component) by pivots; members: bucket, id, n, c. None if there are no links."""
     spark = members.sparkSession
-    old, labels, kept, tried, wave = [], None, None, None, 0
+    old, labels, kept, wave = [], None, None, 0
+    pairs: list[str] = []  # tables of the pairs tried so far, read as one so that plans don't grow
     while True:
         placed = members.withColumn("component", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         who = F.struct("id", "component", "n", "c")
@@ -218,9 +219,11 @@ def settle_buckets(members: DataFrame, reps: DataFrame, sets: DataFrame, percent
         old.append(path)
         fresh = now.select("id", "component", "n", "c", F.explode("pivots").alias("p")).where("component <> p.component").where(f"{100 + percent} * least(c, p.c) >= {percent} * (n + p.n) and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
         fresh = fresh.select(F.greatest("id", "p.id").alias("u"), F.least("id", "p.id").alias("v")).distinct()
-        fresh, path = materialize(fresh if tried is None else fresh.join(tried, ["u", "v"], "left_anti"), "tried")
+        if pairs:
+            fresh = fresh.join(spark.read.schema(fresh.schema).parquet(*pairs), ["u", "v"], "left_anti")
+        fresh, path = materialize(fresh, "tried")
         old.append(path)
-        tried = fresh if tried is None else tried.union(fresh)
+        pairs.append(path)
         links, path = materialize(confirm(fresh, reps, sets, percent), "links")
         old.append(path)
         members = now.where(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).select("bucket", "id", "n", "c")
