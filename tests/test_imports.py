@@ -97,7 +97,7 @@ def test_import_articles_and_store(spark, tmp_path):
     page = "<h1>T</h1><p>one</p><h2>S</h2><p>two</p>"
     rows = [{"identifier": 10 + i, "name": f"A{i}", "main_entity": {"identifier": f"Q{q}"}, "article_body": {"html": page}} for i, q in enumerate((7, 8, 7))]
     (tmp_path / "a.tar.gz").write_bytes(samples.archive([json.dumps(r) for r in rows]))
-    e = Engine(spark)
+    e = Engine.open(spark, str(tmp_path / "none"))
     e.import_articles(str(tmp_path / "a.tar.gz"))
     assert sorted((r.id, r.article_id, r.title) for r in e.entities.collect()) == [(7, 12, "A2"), (8, 11, "A1")]
     assert e.sections.count() == 4
