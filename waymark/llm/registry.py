@@ -38,7 +38,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False)
+    return piece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
