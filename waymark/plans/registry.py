@@ -906,14 +906,30 @@ def map_features(t: Tables) -> DataFrame:
     return f.select("id", "raw_id", "layer", "height", "elevation", F.size("p").alias("vertices"), r6(F.col("p")[0]["lon"]).alias("lon"), r6(F.col("p")[0]["lat"]).alias("lat"))
 
 
-@query()
+#: the sample's features around the centre as SQL: cover (x, y) and corner (id, raw_id, kind, x, y, j, lon, lat)
+_NEAR_TILES = f"""b as (select {LAT} as lat, {LON} as lon, degrees(3/6371.0) as dd, degrees(asin(sin(3/6371.0)/cos(radians({LAT})))) as s),
+cover as (select x, y from b, range(8752, 8766) a(x), range(6085, 6099) q(y) where x between floor((lon-s+180)/360*16384) and floor((lon+s+180)/360*16384)
+ and y between floor((1-ln(tan(radians(lat+dd))+1/cos(radians(lat+dd)))/pi())/2*16384) and floor((1-ln(tan(radians(lat-dd))+1/cos(radians(lat-dd)))/pi())/2*16384)),
+spot as (select '7:places:park' as id, 7 as raw_id, 'park' as kind, x, y, j, x + u/4096.0 as px, y + v/4096.0 as py from cover, (values (0,0,0), (1,400,0), (2,400,400), (3,0,400), (4,0,0)) c(j,u,v)
+ union all select (x+1) || ':places:cafe', x + 1, 'cafe', x, y, 0, x + 0.5, y + 0.5 from cover),
+corner as (select id, cast(raw_id as bigint) as raw_id, kind, x, y, j, px/16384*360-180 as lon, degrees(atan(sinh(pi()*(1-2*py/16384)))) as lat from spot)"""
+
+
+@query(f"""with {_NEAR_TILES}, hit as (select id, x, y from corner group by all having min({km_sql(LAT, LON, 'lat', 'lon')}) <= 3)
+select id, 'places' as layer, case when min(kind)='park' then 'Polygon' else 'Point' end as kind, case when min(kind)='park' then 12.0::double end as height, case when min(kind)='cafe' then 3.5::double end as elevation,
+ round(avg(lat),6) as lat, round(avg(lon),6) as lon, round(min(lat),6) as min_lat, round(max(lat),6) as max_lat, round(min(lon),6) as min_lon, round(max(lon),6) as max_lon
+from corner join hit using (id, x, y) group by id order by id limit 50""")
 def map_centroids(t: Tables) -> DataFrame:
-    return maps.centroids(_sample_tiles(t), LAT, LON, 3000, 14, 50).drop("props")
+    found = maps.centroids(_sample_tiles(t), LAT, LON, 3000, 14, 50)
+    return found.drop("props").withColumns({c: r6(c) for c in ("lat", "lon", "min_lat", "max_lat", "min_lon", "max_lon")})
 
 
-@query()
+@query(f"""with {_NEAR_TILES}
+select id, raw_id, 'places' as layer, 'Polygon' as kind, 12.0::double as height, cast(row_number() over (order by x, y, j) - 1 as int) as k, round(lon,6) as lon, round(lat,6) as lat from corner where id='7:places:park'""")
 def map_feature(t: Tables) -> DataFrame:
-    return maps.feature_by_id(_sample_tiles(t), LAT, LON, "7:places:park", 3000, 14).drop("props")
+    found = maps.feature_by_id(_sample_tiles(t), LAT, LON, "7:places:park", 3000, 14)
+    corners = found.select("id", "raw_id", "layer", "kind", "height", F.posexplode(F.flatten("geometry")).alias("k", "p"))
+    return corners.select("id", "raw_id", "layer", "kind", "height", "k", r6(F.col("p.lon")).alias("lon"), r6(F.col("p.lat")).alias("lat"))
 
 
 @query("select 'p' || p_partkey as name, cast(k as int) as k, cast(p_size / 4.0 * (k - 16) as double) as value from part, range(0, 32) r(k)")
@@ -927,7 +943,15 @@ def dequant_q8(t: Tables) -> DataFrame:
     return dequantized(rows).select("name", F.posexplode("values").alias("k", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-@query()
+#: a byte's number: printable bytes first
+_BYTE = "case when b between 33 and 126 then b-33 when b between 161 and 172 then b-67 when b>=174 then b-68 when b<=32 then b+188 when b<=160 then b+94 else 255 end"
+# none of the four merges' letters meet another merge's, so the pieces are the longest words among them
+_PIECES = """case when {0} is not null then array_to_string(list_append(flatten(list_transform(regexp_extract_all({0}, 'the|th|and|an|[\\s\\S]'),
+ lambda g: case g when 'th' then [256] when 'the' then [257] when 'an' then [258] when 'and' then [259]
+ else list_transform(list_transform(range(octet_length(encode(g))), lambda i: cast('0x' || substr(hex(encode(g)), 2*i+1, 2) as int)), lambda b: {1}) end)), 260), ' ') end"""
+
+
+@query(f"select id, {_PIECES.format('title', _BYTE)} as title_ids, {_PIECES.format('content', _BYTE)} as ids from sections", "sections")
 def bpe_encode(t: Tables) -> DataFrame:
     from waymark.sources.model_file import BytePairs, byte_letters
 
@@ -936,7 +960,7 @@ def bpe_encode(t: Tables) -> DataFrame:
     vocabulary = {w: i for i, w in enumerate([*letters, *(m.replace(" ", "") for m in merges), "<end>"])}
     codec = BytePairs(vocabulary, merges, ("<end>",), vocabulary["<end>"])
     encode = F.pandas_udf(lambda s: s.map(codec.encode, na_action="ignore"), "array<int>")
-    return t.sections.select("id", encode("title").alias("title_ids"), encode("content").alias("ids"))
+    return t.sections.select("id", *(F.array_join(encode(c).cast("array<string>"), " ").alias(n) for c, n in (("title", "title_ids"), ("content", "ids"))))
 
 
 @query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value),4) as total from events group by 1, 2")
