@@ -433,6 +433,17 @@ def snippet_mark(t: Tables) -> DataFrame:
     return lexical.search_sections(t.sections, t.entities, _stored(t), WORDS).select("entity_id", "doc", "snippet")
 
 
+#: the hits' snippets: the first run of 32 words, begun at a match, with most different query words
+_SNIPS = f"""pick as (select * from (select b.doc, b.score, s.entity_id, s.title as stitle, s.content, row_number() over (partition by s.entity_id order by score desc, doc) rn from bm b join sections s on s.id=b.doc) where rn=1 order by score desc, entity_id limit 10),
+piece as (select doc, unnest(ps) as p, generate_subscripts(ps, 1) as spot from (select doc, string_split_regex(trim(content), '\\s+') as ps from pick)),
+tok as (select distinct doc, spot, term from (select doc, spot, unnest({_WORDS.format('p')}) as term from piece) where term in ('the', 'with')),
+ends as (select doc, max(spot) as n from piece group by doc),
+run as (select a.doc, least(a.spot, greatest(1, n-31)) as s, count(distinct b.term) as k from (select distinct doc, spot from tok) a join ends using (doc) join tok b on b.doc=a.doc and b.spot between a.spot and a.spot+31 group by a.doc, a.spot, n),
+begun as (select doc, n, coalesce(first(s order by k desc, s), 1) as s from ends left join run using (doc) group by doc, n),
+snips as (select doc, case when s>1 then '...' else '' end || string_agg(case when (doc, spot) in (select (doc, spot) from tok) then '<mark>' || p || '</mark>' else p end, ' ' order by spot) || case when s+32<=n then '...' else '' end as snippet from piece join begun using (doc) where spot between s and s+31 group by doc, s, n)"""
+SQL["snippet_mark"] = _full("select entity_id, doc, snippet from pick join snips using (doc)", ", ".join([_bm25_sql(["the", "with"]), _SNIPS]), "entities", "sections")
+
+
 @query("select entity_id, id, pow from (select *, row_number() over (partition by entity_id order by pow desc, id) rn from sections) where rn=1", "sections")
 def dedupe_entity(t: Tables) -> DataFrame:
     return merge.first_by(t.sections, ["entity_id"], F.desc("pow"), "id").select("entity_id", "id", "pow")
@@ -575,6 +586,16 @@ def hybrid_merge_fields(t: Tables) -> DataFrame:
     return hybrid.fuse(_lists(t), 20).select("entity_id", "type", "title", "article_id", "snippet")
 
 
+_FIELDS = f"""spick as (select * from (select b.doc, s.entity_id, s.title as stitle, s.content, row_number() over (partition by s.entity_id order by score desc, doc) rn from ({_SEM}) b join sections s on s.id=b.doc) where rn=1),
+shown as (select f.list, f.entity_id, case f.list when 0 then 'T' when 1 then 'L' else 'S' end as kind, coalesce(e.title, p.stitle, q.stitle) as title, coalesce(e.article_id, 0) as article_id,
+ case f.list when 0 then coalesce(nullif(e.description,''), '<mark>' || e.title || '</mark>') when 1 then p.snippet else case when length(q.content)>160 then substring(q.content,1,160) || '...' else q.content end end as snippet
+ from fused f left join entities e on e.id=f.entity_id left join (pick join snips using (doc)) p on f.list=1 and p.entity_id=f.entity_id left join spick q on f.list=2 and q.entity_id=f.entity_id),
+best20 as (select entity_id from fused group by entity_id order by sum(1.0/(60+rk)) desc, entity_id limit 20),
+wide as (select entity_id, case when count(*)>1 then 'H' else min(kind) end as type, first(title order by list) as title, max(article_id) as article_id, coalesce(max(snippet) filter (list=0),'') as s0, coalesce(max(snippet) filter (list=1),'') as s1, coalesce(max(snippet) filter (list=2),'') as s2 from shown join best20 using (entity_id) group by entity_id),
+two as (select *, case when contains(s1,'<mark>') or (not contains(s0,'<mark>') and strlen(s1)>strlen(s0)) then s1 else s0 end as s01 from wide)"""
+SQL["hybrid_merge_fields"] = _full("select entity_id, type, title, article_id, case when contains(s2,'<mark>') or (not contains(s01,'<mark>') and strlen(s2)>strlen(s01)) then s2 else s01 end as snippet from two", ", ".join([_LP2, _bm25_sql(["the", "with"]), _SNIPS, _FUSED, _FIELDS]), "entities", "sections", "vectors")
+
+
 # --- merges and ingestion ---
 
 #: what the generated dump's lines (view `dump`, k the customer's number) must give by the rules of the import
