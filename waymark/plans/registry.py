@@ -516,7 +516,22 @@ def ann_chunks(t: Tables) -> DataFrame:
 @query()
 def ann_centroids(t: Tables) -> DataFrame:
     c = semantic.fit(t.vectors, 64, 100)
-    return t.spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(c)], "id int, centroid array<double>")
+    return t.spark.createDataFrame([(i, k, round(float(x), 6)) for i, r in enumerate(c) for k, x in enumerate(r)], "id int, k int, value double")
+
+
+def _kmeans_sql(rounds: int) -> str:
+    """Spherical k-means from strided seeds, a round a pair of common table expressions."""
+    steps = [f"""unit as materialized (select id, list_transform(v, lambda x: x/sqrt(list_dot_product(v, v))) as v from (select id, {_D}[1:64] as v from vectors) where len(v)=64 and list_dot_product(v, v)>0),
+size as (select count(*) as n, greatest(1, count(*)//100) as k from unit),
+c0 as materialized (select i, v from (select v, row_number() over (order by id)-1 as r from unit) join (select n, k, unnest(range(k)) as i from size) on r = i*n//k)"""]
+    for r in range(1, rounds + 1):
+        steps.append(f"""a{r} as materialized (select u.id, arg_max(c.i, {{'d': list_dot_product(u.v, c.v), 'i': -c.i}}) as i from unit u, c{r-1} c group by u.id),
+s{r} as (select a.i, j, sum(u.v[j]) as s from a{r} a join unit u using (id), range(1, 65) q(j) group by a.i, j),
+c{r} as materialized (select o.i, coalesce(m.v, o.v) as v from c{r-1} o left join (select i, list(s/sqrt(z) order by j) as v from s{r} join (select i, sum(s*s) as z from s{r} group by i) using (i) group by i) m on m.i=o.i)""")
+    return ", ".join(steps)
+
+
+SQL["ann_centroids"] = _full(f"select cast(i as int) as id, cast(j-1 as int) as k, round(v[j], 6) as value from c{semantic.ROUNDS}, range(1, 65) q(j)", _kmeans_sql(semantic.ROUNDS), "vectors")
 
 
 @query(f"select cast(vec_id as int) as cluster from embeddings, {_QV} where vec_id < 5 order by list_dot_product({_D}, q) desc limit 3")
