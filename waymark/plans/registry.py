@@ -568,7 +568,17 @@ def embed_input(t: Tables) -> DataFrame:
 
 @query()
 def embed_hash(t: Tables) -> DataFrame:
-    return semantic.embed(semantic.embedding_input(t.sections, t.entities))
+    made = semantic.embed(semantic.embedding_input(t.sections, t.entities))
+    return made.select("id", F.posexplode("embedding").alias("k", "value")).withColumn("value", r6(F.col("value").cast("double")))
+
+
+# crc32 byte by byte, of each distinct word once
+SQL["embed_hash"] = _full("select o.id, cast(k as int) as k, round(cast(cast(coalesce(s, 0)/sqrt(greatest(1, z)) as float) as double), 6) as value from (select id, unnest(range(64)) as k from input) o left join sums using (id, k) left join (select id, sum(s*s) as z from sums group by id) using (id)", """
+input as materialized (select s.id, lower(coalesce(e.title, s.title, '') || chr(10) || chr(10) || coalesce(s.content, '')) as t from sections s left join entities e on e.id=s.entity_id),
+used as materialized (select id, w, count(*) as n from (select id, unnest(string_split_regex(t, '\\s+')) as w from input) where w <> '' group by id, w),
+crcs as (select list(v order by n) as tab from (select n, list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as v from range(256) r(n))),
+marks as materialized (select w, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(w))), lambda i: cast('0x' || substr(hex(encode(w)), 2*i+1, 2) as bigint))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as h from (select distinct w from used), crcs),
+sums as materialized (select id, h % 64 as k, sum(case when h >= 2147483648 then n else -n end) as s from used join marks using (w) group by id, h % 64)""", "entities", "sections")
 
 
 # --- hybrid ---
