@@ -347,6 +347,24 @@ def test_near_duplicates(spark, odd, none, block):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_large_blocks_take_no_more_jobs(spark, monkeypatch):
+    """Texts that share buckets without being links: a block over the limit is settled in a fixed number of steps."""
+    rng = np.random.default_rng(6)
+    base = [f"w{x}" for x in range(200)]
+    rows = []
+    for i in range(48):
+        w = list(base)
+        for at in 50 * np.arange(4) + rng.integers(5, 45, 4):
+            w[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(w)))
+    rows += [(i + 100, t + " more") for i, t in rows[::8]]
+    made, materialize = [], minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, tag: made.append(tag) or materialize(df, tag))
+    got = {r.doc_id: r.component_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80, 16).collect()}
+    assert [got[i] for i, _ in rows] == plain_classes(rows, 4, 80) and len(set(got.values())) > 20
+    assert len(made) == len(set(made))
+
+
 def test_keep_one_loses_no_text(spark, odd, none):
     """Repeated ids with different texts, null ids and repeated rows: one row of each group stays."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")

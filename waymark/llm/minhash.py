@@ -10,10 +10,8 @@
    alternating large-star and small-star, are blocks: texts in different blocks can't be linked. A block of at
    most BLOCK texts and SHINGLES shingles is settled in one task: a breadth-first search compares signatures,
    then confirms on full sets, and only meets texts that no component has yet.
-5. Larger blocks are settled bucket by bucket: a few pivots (the one that shares most first) are joined with
-   the other members, rows in proportion to the members, never all pairs. Candidates whose signatures agree
-   too little are left out, the rest are confirmed on full sets, and large-star and small-star give components.
-   Pivots have then met all others and leave the bucket; this goes on while a bucket has two components.
+5. The texts of a larger block are dealt into parts, and every two parts are settled together in one task, so that
+   all of its texts meet; large-star and small-star join what these tasks found. Rows grow with texts times parts.
 
 So no pair that shares a bucket goes unchecked unless it is already connected. A pair at the threshold shares
 no bucket with a probability of (1 - 0.8**4)**32 = 5e-8, one above it still less.
@@ -109,20 +107,6 @@ def sets_of(docs: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     return rows_of(docs).join(chosen, ["d", "t"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(run, "id long, shingles array<long>")
 
 
-def _agree(a: str, b: str):
-    """How many signature bytes are equal."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
-
-
-def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets have 100 * intersection >= percent * union."""
-    left, right = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}")) for x in "uv")
-    close = pairs.join(left, "u").join(right, "v").where(_agree("su", "sv") >= AGREE).select("u", "v", "nu", "nv")
-    a, b = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"h{x}")) for x in "uv")
-    both = close.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("hu", "hv")).cast("long"))
-    return both.where(f"100 * common >= {percent} * (nu + nv - common)").select("u", "v")
-
-
 def shared_counts(sets: DataFrame) -> DataFrame:
     """(id, n, c): the set's size, and how many of its shingles another set has too.
 
@@ -191,55 +175,18 @@ def settle_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "id long, component long")
 
 
-PIVOTS = 6
-
-
-def settle_buckets(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(id, component) by pivots; members: bucket, id, n, c. None if there are no links."""
-    spark = members.sparkSession
-    old, labels, kept, wave = [], None, None, 0
-    pairs: list[str] = []  # tables of the pairs tried so far, read as one so that plans don't grow
-    while True:
-        placed = members.withColumn("component", F.col("id")) if labels is None else members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        who = F.struct("id", "component", "n", "c")
-        # per bucket: its components' range, the smallest set, and pivots: who shares most, then members of
-        # components drawn by hash; all of them partial aggregates
-        drawn = [F.max_by(who, F.struct("c", (-F.col("id")).alias("i"))).alias("p0")]
-        if wave:
-            drawn += [F.min_by(who, F.struct(F.xxhash64("component", F.lit(s)).alias("a"), F.xxhash64("id", F.lit(s)).alias("b"), "id")).alias(f"p{s}") for s in range(1, PIVOTS)]
-        stars = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("n").alias("low"), *drawn).where("a <> b")
-        stars = stars.select("bucket", "low", F.array_distinct(F.array(*(f"p{s}" for s in range(len(drawn))))).alias("pivots"))
-        stars, path = materialize(stars, "stars")
-        old.append(path)
-        if stars.isEmpty():
-            break
-        # a member whose shared shingles can't do even with the smallest set leaves the bucket, as do its pivots
-        now = placed.join(stars, "bucket").where(f"{100 + percent} * c >= {percent} * (n + low)")
-        now, path = materialize(now, "open")
-        old.append(path)
-        fresh = now.select("id", "component", "n", "c", F.explode("pivots").alias("p")).where("component <> p.component").where(f"{100 + percent} * least(c, p.c) >= {percent} * (n + p.n) and 100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
-        fresh = fresh.select(F.greatest("id", "p.id").alias("u"), F.least("id", "p.id").alias("v")).distinct()
-        if pairs:
-            fresh = fresh.join(spark.read.schema(fresh.schema).parquet(*pairs), ["u", "v"], "left_anti")
-        fresh, path = materialize(fresh, "tried")
-        old.append(path)
-        pairs.append(path)
-        links, path = materialize(confirm(fresh, reps, sets, percent), "links")
-        old.append(path)
-        members = now.where(~F.exists("pivots", lambda p: p["id"] == F.col("id"))).select("bucket", "id", "n", "c")
-        if labels is None:
-            labels, path = materialize(components(links), "labels")
-        else:
-            # only the components that the new links touch are joined anew
-            at = [labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv"]
-            arcs = links.join(at[0], "u", "left").join(at[1], "v", "left").select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct()
-            moved = components(arcs).select(F.col("id").alias("component"), F.col("component").alias("to"))
-            grown = labels.union(moved.select("component", "component")).distinct()
-            labels, path = materialize(grown.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component")), "labels")
-        kept = path
-        old.append(path)
-        wave += 1
-    drop(spark, *(x for x in old if x != kept))
+def settle_parts(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of whole blocks too large for a task; rows as in settle_blocks, large: block, parts (2 or more).
+
+    A block's texts are dealt into parts by hash, and every two parts are settled together as a block of their
+    own, so any two texts meet in a task; the components of what these tasks found are the block's.
+    """
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = rows.join(F.broadcast(large), "block").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    twos = dealt.select("*", other).where("other <> part").withColumn("block", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")))
+    found, path = materialize(settle_blocks(twos.drop("parts", "part", "other"), percent).where("id <> component").distinct(), "found")
+    labels = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")))
+    drop(rows.sparkSession, path)
     return labels
 
 
@@ -265,15 +212,15 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     stars = spread_join(members, least, "bucket", how="inner").where("id <> v").select(F.col("id").alias("u"), "v")
     blocks_, blocks_path = materialize(components(stars).withColumnRenamed("component", "block"), "blocks")
     placed = counts.join(blocks_, "id")
-    large = placed.groupBy("block").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where((F.col("texts") > block) | (F.col("size") > SHINGLES)).select("block")
+    large = placed.groupBy("block").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where((F.col("texts") > block) | (F.col("size") > SHINGLES))
+    # two parts hold about as much as the largest block that one task settles
+    large = large.select("block", F.greatest(F.ceil(2 * F.col("texts") / block), F.ceil(2 * F.col("size") / SHINGLES)).cast("int").alias("parts"))
     large, large_path = materialize(large, "large")
     some = not large.isEmpty()
-    small = placed.join(large, "block", "left_anti") if some else placed
-    full = small.join(reps.select("id", "sig"), "id").join(sets, "id").select("block", "id", "n", "c", "sig", "shingles")
-    labels, labels_path = materialize(settle_blocks(full, percent), "labels")
+    full = placed.join(reps.select("id", "sig"), "id").join(sets, "id").select("block", "id", "n", "c", "sig", "shingles")
+    labels, labels_path = materialize(settle_blocks(full.join(F.broadcast(large), "block", "left_anti") if some else full, percent), "labels")
     if some:
-        far = settle_buckets(members.join(placed.join(large, "block", "left_semi").select("id"), "id", "left_semi"), reps, sets, percent)
-        labels = labels if far is None else labels.union(far)
+        labels = labels.union(settle_parts(full, large, percent))
     # back to all rows: a class or a component of several rows has its first row's id
     inside = labels.join(reps.select("id", "row"), "id")
     best = inside.groupBy("component").agg(F.min("row").alias("best"), F.count("*").alias("size"))
