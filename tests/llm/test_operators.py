@@ -439,6 +439,24 @@ def test_neighbours_by_part_of_the_entries(spark, monkeypatch):
         assert took[-1] <= most
 
 
+def test_long_walks_are_sorted_and_dealt_out(spark, monkeypatch):
+    """A walk through most of many cells takes no heap step for each, and query blocks go to tasks of their own."""
+    rng = np.random.default_rng(8)
+    a, b, counts = rng.random(196), rng.random(196), rng.integers(0, 20, 196 * 196)
+    pops, pop = [], multi_index.heapq.heappop
+    monkeypatch.setattr(multi_index.heapq, "heappop", lambda heap: pops.append(1) or pop(heap))
+    got = multi_index.walk(a, b, counts, int(counts.sum()) // 2).tolist()
+    order = [c for c in np.argsort((a[:, None] + b).ravel(), kind="stable").tolist() if counts[c]]
+    held = np.cumsum(counts[order])
+    assert len(pops) <= 2000 and got == order[: int((held < counts.sum() // 2).sum()) + 1]
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    want = sorted(map(tuple, multi_index.neighbours(df, 10).collect()))
+    monkeypatch.setattr(multi_index, "BLOCK", 5)
+    out = multi_index.neighbours(df, 10)
+    tasks = re.search(r"RepartitionByExpression \[k1#\d+L, k2#\d+L\], (\d+)", out._jdf.queryExecution().toString())
+    assert int(tasks[1]) == -(-50 // 5) and sorted(map(tuple, out.collect())) == want
+
+
 def test_multi_sequence_walk():
     rng = np.random.default_rng(3)
     a, b, counts = rng.random(7), rng.random(9), rng.integers(0, 4, 63)

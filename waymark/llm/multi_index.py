@@ -4,14 +4,14 @@
 2. Unit vectors are cut in two halves, each quantised by its own k-means codebook. The codebooks are fitted
    on a bounded sample: the SAMPLE entries that come first by hash. Every entry is indexed: its cell is the
    pair of its halves' centroids.
-3. A query goes through the centroid pairs by the sum of the halves' distances, with a heap (the
-   multi-sequence walk), until the cells it took hold a share of all entries. The share is measured, not set: TRIAL
+3. A query goes through the centroid pairs by the sum of the halves' distances (the multi-sequence walk, with a
+   heap; a walk that gets long sorts all sums instead), until the cells it took hold a share of all entries. The share is measured, not set: TRIAL
    entries drawn by hash ask for their exact neighbours among all entries, and the smallest share is taken at
    which the cells walked hold `recall` of them.
 4. Cells are stored in shards of about SHARD entries: neighbouring small cells share one, a larger cell has
    several. Query blocks meet the shards of their cells by an equi-join; by a matrix product a shard gives a
-   query the best of those entries whose cells the query took, and these are reranked by the exact cosine of
-   the original vectors. A query and a shard make k + 1 rows at most, however many cells they share.
+   query the best of those entries whose cells the query took (a bit for each cell of the shard), and these are
+   reranked by the exact cosine of the original vectors. A query and a shard make k + 1 rows at most, however many cells they share.
 
 On vectors without structure the share comes out large (0.7 or more on the test tables), and work then grows with
 queries times vectors; clustered vectors give a small one.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import drop, materialize
 
-SAMPLE, SAMPLE_BYTES, TRIAL, SHARD, BLOCK = 16_384, 64 << 20, 256, 8192, 512
+SAMPLE, SAMPLE_BYTES, TRIAL, SHARD, BLOCK, LONG = 16_384, 64 << 20, 256, 8192, 512, 1000
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -61,12 +61,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     return c
 
 
-def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, need: int) -> list[int]:
+def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, need: int) -> np.ndarray:
     """Cells i * len(b) + j that hold entries, in order of a[i] + b[j], until they hold `need` of them."""
     oa, ob = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
-    heap, seen, out, held = [(float(a[oa[0]] + b[ob[0]]), 0, 0)], {(0, 0)}, [], 0
-    while heap and held < need:
+    heap, seen, out, held, steps = [(float(a[oa[0]] + b[ob[0]]), 0, 0)], {(0, 0)}, [], 0, 0
+    while heap and held < need and steps < LONG:
         _, i, j = heapq.heappop(heap)
+        steps += 1
         cell = int(oa[i]) * len(b) + int(ob[j])
         if counts[cell]:
             out.append(cell)
@@ -75,7 +76,11 @@ def walk(a: np.ndarray, b: np.ndarray, counts: np.ndarray, need: int) -> list[in
             if i2 < len(a) and j2 < len(b) and (i2, j2) not in seen:
                 seen.add((i2, j2))
                 heapq.heappush(heap, (float(a[oa[i2]] + b[ob[j2]]), i2, j2))
-    return out
+    if not heap or held >= need:
+        return np.array(out, np.int64)
+    cells = np.argsort((a[:, None] + b).ravel(), kind="stable")
+    cells = cells[counts[cells] > 0]
+    return cells[: int(np.searchsorted(np.cumsum(counts[cells]), need)) + 1]
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -186,44 +191,56 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float =
 
     # shards: cells in their order, a cell over SHARD entries spread over several
     first, spread, shard, held = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), 0, 0
-    for c in np.flatnonzero(counts):
+    live = np.flatnonzero(counts)
+    for c in live:
+        spread[c] = -(-counts[c] // SHARD)
         if held and held + counts[c] > SHARD:
             shard, held = shard + 1, 0
-        first[c], spread[c] = shard, -(-counts[c] // SHARD)
+        first[c] = shard
         shard, held = (shard + spread[c], 0) if spread[c] > 1 else (shard, held + counts[c])
-    places = F.broadcast(spark.createDataFrame([(int(c), int(first[c]), int(spread[c])) for c in np.flatnonzero(counts)], "cell int, first long, spread long"))
+    place = np.zeros(len(counts), np.int64)  # of a cell among those with entries
+    place[live] = np.arange(len(live))
+    last = first[live] + spread[live] - 1
+    every_shard = np.arange(last[-1] + 1)
+    low, high = np.searchsorted(last, every_shard), np.searchsorted(first[live], every_shard, "right")  # the places in a shard
+    places = F.broadcast(spark.createDataFrame([(int(c), int(first[c]), int(spread[c])) for c in live], "cell int, first long, spread long"))
     salted = cells.join(places, "cell").withColumn("shard", F.col("first") + F.pmod("k2", "spread"))
     shards = salted.groupBy("shard").agg(F.collect_list(F.struct("v", "ids", "cell")).alias("entries"))
 
     # query blocks: one row for each shard that a query of the block goes to
     asked = rows.where(F.col("vec_id") % every == 0)
     asks = asked.groupBy("k1", "k2").agg(F.first("v").alias("v"))
-    ask = pa.struct([("k1", pa.int64()), ("k2", pa.int64()), ("v", pa.list_(pa.float64())), ("cells", pa.list_(pa.int32()))])
+    # about a block a task, whatever its bytes: the walks are the work
+    asks = asks.repartition(-(-asks.count() // BLOCK) or 1, "k1", "k2")
 
     def route(batches):
         for batch in batches:
             for s in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(s, BLOCK)
                 a, b = distances(matrix(part.column("v")), books)
-                by: dict[int, dict[int, list[int]]] = {}
+                taken = np.zeros((part.num_rows, len(live)), bool)
                 for q in range(part.num_rows):
-                    for c in walk(a[q], b[q], counts, need):
-                        for at in range(first[c], first[c] + spread[c]):
-                            by.setdefault(at, {}).setdefault(q, []).append(c)
-                q1, q2, v = (part.column(c).to_pylist() for c in ("k1", "k2", "v"))
-                for at, qs in by.items():
-                    yield pa.RecordBatch.from_pylist([{"shard": at, "asks": [{"k1": q1[q], "k2": q2[q], "v": v[q], "cells": cs} for q, cs in qs.items()]}], pa.schema([("shard", pa.int64()), ("asks", pa.list_(ask))]))
-
-    routed = asks.mapInArrow(route, "shard long, asks array<struct<k1: long, k2: long, v: array<double>, cells: array<int>>>")
+                    taken[q, place[walk(a[q], b[q], counts, need)]] = True
+                for at in every_shard.tolist():
+                    open_ = taken[:, low[at] : high[at]]
+                    qs = np.flatnonzero(open_.any(1))
+                    if not len(qs):
+                        continue
+                    bits = pa.array([x.tobytes() for x in np.packbits(open_[qs], axis=1)], pa.binary())
+                    rows_ = pa.StructArray.from_arrays([*(part.column(c).take(pa.array(qs)) for c in ("k1", "k2", "v")), bits], ["k1", "k2", "v", "cells"])
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(qs)], pa.int32()), rows_)], names=["shard", "asks"])
+
+    routed = asks.mapInArrow(route, "shard long, asks array<struct<k1: long, k2: long, v: array<double>, cells: binary>>")
 
     def best(batches):
         for batch in batches:
             out = []
-            for asks_, entries_ in zip(batch.column("asks"), batch.column("entries"), strict=True):
+            for at, asks_, entries_ in zip(batch.column("shard").to_pylist(), batch.column("asks"), batch.column("entries"), strict=True):
                 asks_, entries_ = asks_.values, entries_.values
                 q, e, ids = _matrix(asks_.field("v")), _matrix(entries_.field("v")), entries_.field("ids")
-                known, local = np.unique(entries_.field("cell").to_numpy(), return_inverse=True)
-                open_ = np.stack([np.isin(known, c) for c in asks_.field("cells").to_pylist()])
+                local = place[entries_.field("cell").to_numpy()] - low[at]
+                bits = np.frombuffer(b"".join(asks_.field("cells").to_pylist()), np.uint8).reshape(len(q), -1)
+                open_ = np.unpackbits(bits, axis=1, count=int(high[at] - low[at])).astype(bool)
                 s = (q / np.sqrt((q * q).sum(1, keepdims=True))) @ (e / np.sqrt((e * e).sum(1, keepdims=True))).T
                 s[~open_[:, local]] = -np.inf
                 m = min(k + 1, len(e))
@@ -235,7 +252,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float =
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["k1", "k2", "score", "vec_id"])
 
-    hits = routed.join(shards, "shard").select("asks", "entries").mapInArrow(best, "k1 long, k2 long, score double, vec_id long")
+    hits = routed.join(shards, "shard").select("shard", "asks", "entries").mapInArrow(best, "k1 long, k2 long, score double, vec_id long")
     order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
     top = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     top = top.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
