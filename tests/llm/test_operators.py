@@ -365,6 +365,30 @@ def test_large_blocks_take_no_more_jobs(spark, monkeypatch):
     assert len(made) == len(set(made))
 
 
+def test_chance_meetings_make_no_blocks(spark, monkeypatch):
+    """Texts of common passages share buckets with texts they don't resemble: these must not hang together in blocks."""
+    rng = np.random.default_rng(7)
+    passages = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(120)]
+    rows = [(i, " ".join([passages[0], *(passages[x] for x in rng.choice(np.arange(1, 120), 3, False))])) for i in range(400)]
+    for i in range(60):  # copies with some words changed
+        w = rows[i % 20][1].split(" ")
+        for at in rng.integers(0, len(w), rng.integers(1, 4)):
+            w[at] = f"n{i}x{at}"
+        rows.append((1000 + i, " ".join(w)))
+    sizes, materialize = [], minhash.materialize
+
+    def seen(df, tag):
+        out = materialize(df, tag)
+        if tag == "blocks":
+            sizes.extend(r["count"] for r in out[0].groupBy("block").count().collect())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", seen)
+    got = {r.doc_id: r.component_id for r in minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert [got[i] for i, _ in rows] == plain_classes(rows, 4, 80) and len(set(got.values())) < len(rows) - 40
+    assert max(sizes) < 100
+
+
 def test_keep_one_loses_no_text(spark, odd, none):
     """Repeated ids with different texts, null ids and repeated rows: one row of each group stays."""
     a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")

@@ -84,8 +84,9 @@ def prepare(docs: DataFrame, k: int) -> DataFrame:
                 if len(s):
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sig = signature(s)
-                    sigs.append((sig >> np.uint64(56)).astype(np.uint8).view(np.int8))
-                    keys.append(fmix((sig * _MIX).reshape(-1, BAND).sum(1, dtype=np.uint64)).view(np.int64))
+                    mixed = sig * _MIX  # minima are small numbers: the first bytes of large sets' are nearly all 0
+                    sigs.append((mixed >> np.uint64(56)).astype(np.uint8).view(np.int8))
+                    keys.append(fmix(mixed.reshape(-1, BAND).sum(1, dtype=np.uint64)).view(np.int64))
                 else:
                     digests.append(None)
                     sigs.append(None)
@@ -118,13 +119,68 @@ def shared_counts(sets: DataFrame) -> DataFrame:
     return sets.select("id", n.alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
 
 
-BLOCK, SHINGLES = 4096, 1 << 23
+BLOCK, SHINGLES, HUBS = 4096, 1 << 23, 16
 
 
-def settle(n: np.ndarray, c: np.ndarray, sig: np.ndarray, flat: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray:
-    """The smallest number connected to each of a block's texts; n, c: set sizes and shared counts."""
+def agreeing(n: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """A number for each of a bucket's texts, the same for all that texts of like size and signature connect."""
     out, free = np.arange(len(n)), np.ones(len(n), bool)
     for first in range(len(n)):
+        if not free[first]:
+            continue
+        free[first], queue = False, [first]
+        while queue:
+            x = queue.pop()
+            u = np.flatnonzero(free)
+            u = u[100 * np.minimum(n[u], n[x]) >= percent * np.maximum(n[u], n[x])]
+            new = u[(sig[u] == sig[x]).sum(1) >= AGREE]
+            free[new], out[new] = False, first
+            queue += new.tolist()
+    return out
+
+
+def agreeing_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """(u, v): links that connect the texts of each bucket which agree; rows: bucket, id, n, sig."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        bucket, ids, n = (t.column(x).to_numpy() for x in ("bucket", "id", "n"))
+        sig = t.column("sig").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, HASHES)
+        start = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
+        size = np.diff(np.append(start, len(bucket)))
+        root = np.repeat(start, size)
+        like = 100 * np.minimum(n, n[root]) >= percent * np.maximum(n, n[root])
+        for a in range(0, len(n), 4096):
+            like[a : a + 4096] &= (sig[a : a + 4096] == sig[root[a : a + 4096]]).sum(1) >= AGREE
+        out = np.where(like, root, np.arange(len(n)))
+        for i in np.flatnonzero((np.add.reduceat(like, start) < size) & (size > 2)):  # most buckets agree with their first text
+            a, b = start[i], start[i] + size[i]
+            out[a:b] = a + agreeing(n[a:b], sig[a:b], percent)
+        linked = out != np.arange(len(n))
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[out[linked]])], names=["u", "v"])
+
+    def run(batches):
+        held = None  # the last bucket so far: at most BLOCK rows
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([held, t]) if held else t
+            bucket = t.column("bucket").to_numpy()
+            cut = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
+            if cut:
+                yield solve(t.slice(0, cut))
+            held = t.slice(cut)
+        if held:
+            yield solve(held)
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(run, "u long, v long")
+
+
+def settle(n: np.ndarray, c: np.ndarray, sig: np.ndarray, flat: np.ndarray, off: np.ndarray, percent: int) -> np.ndarray:
+    """The number of one text connected to each of a block's texts; n, c: set sizes and shared counts.
+
+    It begins with texts whose shingles are mostly shared: of copies with edits, that is the one they are copies of.
+    """
+    out, free = np.arange(len(n)), np.ones(len(n), bool)
+    for first in np.lexsort((np.arange(len(n)), -n, -c / n)):
         if not free[first]:
             continue
         free[first], queue = False, [first]
@@ -175,16 +231,29 @@ def settle_blocks(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(run, "id long, component long")
 
 
+def two_parts(rows: DataFrame, large: DataFrame, key: str) -> DataFrame:
+    """rows of the keys in large (key, parts: 2 or more), dealt into parts by id: every two parts share a new key."""
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = rows.join(F.broadcast(large), key).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    twos = dealt.select("*", other).where("other <> part").withColumn(key, F.xxhash64(key, F.least("part", "other"), F.greatest("part", "other")))
+    return twos.select(rows.columns)
+
+
 def settle_parts(rows: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     """(id, component) of whole blocks too large for a task; rows as in settle_blocks, large: block, parts (2 or more).
 
     A block's texts are dealt into parts by hash, and every two parts are settled together as a block of their
-    own, so any two texts meet in a task; the components of what these tasks found are the block's.
+    own, so any two texts meet in a task; the components of what these tasks found are the block's. Up to HUBS texts
+    of the block that share most of their shingles are in all of its tasks.
     """
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = rows.join(F.broadcast(large), "block").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    twos = dealt.select("*", other).where("other <> part").withColumn("block", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")))
-    found, path = materialize(settle_blocks(twos.drop("parts", "part", "other"), percent).where("id <> component").distinct(), "found")
+    some = rows.join(F.broadcast(large), "block")
+    best = F.max_by("id", F.struct(F.col("c") / F.col("n"), "n", "id")).alias("id")
+    hubs = some.groupBy("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(HUBS))).agg(best).select("id")
+    low, high = (F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(x) for x in ("low", "high"))
+    tasks = some.join(F.broadcast(hubs), "id").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).select("*", low).select("*", high)
+    tasks = tasks.where("low < high and part <> low and part <> high").withColumn("block", F.xxhash64("block", "low", "high")).select(rows.columns)
+    twos = two_parts(rows, large, "block").union(tasks)
+    found, path = materialize(settle_blocks(twos, percent).where("id <> component").distinct(), "found")
     labels = components(found.select(F.col("id").alias("u"), F.col("component").alias("v")))
     drop(rows.sparkSession, path)
     return labels
@@ -202,15 +271,17 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     members = reps.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
     several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members, members_path = materialize(spread_join(members, several, "bucket", how="inner"), "buckets")
-    chosen = reps.select("row.d", "row.t", "id").join(members.select("id").distinct(), "id", "left_semi").select("d", "t", "id")
+    tall, tall_path = materialize(members.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(2 * F.col("count") / block).cast("int").alias("parts")), "tall")
+    rows = members.join(reps.select("id", "n", "sig"), "id").select("bucket", "id", "n", "sig")
+    if not tall.isEmpty():
+        rows = rows.join(F.broadcast(tall), "bucket", "left_anti").union(two_parts(rows, tall, "bucket"))
+    links, links_path = materialize(agreeing_pairs(rows, percent), "agreeing")
+    blocks_, blocks_path = materialize(components(links).withColumnRenamed("component", "block"), "blocks")
+    chosen = reps.select("row.d", "row.t", "id").join(blocks_.select("id"), "id", "left_semi").select("d", "t", "id")
     chosen, chosen_path = materialize(chosen, "chosen")
     sets, sets_path = materialize(sets_of(docs, chosen, k), "sets")
     counts, counts_path = materialize(shared_counts(sets).where(f"100 * c >= {percent} * n"), "shared")
-    members, shared_path = materialize(members.join(counts, "id"), "members")
 
-    least = members.groupBy("bucket").agg(F.min("id").alias("v"), F.count("*").alias("size")).where("size > 1")
-    stars = spread_join(members, least, "bucket", how="inner").where("id <> v").select(F.col("id").alias("u"), "v")
-    blocks_, blocks_path = materialize(components(stars).withColumnRenamed("component", "block"), "blocks")
     placed = counts.join(blocks_, "id")
     large = placed.groupBy("block").agg(F.count("*").alias("texts"), F.sum("n").alias("size")).where((F.col("texts") > block) | (F.col("size") > SHINGLES))
     # two parts hold about as much as the largest block that one task settles
@@ -230,7 +301,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     out = spread_join(seen.select("doc_id", "d", "t", "n", "digest"), whole, "digest")
     stays = F.col("best").isNull() | ((F.col("best.none") == F.col("doc_id").isNull()) & (F.col("best.d") == F.col("d")) & (F.col("best.t") == F.col("t")))
     out, _ = materialize(out.select("doc_id", "d", "t", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"), stays.alias("stays")), "classes")
-    drop(spark, seen_path, reps_path, members_path, chosen_path, sets_path, counts_path, shared_path, blocks_path, large_path, labels_path, whole_path)
+    drop(spark, seen_path, reps_path, members_path, tall_path, links_path, blocks_path, chosen_path, sets_path, counts_path, large_path, labels_path, whole_path)
     return out
 
 
