@@ -7,11 +7,13 @@ returns doc_id, n_tokens and the ids of the SentencePiece model.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from waymark.llm import decontaminate, minhash, piece_codec, secret_scan, toxicity
-from waymark.llm.common import materialize, table
+from waymark.llm.common import materialize, release, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens", "ids")
 
 
-STAGES = [("toxicity", toxic), ("near duplicates", near_duplicates), ("decontamination", contaminated), ("secrets", secrets), ("sentencepiece", tokens)]
+def fresh(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, begun when the executors have given back the heap that the stages before it left."""
+
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begin
+
+
+STAGES = [(name, fresh(stage)) for name, stage in (("toxicity", toxic), ("near duplicates", near_duplicates), ("decontamination", contaminated), ("secrets", secrets), ("sentencepiece", tokens))]
 ORACLE_SQL = None
 
 
