@@ -786,21 +786,32 @@ def test_pipeline(spark, odd):
     assert {r.doc_id for r in got.collect()} == kept - leaks
 
 
-@pytest.mark.parametrize("name", ["toxicity", "decontamination", "secrets"])
-def test_stages_begin_with_a_small_heap(spark, docs, name):
-    """Heap that grew in one stage is given back before the next: executors hold it beside their Python workers."""
+def grown_heap(spark):
+    """The heap's size after it has held up to 1 GB that nothing uses any more."""
     import gc
 
-    import corpus_pipeline
-
-    run_time = spark._jvm.java.lang.Runtime.getRuntime()
     spark._jvm.System.gc()
     for _ in range(4):
         spark._jvm.java.util.BitSet((1 << 31) - 1)  # 256 MB
         gc.collect()
-    grown = run_time.totalMemory()
+    return spark._jvm.java.lang.Runtime.getRuntime().totalMemory()
+
+
+@pytest.mark.parametrize("name", ["toxicity", "decontamination", "secrets"])
+def test_stages_begin_with_a_small_heap(spark, docs, name):
+    """Heap that grew in one stage is given back before the next: executors hold it beside their Python workers."""
+    import corpus_pipeline
+
+    grown = grown_heap(spark)
     dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
-    assert run_time.totalMemory() < grown - (200 << 20)
+    assert spark._jvm.java.lang.Runtime.getRuntime().totalMemory() < grown - (200 << 20)
+
+
+def test_near_duplicates_give_heap_back(spark, docs):
+    """The operator's many shuffles don't keep what a heap once grew to."""
+    grown = grown_heap(spark)
+    minhash.near_duplicates(docs.limit(50))
+    assert spark._jvm.java.lang.Runtime.getRuntime().totalMemory() < grown - (200 << 20)
 
 
 def test_queries_are_registered():

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import BROADCAST_ROWS, blocks, by_ids, drop, materialize, spread_join
+from waymark.llm.common import BROADCAST_ROWS, blocks, by_ids, drop, materialize, release, spread_join
 from waymark.llm.components import components
 from waymark.llm.words import SPACED, fmix, ngrams, words
 
@@ -271,6 +271,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     members = reps.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
     several = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members, members_path = materialize(spread_join(members, several, "bucket", how="inner"), "buckets")
+    release(spark)  # here and below: dozens of shuffles follow each other, and a heap only grows
     tall, tall_path = materialize(members.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(2 * F.col("count") / block).cast("int").alias("parts")), "tall")
     rows = members.join(reps.select("id", "n", "sig"), "id").select("bucket", "id", "n", "sig")
     if not tall.isEmpty():
@@ -280,6 +281,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     chosen = reps.select("row.d", "row.t", "id").join(blocks_.select("id"), "id", "left_semi").select("d", "t", "id")
     chosen, chosen_path = materialize(chosen, "chosen")
     sets, sets_path = materialize(sets_of(docs, chosen, k), "sets")
+    release(spark)
     counts, counts_path = materialize(shared_counts(sets).where(f"100 * c >= {percent} * n"), "shared")
 
     placed = counts.join(blocks_, "id")
@@ -292,6 +294,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     labels, labels_path = materialize(settle_blocks(full.join(F.broadcast(large), "block", "left_anti") if some else full, percent), "labels")
     if some:
         labels = labels.union(settle_parts(full, large, percent))
+    release(spark)
     # back to all rows: a class or a component of several rows has its first row's id
     inside = labels.join(reps.select("id", "row"), "id")
     best = inside.groupBy("component").agg(F.min("row").alias("best"), F.count("*").alias("size"))
@@ -302,6 +305,7 @@ def classes(docs: DataFrame, k: int = 5, percent: int = 80, block: int = BLOCK)
     stays = F.col("best").isNull() | ((F.col("best.none") == F.col("doc_id").isNull()) & (F.col("best.d") == F.col("d")) & (F.col("best.t") == F.col("t")))
     out, _ = materialize(out.select("doc_id", "d", "t", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"), stays.alias("stays")), "classes")
     drop(spark, seen_path, reps_path, members_path, tall_path, links_path, blocks_path, chosen_path, sets_path, counts_path, large_path, labels_path, whole_path)
+    release(spark)
     return out
 
 
