@@ -787,14 +787,13 @@ def test_pipeline(spark, odd):
 
 
 def grown_heap(spark):
-    """The heap's size after it has held up to 1 GB that nothing uses any more."""
-    import gc
-
+    """The heap's size while it holds 1.5 GB that nothing uses from then on."""
     spark._jvm.System.gc()
-    for _ in range(4):
-        spark._jvm.java.util.BitSet((1 << 31) - 1)  # 256 MB
-        gc.collect()
-    return spark._jvm.java.lang.Runtime.getRuntime().totalMemory()
+    held = [spark._jvm.java.util.BitSet((1 << 31) - 1) for _ in range(6)]  # 256 MB each
+    grown = spark._jvm.java.lang.Runtime.getRuntime().totalMemory()
+    for x in held:
+        spark.sparkContext._gateway.detach(x)
+    return grown
 
 
 @pytest.mark.parametrize("name", ["toxicity", "decontamination", "secrets"])
