@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.batches import bound_batches
+
 ROOT = Path(__file__).resolve().parents[2]
 _own: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -48,16 +50,6 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(f"{folder}/waymark.zip")
 
 
-ARROW_BYTES = 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of about 4 MB at most, unless the session has a bound of its own: rows with long texts
-    otherwise come in batches of 64 MB, held several times over by the JVM and by each Python worker."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; one of our own only in local mode without it."""
     if base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"):
