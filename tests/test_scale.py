@@ -23,3 +23,13 @@ def test_index_is_made_without_a_shuffle(spark):
         assert got == {k: (len(v), sorted(v)) for k, v in want.items()}
         assert Counter((r.doc, r.len) for r in index.lengths.collect()) == Counter((i, len(f"{t} {u or ''}".replace("-", " ").split())) for i, t, u in rows + more)
         assert more or "Exchange" not in index.postings._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_blocks_are_not_broadcast(spark):
+    """Blocks of queries routed to shards grow with the input, whatever size Spark expects of them."""
+    from waymark.llm import multi_index
+
+    v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    plan = multi_index.neighbours(v)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1  # the cells' places, 65,536 at most
+    assert "SortMergeJoin [shard" in plan

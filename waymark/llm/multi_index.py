@@ -252,10 +252,11 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, recall: float =
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["k1", "k2", "score", "vec_id"])
 
-    hits = routed.join(shards, "shard").select("shard", "asks", "entries").mapInArrow(best, "k1 long, k2 long, score double, vec_id long")
+    # never broadcast: Spark takes the routed blocks for small, but they grow with queries times shards
+    hits = routed.join(shards.hint("merge"), "shard").select("shard", "asks", "entries").mapInArrow(best, "k1 long, k2 long, score double, vec_id long")
     order = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), "vec_id")
     top = hits.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     top = top.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("top"))
-    out = asked.select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct().join(top, ["k1", "k2"])
+    out = asked.select(F.col("vec_id").alias("query_id"), "k1", "k2").distinct().join(top.hint("merge"), ["k1", "k2"])
     mine = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     return out.select("query_id", F.posexplode(mine).alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
