@@ -33,3 +33,44 @@ def test_query_blocks_are_not_broadcast(spark):
     plan = multi_index.neighbours(v)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastHashJoin") == 1  # the cells' places, 65,536 at most
     assert "SortMergeJoin [shard" in plan
+
+
+def _query(spark, name):
+    from waymark.plans import registry
+
+    return registry.queries()[name](spark, "/root/testdata/sf0.001")
+
+
+def test_byte_pairs_come_in_small_batches(spark):
+    """Whole texts otherwise come in batches of 64 MB, held as lists of numbers by each worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    _query(spark, "bpe_encode")
+    assert int(spark.conf.get(key)) == 4 << 20
+
+
+def test_circles_are_dealt_out(spark):
+    """A file of few bytes makes 65 rows of each of its own."""
+    df = _query(spark, "circle_polygon")
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["import_entities", "import_places"])
+def test_dumps_are_parsed_once(spark, name):
+    """Claims are stored, not parsed again for each table made of them."""
+    assert "StructField(claims" not in _query(spark, name)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dump_is_dealt_out(spark):
+    assert _query(spark, "label_pick").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_counts_train_no_model(spark, monkeypatch):
+    """base_word_counts returns nothing of the model's."""
+    from waymark.llm import logbilinear
+    from waymark.llm import registry as llm
+
+    monkeypatch.setattr(logbilinear, "train", lambda *a: pytest.fail("trained"))
+    df = llm.queries()["base_word_counts"](spark, "/root/testdata/sf0.001")
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.sources.batches import spread
+
 EARTH_KM = 6371.0
 #: Latitudes beyond this have no Web Mercator tile
 MERCATOR_LAT = 85.05112878
@@ -90,17 +92,39 @@ def terrarium(elevation: Column) -> tuple[Column, Column, Column]:
     return F.floor(whole / 256).cast("int"), (whole % 256).cast("int"), F.floor((v - whole) * 256).cast("int")
 
 
+def _at(lat: Column, radius_km: Column) -> tuple[Column, Column, Column, Column]:
+    """Sine and cosine of a centre's latitude and of its circle's radius."""
+    d = radius_km / EARTH_KM
+    return F.sin(F.radians(lat)), F.cos(F.radians(lat)), F.sin(d), F.cos(d)
+
+
+def _corner_lat(sin_lat, cos_lat, sin_d, cos_d, b: Column) -> Column:
+    """In radians, like all here: of the place in direction b."""
+    return F.asin(sin_lat * cos_d + cos_lat * sin_d * F.cos(b))
+
+
+def _corner_lon(sin_lat, cos_lat, sin_d, cos_d, lon, b: Column, corner_lat: Column) -> Column:
+    return lon + F.atan2(F.sin(b) * sin_d * cos_lat, cos_d - sin_lat * F.sin(corner_lat))
+
+
+def circles(centres: DataFrame, points: int = 64) -> DataFrame:
+    """id, k, lon, lat: the places k of a closed polygon around each centre (id, lat, lon, radius_km). A row a place
+    from the start: places in an array would be worked out one by one, without compiled code."""
+    at = [a.alias(f"a{i}") for i, a in enumerate(_at(F.col("lat"), F.col("radius_km")))]
+    rows = spread(centres).select("id", F.radians("lon").alias("lo"), *at).select("*", F.explode(F.sequence(F.lit(0), F.lit(points))).alias("k"))
+    at = [F.col(f"a{i}") for i in range(4)]
+    rows = rows.withColumn("b", F.col("k") % points * (2 * math.pi / points)).withColumn("la", _corner_lat(*at, F.col("b")))
+    return rows.select("id", "k", F.degrees(_corner_lon(*at, F.col("lo"), F.col("b"), F.col("la"))).alias("lon"), F.degrees("la").alias("lat"))
+
+
 def circle(lat, lon, radius_km, points: int = 64) -> Column:
     """A closed polygon of `points` places around a centre."""
-    lat, lon, radius_km = map(_c, (lat, lon, radius_km))
-    d = radius_km / EARTH_KM
+    at, lon = _at(*map(_c, (lat, radius_km))), F.radians(_c(lon))
     step = 2 * math.pi / points
 
     def place(i: Column) -> Column:
-        b = i * step
-        la = F.asin(F.sin(F.radians(lat)) * F.cos(d) + F.cos(F.radians(lat)) * F.sin(d) * F.cos(b))
-        lo = F.radians(lon) + F.atan2(F.sin(b) * F.sin(d) * F.cos(F.radians(lat)), F.cos(d) - F.sin(F.radians(lat)) * F.sin(la))
-        return F.struct(F.degrees(lo).alias("lon"), F.degrees(la).alias("lat"))
+        la = _corner_lat(*at, i * step)
+        return F.struct(F.degrees(_corner_lon(*at, lon, i * step, la)).alias("lon"), F.degrees(la).alias("lat"))
 
     return F.transform(F.concat(F.sequence(F.lit(0), F.lit(points - 1)), F.array(F.lit(0))), place)
 
