@@ -9,6 +9,7 @@ from waymark.functions.time import julian_day, parse_time
 from waymark.functions.tiles import entity_number
 from waymark.functions.vector import floats
 from waymark.operators.merge import first_times, prune_range, prune_unnamed, replaced, resolve_links, upsert_keep_title, upsert_overwrite_title, with_default_column
+from waymark.sources.lines import kept
 
 #: Properties that hold dates, coordinates and links to places, with their labels
 TIME_PROPERTIES = {
@@ -123,13 +124,13 @@ def links(claims: DataFrame) -> DataFrame:
 def import_entities(lines: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """The whole import of a dump: parse, upsert entities, add dates and places, take over the places of linked
     entities, prune. old and the result: entities, entity_times, entity_places."""
-    claims = parsed(relevant(records(lines)))
+    claims = kept(parsed(relevant(records(lines))), "claims")  # four tables are made of them
     named = upsert_keep_title(old["entities"], entities(claims).withColumn("article_id", F.lit(None).cast("long")))
     all_times = first_times(old["entity_times"].unionByName(times(claims)))
     own = places(claims)
     here = old["entity_places"].drop("id").unionByName(own, allowMissingColumns=True)
     here = here.unionByName(resolve_links(links(claims), here))
-    if named.isEmpty():  # nothing to prune by
+    if old["entities"].isEmpty() and claims.isEmpty():  # no entity, nothing to prune by
         return {"entities": named, "entity_times": all_times, "entity_places": numbered_places(here)}
     here = numbered_places(prune_unnamed(prune_range(here), named))
     return {"entities": named, "entity_times": prune_unnamed(all_times, named), "entity_places": here}
