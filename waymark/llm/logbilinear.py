@@ -351,8 +351,9 @@ class Model:
 LOCAL = "rid long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<long>"
 
 
-def score(docs: DataFrame, head: Head, params: Params, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of every row of docs (doc_id and text)."""
+def score(docs: DataFrame, head: Head, params: Params | None, counts: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score and score of every row of docs (doc_id and text); without params the
+    score is null."""
     shared = docs.sparkSession.sparkContext.broadcast((head, params))  # bounded by HEAD
     d = head.total + 0.1 * (head.distinct + 1)
     rare_d = head.rare_total + 0.1 * (head.rare_distinct + 1)
@@ -361,7 +362,7 @@ def score(docs: DataFrame, head: Head, params: Params, counts: DataFrame) -> Dat
         from pyspark import TaskContext
 
         head, params = shared.value
-        model, rid = Model(params, head), TaskContext.get().partitionId() << 33
+        model, rid = Model(params, head) if params else None, TaskContext.get().partitionId() << 33
         gain = np.log10((head.counts + 0.1) / d)
         rare_gain = np.log10((head.counts + 0.1) / rare_d)
         at, hit = head.find(np.array([END], np.uint64))
@@ -369,12 +370,14 @@ def score(docs: DataFrame, head: Head, params: Params, counts: DataFrame) -> Dat
         for batch, data, off in blocks(batches):
             h, rows, _, _ = words(data, off, SPACED)
             at, hit = head.find(h)
-            t, w1, w2 = contexts(head.numbers(at, hit), rows, head.outputs)
             doc = np.repeat(np.arange(batch.num_rows), np.diff(rows))
             m = batch.num_rows
             known = np.bincount(doc[hit], minlength=m) + end_known
             base = np.bincount(doc[hit], gain[at[hit]] if len(gain) else None, m) + end_gain
-            whole = np.bincount(np.repeat(np.arange(m), np.diff(rows) + 1), model.log10(t, w1, w2), m)
+            whole = np.full(m, np.nan)
+            if model:
+                t, w1, w2 = contexts(head.numbers(at, hit), rows, head.outputs)
+                whole = np.bincount(np.repeat(np.arange(m), np.diff(rows) + 1), model.log10(t, w1, w2), m)
             near = np.flatnonzero(hit)
             near = near[head.rank[at[near]] < 0]
             whole += np.bincount(doc[near], rare_gain[at[near]] if len(gain) else None, m)
@@ -388,16 +391,16 @@ def score(docs: DataFrame, head: Head, params: Params, counts: DataFrame) -> Dat
     c = F.coalesce(F.col("c"), F.lit(0))
     far = far.select("rid", F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), (c > 0).cast("long").alias("n_known"), F.log10((c + 0.1) / d).alias("base"), F.log10((c + 0.1) / rare_d).alias("score"))
     both = local.drop("rare").union(far).groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))
-    return both.select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score")
+    return both.select("doc_id", "n_tokens", "n_known", F.col("base").alias("base_score"), "score" if params else F.lit(None).cast("double").alias("score"))
 
 
-def language_model(docs: DataFrame, fold: int = 10) -> DataFrame:
-    """Learn from the texts whose crc32(doc_id) mod `fold` isn't 0 and score all."""
+def language_model(docs: DataFrame, fold: int = 10, fit: bool = True) -> DataFrame:
+    """Learn from the texts whose crc32(doc_id) mod `fold` isn't 0 and score all; without `fit` only by the counts."""
     texts = text_of(docs)
     held = F.coalesce(bucket(F.col("doc_id"), fold) == 0, F.lit(False))
     learn = texts.where(bucket(F.col("doc_id"), fold) != 0)
     counts, _ = materialize(count_words(learn), "counts")
     head = head_of(counts)
-    params = train(learn, head)
+    params = train(learn, head) if fit else None
     out = score(texts, head, params, counts)
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(head.total).cast("long").alias("train_tokens"), "base_score", "score")
