@@ -74,3 +74,9 @@ def test_counts_train_no_model(spark, monkeypatch):
     monkeypatch.setattr(logbilinear, "train", lambda *a: pytest.fail("trained"))
     df = llm.queries()["base_word_counts"](spark, "/root/testdata/sf0.001")
     assert df.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_radius_join_is_not_broadcast(spark):
+    """A centre's cells and the places meet by a shuffle, whatever size Spark expects of them."""
+    plan = _query(spark, "radius_join")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [band" in plan and "Broadcast" not in plan
